@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,11 @@ def save(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="foliant-checkpoint-"))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate files, in the shared folder when the cluster names one."""
+    base = spark.conf.get("foliant.scratch", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"foliant-{name}-") + "/data"
