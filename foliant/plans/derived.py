@@ -49,16 +49,21 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
            .when(k % 10 == 9, F.concat(F.lit("HP "), F.substring(n, 1, 1), F.lit("X"), F.substring(n, 2, 2), F.lit("Y"), F.substring(n, 4, 1)))
            .otherwise(F.concat(F.lit("HP-"), n, F.lit("CMP"))))
     read_day = k % 19 != 2
+    true_day = F.lpad(F.day(d).cast("string"), 2, "0")
     other_day = F.lpad((F.day(d) % 28 + 1).cast("string"), 2, "0")
+
+    def turn(i: int) -> Column:
+        return (F.floor(k / (2 * i)) + i) % 10
+
     values = base.select(
         "k", "file_seq", F.col("log").alias("v_log_number"),
         F.when(k % 17 != 4, registration).alias("v_matricula"), F.when(k % 17 != 4, raw).alias("raw"),
-        F.when(read_day, F.lpad(F.day(d).cast("string"), 2, "0")).alias("v_day"),
-        F.when((k % 31 == 9) & read_day, F.array(other_day)).otherwise(F.array().cast("array<string>")).alias("other_days"),
+        F.when(read_day, F.when(k % 31 == 9, other_day).otherwise(true_day)).alias("v_day"),
+        F.when((k % 31 == 9) & read_day, F.array(true_day)).otherwise(F.array().cast("array<string>")).alias("other_days"),
         F.when(k % 23 != 7, month_name(F.month(d))).alias("v_month"),
-        F.lpad(((F.year(d) + F.when(k % 29 == 11, 3).otherwise(0)) % 100).cast("string"), 2, "0").alias("v_year"),
+        F.when(k % 37 != 5, F.lpad(((F.year(d) + F.when(k % 29 == 11, 3).otherwise(0)) % 100).cast("string"), 2, "0")).alias("v_year"),
         *[((25 + (k * 7 + 13 * i) % 76) / F.lit(100.0)).alias(f"c_{i}") for i in range(5)],
-        *[F.when((k + i) % 10 == 0, "unclear").when((k + i) % 10 <= 2, "false").otherwise("true").alias(f"v_{f}")
+        *[F.when(turn(i) == 0, "unclear").when(turn(i) <= 2, "false").otherwise("true").alias(f"v_{f}")
           for i, f in enumerate(SIGNATURE_FIELDS, 1)],
         *[((20 + (k * 3 + 5 * i) % 80) / F.lit(100.0)).alias(f"s_{i}") for i in range(1, 6)])
     extra = {"matricula": {"raw": F.col("raw")}, "day": {"alternatives": F.col("other_days")}}
