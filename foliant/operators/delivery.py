@@ -137,10 +137,10 @@ def split_parts(sequence: DataFrame, max_pages: int = 0) -> DataFrame:
     whole = F.lit(max_pages <= 0) | (total <= max_pages)
     if max_pages <= 0:
         return sequence.select("*", F.lit(1).alias("part"), F.col("pos").alias("part_pos"))
-    fields = sections.orderBy("start").schema
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    packed = sections.groupBy(F.lit(1)).applyInPandas(lambda pdf: _pack(max_pages)(pdf.sort_values("start")), f"{types}, first_part long, base long")
-    placed = sequence.join(F.broadcast(packed), SECTION)
+    listed = sections.withColumn("_all", F.lit(0))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.schema)
+    packed = listed.groupBy("_all").applyInPandas(lambda pdf: _pack(max_pages)(pdf.sort_values("start")), f"{types}, first_part long, base long")
+    placed = sequence.join(F.broadcast(packed.drop("_all")), SECTION)
     big, header = F.col("size") > max_pages, F.col("header")
     repeat = big & header & F.lit(max_pages > 1)
     step = F.when(repeat, max_pages - 1).otherwise(max_pages)

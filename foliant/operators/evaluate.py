@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.constants import (COST_FALSE_ABSENT, COST_FALSE_PRESENT, COST_UNCLEAR, EMPTY_GRID, MAX_INK_RATIO, MIN_RESOLVED, PEAK_GRID, SPAN_GRID)
 from foliant.operators.quality import signature_verdict, verdict_status
+from foliant.operators.skew import in_ranges
 
 PRESENT, ABSENT, UNSURE = "firma", "ausente", "dudosa"
 FEATURES = ("peak", "weak_peak", "coverage", "span", "dark_ratio")
@@ -109,14 +110,15 @@ def _search(cells: pd.DataFrame, min_resolved: float) -> tuple:
 def tune_cells(cells: DataFrame, keys: list[str], min_resolved: float = MIN_RESOLVED) -> DataFrame:
     """Best thresholds per key from cell counts."""
     names = [c.split()[0] for c in TUNED.split(", ")]
+    if not keys:
+        return tune_cells(cells.withColumn("_all", F.lit(0)), ["_all"], min_resolved).drop("_all")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in keys)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         row = [*pdf[keys].iloc[0], *_search(pdf, min_resolved)]
         return pd.DataFrame([row], columns=[*keys, *names])
 
-    grouped = cells.groupBy(*(keys or [F.lit(1)]))
-    return grouped.applyInPandas(solve, f"{schema}, {TUNED}" if keys else TUNED)
+    return cells.groupBy(*keys).applyInPandas(solve, f"{schema}, {TUNED}")
 
 
 def tune_thresholds(features: DataFrame, keys: tuple[str, ...] = (), min_resolved: float = MIN_RESOLVED) -> DataFrame:
@@ -153,7 +155,6 @@ def with_folds(samples: DataFrame, k: int, order: str = "sample_seq") -> DataFra
     The running number comes from counts per range of the order, so that a label holding most
     of the samples is not numbered in one task.
     """
-    from foliant.operators.skew import in_ranges
     groups = ["field_id", "label"]
     ranged = in_ranges(samples, [*groups, order])
     sizes = ranged.groupBy(*groups, "_chunk").agg(F.count("*").alias("_n"))

@@ -143,10 +143,10 @@ def arbitrate(df: DataFrame, component: str) -> DataFrame:
         return F.when((F.coalesce(new, F.lit("")) == "") | F.array_contains(items, F.coalesce(new, F.lit(""))), items).otherwise(F.array_append(items, new))
 
     act = F.col("action")
-    alternatives = (F.when(act.isin("alternative", "reject"), let(added(known, candidate), lambda a: F.when(act == "reject", added(a, value)).otherwise(a)))
-                    .when((act == "replace") & (value != candidate), added(known, value)).otherwise(known))
+    df = df.withColumn("_kept", F.when(act.isin("alternative", "reject"), added(known, candidate)).otherwise(known))
+    alternatives = F.when((act == "reject") | ((act == "replace") & (value != candidate)), added(F.col("_kept"), value)).otherwise(F.col("_kept"))
     settled = df.select(
-        *[c for c in df.columns if c not in ("value", "confidence", "status", "alternatives", "method", "_rule")],
+        *[c for c in df.columns if c not in ("value", "confidence", "status", "alternatives", "method", "_rule", "_kept")],
         F.when(act == "replace", candidate).when(act.isin("reject", "incomplete"), None).otherwise(value).alias("value"),
         F.when(act == "replace", conf).otherwise(F.col("confidence")).alias("confidence"),
         F.when(act == "replace", F.when(numeric, WARNING).otherwise(OK)).when(act.isin("reject", "incomplete"), ERROR).otherwise(F.col("status")).alias("status"),

@@ -36,7 +36,8 @@ def compare(spark, con, folder, name, query):
         return False, f"columns {mine.column_names} / {theirs.column_names}", mine.num_rows
     a, b = rows_of(mine, mine.column_names), rows_of(theirs, mine.column_names)
     if a != b:
-        only_a, only_b = [r for r in a if r not in set(b)][:3], [r for r in b if r not in set(a)][:3]
+        sa, sb = set(a), set(b)
+        only_a, only_b = [r for r in a if r not in sb][:3], [r for r in b if r not in sa][:3]
         return False, f"{len(a)} / {len(b)} rows; {sorted(mine.column_names)}\n  spark {only_a}\n  sql   {only_b}", mine.num_rows
     return True, "match", mine.num_rows
 
