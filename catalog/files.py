@@ -1 +1,269 @@
-"""Queries."""
+"""Readers, writers and the stream, exercised on files written from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.batches import PLAN, plan, report_rows
+from catalog.pages import FIELDS
+from catalog.registry import register
+from catalog.reports import DELIVERY, EXCLUDED, PARTS, WIDE, excluded_pages, sequence
+from catalog.tables import FLEET, PAGES
+from foliant.operators import delivery as V
+from foliant.operators import reports as R
+from foliant.operators import summaries as S
+from foliant.operators.quality import to_readings
+from foliant.plans import derived as D
+from foliant.plans import outputs as O
+from foliant.session import save, scratch
+from foliant.sources import readers, writers
+from foliant.streaming import ingest as I
+
+ROW_SQL = "SELECT file, CAST(page_number AS VARCHAR) AS page, coalesce(log, '') AS log_number, CAST(dup AS VARCHAR) AS dup, CAST(disc AS VARCHAR) AS disc, coalesce(month, '') AS month, CASE WHEN moved THEN 'Día OCR sin resolver; se usó el último día calendario del mes en el CSV' ELSE CASE day_status WHEN 'ERROR' THEN 'Required field empty' WHEN 'WARNING' THEN 'Low confidence (' || printf('%.2f', c2) || ')' ELSE 'OK' END END AS day_comment FROM wide"
+
+
+@register("write_complete_csv", "string file, string page, string log_number, string dup, string disc, string month, string day_comment", ROW_SQL, WIDE)
+def write_complete_csv(spark, folder):
+    path = scratch(spark, "complete")
+    writers.write_complete_csv(R.wide_page_rows(D.pages(spark, folder), FIELDS), path)
+    return readers.read_run_csv(spark, path)
+
+
+@register("write_minimal_csv", "string file, string page, string log_number, string month", "SELECT file, CAST(page_number AS VARCHAR) AS page, coalesce(log, '') AS log_number, coalesce(month, '') AS month FROM pages", PAGES)
+def write_minimal_csv(spark, folder):
+    path = scratch(spark, "minimal")
+    writers.write_minimal_csv(R.wide_page_rows(D.pages(spark, folder), FIELDS), path, ("log_number", "month"))
+    return readers.read_run_csv(spark, path)
+
+
+@register("read_run_csv", "long doc_id, string text, string lang", "SELECT doc_id, text, lang FROM documents")
+def read_run_csv(spark, folder):
+    """Whole documents, with their quotes and line breaks, through the report reader."""
+    path = scratch(spark, "csv")
+    writers.write_csv(D.table(spark, folder, "documents").select("doc_id", "text", "lang"), path)
+    return readers.read_run_csv(spark, path)
+
+
+@register("read_run_json", "long page_number, string file, string field_id, string value, double confidence, string status, long alternatives", """
+SELECT page_number, file, f.id AS field_id, f.v AS value, f.c AS confidence, f.s AS status, f.a AS alternatives FROM pages, LATERAL (VALUES ('log_number', log, c0, log_status, 0), ('matricula', matricula, c1, matricula_status, 0),
+  ('day', day, c2, day_status, CASE WHEN day_alt IS NULL THEN 0 ELSE 1 END), ('month', month, c3, month_status, 0), ('year', year, c4, year_status, 0)) f(id, v, c, s, a)""", PAGES)
+def read_run_json(spark, folder):
+    path = scratch(spark, "json")
+    writers.write_run_json(D.pages(spark, folder), ["log_number", "matricula", "day", "month", "year"], path)
+    rows = readers.report_readings(readers.read_run_json(spark, path))
+    return rows.withColumn("alternatives", F.size("alternatives"))
+
+
+@register("write_run_json", "string file, long pages, long fields", "SELECT file, count(*) AS pages, count(*) * 10 AS fields FROM pages GROUP BY file", PAGES)
+def write_run_json(spark, folder):
+    path = scratch(spark, "json")
+    writers.write_run_json(D.pages(spark, folder), FIELDS, path)
+    pages = readers.report_pages(readers.read_run_json(spark, path))
+    return pages.groupBy("file").agg(F.count("*").alias("pages"), F.sum(F.size("fields")).alias("fields"))
+
+
+@register("pages_round_trip", "long page_number, string log, string day, string status", "SELECT page_number, log, day, 'OK' AS status FROM pages", PAGES)
+def pages_round_trip(spark, folder):
+    path = scratch(spark, "json")
+    writers.write_run_json(D.pages(spark, folder), FIELDS, path)
+    wide = readers.wide_pages(readers.report_pages(readers.read_run_json(spark, path)), FIELDS)
+    return wide.select("page_number", F.col("log_number.value").alias("log"), F.col("day.value").alias("day"), "status")
+
+
+@register("to_readings", "long page_number, string field_id, string value, double confidence", """
+SELECT page_number, f.id AS field_id, f.v AS value, f.c AS confidence FROM pages, LATERAL (VALUES ('log_number', log, c0), ('matricula', matricula, c1), ('day', day, c2)) f(id, v, c)""", PAGES)
+def readings_long(spark, folder):
+    return to_readings(D.pages(spark, folder), ["log_number", "matricula", "day"])
+
+
+def run_folders(spark, folder):
+    """One run folder per file of the batch, its report in ``datos/``."""
+    root = scratch(spark, "runs")
+    rows = D.pages(spark, folder).select("page_number", "file_seq")
+    rows.withColumn("run", F.concat(F.lit("run_"), F.lpad(F.col("file_seq").cast("string"), 2, "0"))).repartition("run").write.partitionBy("run").option("header", True).csv(root)
+    return root
+
+
+@register("find_runs", "string run, long files", "SELECT DISTINCT 'run=run_' || lpad(CAST(file_seq AS VARCHAR), 2, '0') AS run, 1 AS files FROM pages", PAGES)
+def find_runs(spark, folder):
+    return readers.find_runs(spark, run_folders(spark, folder))
+
+
+@register("find_csv_files", "long files, long folders", "SELECT count(DISTINCT file_seq) AS files, count(DISTINCT file_seq) AS folders FROM pages", PAGES)
+def find_csv_files(spark, folder):
+    found = readers.find_csv_files(spark, run_folders(spark, folder))
+    return found.agg(F.count("*").alias("files"), F.countDistinct(F.split("file", "/")[0]).alias("folders"))
+
+
+@register("batch_inputs", "long file_seq, string name", "SELECT row_number() OVER (ORDER BY file_seq) - 1 AS file_seq, 'f=' || lpad(CAST(file_seq AS VARCHAR), 2, '0') AS name FROM (SELECT DISTINCT file_seq FROM pages)", PAGES)
+def batch_inputs(spark, folder):
+    root = scratch(spark, "inputs")
+    rows = D.pages(spark, folder).select("page_number", F.lpad(F.col("file_seq").cast("string"), 2, "0").alias("f"))
+    rows.repartition("f").sortWithinPartitions("f").write.partitionBy("f").parquet(root)
+    listing = readers.batch_inputs(spark, root + "/*", "*.parquet")
+    name = F.element_at(F.split("path", "/"), -2)
+    return listing.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(
+        "name", (F.substring("name", 3, 2).cast("long")).alias("file_seq"))
+
+
+def document(spark, name, df):
+    """Write a one-row table of a single text column as one document."""
+    path = scratch(spark, name)
+    df.coalesce(1).write.text(path)
+    return path
+
+
+@register("load_fleet", "string registration", "SELECT registration FROM fleet", PAGES + FLEET)
+def load_fleet(spark, folder):
+    listed = D.fleet(spark, folder).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.concat(F.array(F.lit("x")), F.collect_list(F.lower("registration"))).alias("matriculas"))).alias("v"))
+    return readers.load_fleet(spark, document(spark, "fleet", listed))
+
+
+@register("load_template", "long field_pos, string field_id, string field_type, boolean required", """
+SELECT n_nationkey AS field_pos, lower(n_name) AS field_id, CASE WHEN n_regionkey = 0 THEN 'signature' ELSE 'ocr' END AS field_type, n_regionkey % 2 = 0 AS required FROM nation""")
+def load_template(spark, folder):
+    return readers.load_template(spark, template_document(spark, folder))
+
+
+def template_document(spark, folder):
+    key = F.col("n_nationkey")
+    field = F.struct(key.alias("pos"), F.lower("n_name").alias("id"), F.when(F.col("n_regionkey") == 0, "signature").otherwise("ocr").alias("type"), (F.col("n_regionkey") % 2 == 0).alias("required"),
+                     F.lit(0.1).alias("x"), F.lit(0.1).alias("y"), F.when(key % 5 == 1, 0.95).otherwise(0.2).alias("w"), F.lit(0.1).alias("h"), F.lit(0.12).alias("min_ink_peak"),
+                     F.when(key % 5 == 2, 0.2).otherwise(0.05).alias("max_empty_peak"))
+    doc = D.table(spark, folder, "nation").agg(F.to_json(F.struct(F.lit("form").alias("name"), F.array_sort(F.collect_list(field)).alias("fields"))).alias("v"))
+    return document(spark, "template", doc)
+
+
+@register("template_problems", "string field_id, string problem", """
+SELECT lower(n_name) AS field_id, CASE n_nationkey % 5 WHEN 1 THEN 'box outside the page' ELSE 'inverted ink peaks' END AS problem FROM nation WHERE n_nationkey % 5 IN (1, 2)""")
+def template_problems(spark, folder):
+    return readers.template_problems(readers.load_template(spark, template_document(spark, folder)))
+
+
+@register("read_delivery_index", "long part_pos, long seq, string separator, long page, boolean is_review", """
+SELECT dense_rank() OVER (ORDER BY part) - 1 AS part_pos, part_pos AS seq, coalesce(separator, '') AS separator, coalesce(page_number, 0) AS page, bool_and(cls = 2) OVER (PARTITION BY part) AS is_review
+FROM (SELECT p.*, CASE WHEN q.cls IS NULL THEN s.cls ELSE q.cls END AS cls FROM parts p LEFT JOIN (SELECT page_number AS pn, cls FROM body) q ON q.pn = p.page_number LEFT JOIN (SELECT DISTINCT sep, cls FROM body) s ON s.sep = p.separator)""", PARTS, recursive=True)
+def read_delivery_index(spark, folder):
+    parts = V.split_parts(sequence(spark, folder), 50)
+    docs = writers.delivery_index_documents(parts, 50)
+    # One document per part keeps every document bounded by the part size.
+    path = scratch(spark, "index")
+    docs.select(F.to_json(F.struct(F.lit(2).alias("version"), F.array(F.struct("pdf", "revisar", "paginas")).alias("partes"))).alias("value"), "part").repartition("part").write.partitionBy("part").text(path)
+    index = readers.read_delivery_index(spark, path)
+    number = F.regexp_extract("pdf", r"-(\d+)\.pdf", 1).cast("long")
+    return index.withColumn("part_pos", number - 1)
+
+
+@register("write_delivery_index", "long part, long part_pos, string separador, long pagina", "SELECT part, part_pos, coalesce(separator, '') AS separador, page_number AS pagina FROM parts", PARTS, recursive=True)
+def write_delivery_index(spark, folder):
+    path = scratch(spark, "index")
+    writers.write_delivery_index(V.split_parts(sequence(spark, folder), 50), path)
+    return spark.read.schema("part long, part_pos long, separador string, archivo string, pagina long, revisar boolean").json(path)
+
+
+@register("read_ground_truth", "string file, string date", "SELECT file || '#' || n_nationkey AS file, '2026/07/' || lpad(CAST(n_nationkey % 28 + 1 AS VARCHAR), 2, '0') AS date FROM (SELECT n_nationkey, lower(n_name) AS file FROM nation)")
+def read_ground_truth(spark, folder):
+    day = F.lpad((F.col("n_nationkey") % 28 + 1).cast("string"), 2, "0")
+    sample = F.struct(F.concat(F.lower("n_name"), F.lit("#"), F.col("n_nationkey").cast("string")).alias("file"), F.lit("2000001").alias("log_number"), F.concat(F.lit("2026/07/"), day).alias("date"))
+    doc = D.table(spark, folder, "nation").agg(F.to_json(F.struct(F.lit(1).alias("schema"), F.collect_list(sample).alias("samples"))).alias("v"))
+    return readers.read_ground_truth(spark, document(spark, "truth", doc))
+
+
+@register("read_labels", "string sample_id, string label", "SELECT CAST(n_nationkey AS VARCHAR) AS sample_id, ['firma', 'ausente', 'dudosa'][n_regionkey + 1] AS label FROM nation WHERE n_regionkey < 2")
+def read_labels(spark, folder):
+    nation = D.table(spark, folder, "nation")
+    sid = F.col("n_nationkey").cast("string")
+    label = F.element_at(F.array(*[F.lit(x) for x in ("firma", "ausente", "dudosa", "otra", "nada")]), F.col("n_regionkey") + 1)
+    labels = nation.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(sid, label))).alias("labels"))).alias("v"))
+    item = F.struct(sid.alias("id"), F.lit("a.pdf").alias("pdf"), F.col("n_nationkey").alias("page"), F.lit("pilot_signature").alias("field_id"), F.lit("ok").alias("alignment"))
+    manifest = nation.agg(F.to_json(F.struct(F.collect_list(item).alias("samples"))).alias("v"))
+    from foliant.operators.evaluate import labelled_samples
+    return labelled_samples(readers.read_samples(spark, document(spark, "manifest", manifest)), readers.read_labels(spark, document(spark, "labels", labels)))
+
+
+@register("read_fleet_cache", "string registration, string fleet, string lessor", "SELECT 'HP-' || (1000 + n_nationkey) || 'CMP' AS registration, lower(n_name) AS fleet, '' AS lessor FROM nation WHERE n_regionkey > 0")
+def read_fleet_cache(spark, folder):
+    reg = F.concat(F.when(F.col("n_regionkey") > 0, "hp-").otherwise("XX-"), (1000 + F.col("n_nationkey")).cast("string"), F.lit("cmp"))
+    pairs = F.map_from_entries(F.collect_list(F.struct(reg, F.struct(F.lower("n_name").alias("fleet")))))
+    doc = D.table(spark, folder, "nation").agg(F.to_json(F.struct(F.lit(1).alias("version"), pairs.alias("matriculas"))).alias("v"))
+    return readers.read_fleet_cache(spark, document(spark, "cache", doc))
+
+
+@register("feature_cache", "string setting, long samples, double peaks", """
+SELECT s.setting, count(*) AS samples, round(sum(peak), 4) AS peaks FROM (SELECT l_orderkey, round(min(l_discount) * 100) * 2 / 100.0 AS peak FROM lineitem GROUP BY l_orderkey), (VALUES ('a'), ('b')) s(setting) GROUP BY s.setting""")
+def feature_cache(spark, folder):
+    """Two appends: half of the samples, then the ones still missing under each setting."""
+    from catalog.evaluation import features
+    from foliant.operators.evaluate import missing_features
+    measured = features(spark, folder).select("sample_id", "peak")
+    path = scratch(spark, "features")
+    for setting in ("a", "b"):
+        readers.append_features(measured.where("sample_id % 2 = 0").withColumn("setting", F.lit(setting)), path)
+        rest = missing_features(measured, readers.read_feature_cache(spark, path), setting)
+        readers.append_features(rest.withColumn("setting", F.lit(setting)), path)
+    return readers.read_feature_cache(spark, path).groupBy("setting").agg(F.count("*").alias("samples"), F.round(F.sum("peak"), 4).alias("peaks"))
+
+
+@register("write_grouped", "long export_no, string output, long pages", """
+SELECT e.n AS export_no, output, count(*) AS pages FROM assigned, (VALUES (1), (2)) e(n) WHERE output IS NOT NULL GROUP BY ALL""", EXCLUDED)
+def write_grouped(spark, folder):
+    assigned = save(V.assign_groups(D.pages(spark, folder), ("avion", "mes"), excluded_pages(spark, folder)).select("page_number", "output"))
+    path = scratch(spark, "groups")
+    for _ in range(2):
+        writers.write_grouped(assigned, path)
+    return spark.read.parquet(path).groupBy("export_no", "output").agg(F.count("*").alias("pages"))
+
+
+@register("write_review_csv", "string lote, string seq, string accion, string avisos", "SELECT 'BITS -2' AS lote, CAST(seq AS VARCHAR) AS seq, accion, avisos FROM actions", PLAN)
+def write_review_csv(spark, folder):
+    from foliant.operators.reconcile import plan_rows
+    path = scratch(spark, "review")
+    writers.write_review_csv(plan_rows(plan(spark, folder)), path, "BITS -2")
+    return readers.read_run_csv(spark, path)
+
+
+@register("write_stats", "string file, long total_pages, long blank_pages", "SELECT file, count(*) AS total_pages, count(*) FILTER (blank) AS blank_pages FROM pages GROUP BY file", PAGES)
+def write_stats(spark, folder):
+    path = scratch(spark, "stats")
+    pages = D.pages(spark, folder)
+    writers.write_stats({"header": R.run_header(pages), "files": S.file_summary(pages)}, path)
+    return spark.read.json(f"{path}/files")
+
+
+@register("run_outputs", "long complete, long minimal, long reports, long entries, long files", """
+SELECT (SELECT count(*) FROM pages) AS complete, (SELECT count(*) FROM pages) AS minimal, (SELECT count(*) FROM pages) AS reports, (SELECT count(*) FROM pages WHERE NOT blank) AS entries, (SELECT count(DISTINCT file) FROM pages) AS files""", PAGES)
+def run_outputs(spark, folder):
+    path = scratch(spark, "run")
+    O.run_outputs(save(D.pages(spark, folder)), FIELDS, path, max_pages=200)
+    counts = [readers.read_run_csv(spark, f"{path}/datos/completo").agg(F.count("*")).scalar().alias("complete"), readers.read_run_csv(spark, f"{path}/datos/minimo").agg(F.count("*")).scalar().alias("minimal"),
+              readers.report_pages(readers.read_run_json(spark, f"{path}/datos/json")).agg(F.count("*")).scalar().alias("reports"),
+              spark.read.json(f"{path}/datos/paginas").where("pagina is not null").agg(F.count("*")).scalar().alias("entries"), spark.read.json(f"{path}/stats/files").agg(F.count("*")).scalar().alias("files")]
+    return spark.range(1).select(*counts)
+
+
+@register("reexport", "long page, string log_number, string month", "SELECT page_number AS page, coalesce(log, '') AS log_number, coalesce(month, '') AS month FROM pages", PAGES)
+def reexport(spark, folder):
+    path = scratch(spark, "run")
+    writers.write_run_json(D.pages(spark, folder), FIELDS, f"{path}/datos/json")
+    O.reexport(spark, f"{path}/datos/json", FIELDS, f"{path}/again", data_only=True)
+    return readers.read_run_csv(spark, f"{path}/again/datos/completo")
+
+
+@register("ingest_stream", "long page_number, string file, string log", "SELECT page_number, file, log FROM pages", PAGES)
+def ingest_stream(spark, folder):
+    """Pages written as files, streamed into the page table; finished files are archived."""
+    source, table, state, archive = (scratch(spark, n) for n in ("arrivals", "table", "state", "archive"))
+    pages = D.pages(spark, folder)
+    pages.write.parquet(source)
+    I.ingest_stream(I.page_stream(spark, source, pages.schema, archive), table, state).awaitTermination()
+    return spark.read.parquet(table).select("page_number", "file", F.col("log_number.value").alias("log"))
+
+
+@register("correct_touched_books", "long page_number, string book, string date")
+def correct_touched_books(spark, folder):
+    """The books of every page read from the last three files, corrected from the whole table."""
+    source, table, state = (scratch(spark, n) for n in ("arrivals", "table", "state"))
+    pages = D.pages(spark, folder)
+    pages.write.parquet(source)
+    I.ingest_stream(I.page_stream(spark, source, pages.schema), table, state).awaitTermination()
+    return I.correct_touched_books(spark, table, pages.where("file_seq >= 17"), FIELDS)

@@ -30,19 +30,20 @@ def mark_duplicates(pages: DataFrame) -> DataFrame:
     The first occurrence comes from a partial aggregate and is joined back, so a number
     scanned a million times does not land in one task.
     """
-    numbered = pages.withColumn("log_no", log_number())
-    first = (numbered.where(F.col("log_no").isNotNull()).groupBy("log_no")
-             .agg(F.min(F.struct(*PAGE_ID)).alias("first_seen")))
-    known = join_groups(numbered.where(F.col("log_no").isNotNull()), first, ["log_no"], PAGE_ID)
-    marked = known.withColumn("dup", F.struct(*PAGE_ID) != F.col("first_seen")).drop("first_seen")
-    return marked.unionByName(numbered.where(F.col("log_no").isNull()).withColumn("dup", F.lit(False)))
+    # Unreadable numbers get scattered keys that match nothing.
+    scattered = -1 - F.pmod(F.xxhash64(*PAGE_ID), F.lit(1_000_003))
+    numbered = pages.withColumn("log_no", log_number()).withColumn("_key", F.coalesce("log_no", scattered))
+    first = (numbered.where(F.col("log_no").isNotNull()).groupBy("_key")
+             .agg(F.min(F.struct(*PAGE_ID)).alias("_first"), F.count("*").alias("_rows")))
+    known = join_groups(numbered, first, ["_key"], PAGE_ID, rows_in="_rows")
+    return known.withColumn("dup", F.coalesce(F.struct(*PAGE_ID) != F.col("_first"), F.lit(False))).drop("_key", "_first", "_rows")
 
 
 def duplicate_groups(pages: DataFrame) -> DataFrame:
     """Log numbers seen more than once, one row per location."""
     numbered = pages.withColumn("log_no", log_number()).where(F.col("log_no").isNotNull())
     repeated = numbered.groupBy("log_no").agg(F.count("*").alias("times")).where("times > 1")
-    return join_groups(numbered.select("log_no", *PAGE_ID, "file"), repeated, ["log_no"], PAGE_ID, "inner")
+    return join_groups(numbered.select("log_no", *PAGE_ID, "file"), repeated, ["log_no"], PAGE_ID, "inner", rows_in="times")
 
 
 def _evidence() -> Column:

@@ -137,8 +137,8 @@ def check_picklist(records: DataFrame, picklist: DataFrame) -> DataFrame:
 def check_record_duplicates(records: DataFrame) -> DataFrame:
     """Notice on every later record of a log number, naming the first."""
     logged = records.where("separator = '' and log_number <> ''").select("seq", "log_number")
-    first = logged.groupBy("log_number").agg(F.min("seq").alias("first_seq"))
-    joined = join_groups(logged, first, ["log_number"], ["seq"]).where("seq > first_seq")
+    first = logged.groupBy("log_number").agg(F.min("seq").alias("first_seq"), F.count("*").alias("_rows"))
+    joined = join_groups(logged, first, ["log_number"], ["seq"], rows_in="_rows").where("seq > first_seq")
     detail = F.concat(F.lit("el log "), "log_number", F.lit(" ya salio en la pagina "), F.col("first_seq").cast("string"))
     return joined.select(_notice(F.col("seq"), "log_duplicado", detail).alias("n")).select("n.*")
 

@@ -24,14 +24,16 @@ def has_hot_groups(df: DataFrame, keys: list[str]) -> bool:
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: list[str],
-                how: str = "left") -> DataFrame:
+                how: str = "left", rows_in: str | None = None) -> DataFrame:
     """Join rows to a table with one row per key, salting the keys that are hot in ``rows``.
 
     Keys must not be null. ``spread`` identifies a row, so that salts survive task retries.
+    ``rows_in`` names a column of ``groups`` that already counts the rows of each key, which
+    saves counting them here.
     """
     limit = hot_rows(rows.sparkSession)
-    hot = (rows.groupBy(*keys).count().where(F.col("count") > limit)
-           .orderBy(F.desc("count")).limit(MAX_HOT_KEYS)
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")) if rows_in is None else groups.select(*keys, F.col(rows_in).alias("_n"))
+    hot = (counted.where(F.col("_n") > limit).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS)
            .select(*keys, F.lit(True).alias("_hot")))
     salted = (rows.join(F.broadcast(hot), keys, "left")
               .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
