@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,32 +20,40 @@ def membership(values: DataFrame, fleet: DataFrame, inside: bool) -> DataFrame:
     return values.join(F.broadcast(fleet.select("registration").distinct()), "registration", "left_semi" if inside else "left_anti")
 
 
-def _cost(read: Column, entry: Column) -> Column:
-    """Cost of turning a reading into a fleet entry: look-alike digits are cheaper."""
-    pairs = [x for p in CONFUSABLE_DIGITS for x in (p, p[::-1])]
+def _digit_moves(digit: Column) -> Column:
+    """Every digit that may have been read where the entry has ``digit``, with the cost of that misreading."""
+    pairs = {frozenset(p) for p in CONFUSABLE_DIGITS}
+    costs = [[0 if a == b else CONFUSABLE_DIGIT_COST if frozenset((a, b)) in pairs else DIFFERENT_DIGIT_COST for b in "0123456789"] for a in "0123456789"]
+    table = F.array(*[F.array(*[F.lit(c) for c in row]) for row in costs])
+    row = F.element_at(table, digit.cast("int") + 1)
+    return F.transform(row, lambda cost, i: F.struct(i.cast("string").alias("to"), cost.alias("cost")))
 
-    def digit(i: int) -> Column:
-        a, b = F.substring(read, i, 1), F.substring(entry, i, 1)
-        return F.when(a == b, 0).when(F.concat(a, b).isin(*pairs), CONFUSABLE_DIGIT_COST).otherwise(DIFFERENT_DIGIT_COST)
 
-    suffix = F.when(F.substring(read, 8, 3) == F.substring(entry, 8, 3), 0).otherwise(SUFFIX_COST)
-    return reduce(lambda a, b: a + b, [digit(i) for i in (4, 5, 6, 7)], suffix)
+def _suffix_moves(suffix: Column) -> Column:
+    return F.array(*[F.struct(F.lit(s).alias("to"), F.when(suffix == s, 0).otherwise(SUFFIX_COST).alias("cost")) for s in ("CMP", "WWP")])
 
 
-def nearest_entries(values: DataFrame, fleet: DataFrame) -> DataFrame:
-    """Nearest fleet entries of each distinct canonical ``registration``: the tied list and the winner if single.
+def nearest_entries(fleet: DataFrame) -> DataFrame:
+    """Nearest fleet entries of every possible reading HP-nnnnCMP/WWP: the tied list, its cost, and the winner if single.
 
-    Both sides are registrations of the form HP-nnnnCMP/WWP, so neither exceeds 20,000 values
-    whatever the number of pages; the fleet travels as one array value.
+    The cost of a reading is a sum over its characters, so the minimum over the fleet is found
+    one character at a time: spread each entry over the ten digits it may be read as, keep the
+    cheapest per reading, and go on with the next character. At most 20,000 readings exist and
+    each step groups ten rows per reading, whatever the sizes of the fleet and of the batch;
+    readings are never compared with entries pair by pair.
     """
-    entries = fleet.where(F.col("registration").rlike(REGISTRATION_RE)).agg(F.array_sort(F.collect_set("registration")).alias("all")).scalar()
-    distinct = values.where(F.col("registration").rlike(REGISTRATION_RE)).select("registration").distinct()
-    priced = distinct.withColumn("_all", entries).withColumn(
-        "_costs", F.transform("_all", lambda e: _cost(F.col("registration"), e)))
-    best = F.array_min("_costs")
-    tied = F.filter(F.transform("_all", lambda e, i: F.when(F.element_at("_costs", i + 1) == best, e)), lambda e: e.isNotNull())
-    return priced.select("registration", tied.alias("tied"), best.alias("cost")).withColumn(
-        "winner", F.when(F.size("tied") == 1, F.col("tied")[0]))
+    reg = F.col("registration")
+    state = fleet.where(reg.rlike(REGISTRATION_RE)).select("registration").distinct().select(
+        *[F.substring(reg, 4 + i, 1).alias(f"d{i}") for i in range(4)], F.substring(reg, 8, 3).alias("suffix"), F.lit(0).alias("cost"), F.array(reg).alias("tied"))
+    parts = ["d0", "d1", "d2", "d3", "suffix"]
+    for part in parts:
+        moves = _suffix_moves(F.col(part)) if part == "suffix" else _digit_moves(F.col(part))
+        moved = state.withColumn("_m", F.explode(moves)).select(
+            *[F.col("_m.to").alias(p) if p == part else F.col(p) for p in parts], (F.col("cost") + F.col("_m.cost")).alias("cost"), "tied")
+        options = moved.groupBy(*parts).agg(F.min("cost").alias("cost"), F.collect_list(F.struct("cost", "tied")).alias("_o"))
+        state = options.select(*parts, "cost", F.flatten(F.transform(F.filter("_o", lambda o: o["cost"] == F.col("cost")), lambda o: o["tied"])).alias("tied"))
+    return state.select(F.concat(F.lit("HP-"), *parts).alias("registration"), "cost", F.array_sort("tied").alias("tied"),
+                        F.when(F.size("tied") == 1, F.col("tied")[0]).alias("winner"))
 
 
 def nearest_fleet_match(pages: DataFrame, fleet: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -56,8 +62,7 @@ def nearest_fleet_match(pages: DataFrame, fleet: DataFrame, fields: dict[str, st
     size = allowed.agg(F.count("*")).scalar()
     value = F.upper(F.trim(F.col("matricula")["value"]))
     keyed = pages.withColumn("registration", F.when(value != "", value))
-    outside = membership(keyed.select("registration").where("registration is not null"), allowed, inside=False)
-    near = nearest_entries(outside, allowed)
+    near = nearest_entries(allowed)
     flagged = keyed.join(F.broadcast(allowed.withColumn("_listed", F.lit(True))), "registration", "left").join(F.broadcast(near), "registration", "left")
     read, winner, tied = F.col("registration"), F.col("winner"), F.col("tied")
     change = F.coalesce((size > 0) & read.isNotNull() & F.col("_listed").isNull(), F.lit(False))

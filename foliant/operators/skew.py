@@ -56,8 +56,14 @@ def attach(df: DataFrame, keys: list[str], hot: bool, spread: list[str], **aggs:
 
 
 def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
-    """Range-partition by ``order`` and keep the range number in ``_chunk``."""
+    """Range-partition by ``order`` and keep the range number in ``_chunk``.
+
+    The rows are saved first: counting them, sampling the bounds and moving them would
+    otherwise compute the input three times. Saved again, the range numbers cannot change
+    between the uses of the result, whatever tasks are retried.
+    """
     spark = df.sparkSession
+    df = save(df)
     parts = max(shuffle_partitions(spark), df.count() // hot_rows(spark) + 1)
     return save(df.repartitionByRange(parts, *order).withColumn("_chunk", F.spark_partition_id()))
 

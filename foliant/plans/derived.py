@@ -17,6 +17,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on inputs of a few file splits; larger inputs are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _reading(field_type: str, value: Column, confidence: Column, raw: Column | None = None,
              alternatives: Column | None = None, source: str = "ocr") -> Column:
     low = confidence < 0.5
@@ -32,7 +38,7 @@ def _reading(field_type: str, value: Column, confidence: Column, raw: Column | N
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """One row per scanned page, with a struct column per field."""
     k = F.col("k")
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 20).alias("file_seq"))
+    orders = spread(table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 20).alias("file_seq")), "k")
     b, s = F.floor(k / 40), k % 40
     base = orders.select("*", b.alias("b"), s.alias("s"))
     b, s = F.col("b"), F.col("s")
