@@ -161,32 +161,49 @@ def write_delivery_index(spark, folder):
     return spark.read.schema("part long, part_pos long, separador string, archivo string, pagina long, revisar boolean").json(path)
 
 
-@register("read_ground_truth", "string file, string date", "SELECT file || '#' || n_nationkey AS file, '2026/07/' || lpad(CAST(n_nationkey % 28 + 1 AS VARCHAR), 2, '0') AS date FROM (SELECT n_nationkey, lower(n_name) AS file FROM nation)")
+def documents(spark, name, df):
+    """Write one document per row of ``(block, value)``."""
+    path = scratch(spark, name)
+    df.repartition("block").write.partitionBy("block").text(path)
+    return path
+
+
+@register("read_ground_truth", "string file, string log_number, string date", """
+SELECT CAST(page_number AS VARCHAR) AS file, log AS log_number, '20' || year || '/' || lpad(CAST(month_n AS VARCHAR), 2, '0') || '/' || day AS date FROM pages WHERE day IS NOT NULL AND month IS NOT NULL AND year IS NOT NULL AND log IS NOT NULL""", PAGES)
 def read_ground_truth(spark, folder):
-    day = F.lpad((F.col("n_nationkey") % 28 + 1).cast("string"), 2, "0")
-    sample = F.struct(F.concat(F.lower("n_name"), F.lit("#"), F.col("n_nationkey").cast("string")).alias("file"), F.lit("2000001").alias("log_number"), F.concat(F.lit("2026/07/"), day).alias("date"))
-    doc = D.table(spark, folder, "nation").agg(F.to_json(F.struct(F.lit(1).alias("schema"), F.collect_list(sample).alias("samples"))).alias("v"))
-    return readers.read_ground_truth(spark, document(spark, "truth", doc))
+    """One truth document per thousand pages."""
+    from foliant.functions import dates as T
+    date = T.date_text(T.year_number(F.col("year")["value"]) + 2000, T.month_number(F.col("month")["value"]), T.day_number(F.col("day")["value"]))
+    rows = D.pages(spark, folder).select(F.floor(F.col("page_number") / 1000).alias("block"), F.col("page_number").cast("string").alias("file"), F.col("log_number.value").alias("log_number"), date.alias("date"))
+    docs = rows.where("log_number is not null and date is not null").groupBy("block").agg(
+        F.to_json(F.struct(F.lit(1).alias("schema"), F.collect_list(F.struct("file", "log_number", "date")).alias("samples"))).alias("value"))
+    return readers.read_ground_truth(spark, documents(spark, "truth", docs))
 
 
-@register("read_labels", "string sample_id, string label", "SELECT CAST(n_nationkey AS VARCHAR) AS sample_id, ['firma', 'ausente', 'dudosa'][n_regionkey + 1] AS label FROM nation WHERE n_regionkey < 2")
+@register("read_labels", "string sample_id, string label", """
+SELECT CAST(doc_id AS VARCHAR) AS sample_id, CASE WHEN quality = 1 THEN 'firma' ELSE 'ausente' END AS label FROM labels WHERE doc_id % 2 = 0 AND NOT (quality = 0 AND toxic = 1)""")
 def read_labels(spark, folder):
-    nation = D.table(spark, folder, "nation")
-    sid = F.col("n_nationkey").cast("string")
-    label = F.element_at(F.array(*[F.lit(x) for x in ("firma", "ausente", "dudosa", "otra", "nada")]), F.col("n_regionkey") + 1)
-    labels = nation.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(sid, label))).alias("labels"))).alias("v"))
-    item = F.struct(sid.alias("id"), F.lit("a.pdf").alias("pdf"), F.col("n_nationkey").alias("page"), F.lit("pilot_signature").alias("field_id"), F.lit("ok").alias("alignment"))
-    manifest = nation.agg(F.to_json(F.struct(F.collect_list(item).alias("samples"))).alias("v"))
+    """Manifest and label documents per thousand ids; half of the labels are unknown words."""
     from foliant.operators.evaluate import labelled_samples
-    return labelled_samples(readers.read_samples(spark, document(spark, "manifest", manifest)), readers.read_labels(spark, document(spark, "labels", labels)))
+    sid = F.col("doc_id").cast("string")
+    label = F.when(F.col("doc_id") % 2 == 1, "otra").when(F.col("quality") == 1, "firma").when(F.col("toxic") == 1, "dudosa").otherwise("ausente")
+    rows = D.table(spark, folder, "labels").withColumn("block", F.floor(F.col("doc_id") / 1000))
+    labels = rows.groupBy("block").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(sid, label))).alias("labels"))).alias("value"))
+    item = F.struct(sid.alias("id"), F.lit("a.pdf").alias("pdf"), F.col("doc_id").alias("page"), F.lit("pilot_signature").alias("field_id"), F.lit("ok").alias("alignment"))
+    manifest = rows.groupBy("block").agg(F.to_json(F.struct(F.collect_list(item).alias("samples"))).alias("value"))
+    return labelled_samples(readers.read_samples(spark, documents(spark, "manifest", manifest)), readers.read_labels(spark, documents(spark, "labels", labels)))
 
 
-@register("read_fleet_cache", "string registration, string fleet, string lessor", "SELECT 'HP-' || (1000 + n_nationkey) || 'CMP' AS registration, lower(n_name) AS fleet, '' AS lessor FROM nation WHERE n_regionkey > 0")
+@register("read_fleet_cache", "string registration, string fleet, string lessor", """
+SELECT registration, 'F' || registration[4:4] AS fleet, '' AS lessor FROM fleet WHERE CAST(registration[4:7] AS INT) % 3 > 0""", PAGES + FLEET)
 def read_fleet_cache(spark, folder):
-    reg = F.concat(F.when(F.col("n_regionkey") > 0, "hp-").otherwise("XX-"), (1000 + F.col("n_nationkey")).cast("string"), F.lit("cmp"))
-    pairs = F.map_from_entries(F.collect_list(F.struct(reg, F.struct(F.lower("n_name").alias("fleet")))))
-    doc = D.table(spark, folder, "nation").agg(F.to_json(F.struct(F.lit(1).alias("version"), pairs.alias("matriculas"))).alias("v"))
-    return readers.read_fleet_cache(spark, document(spark, "cache", doc))
+    """Cache documents per leading digit; every third registration is written in a form that is not valid."""
+    number = F.substring("registration", 4, 4)
+    key = F.when(number.cast("int") % 3 > 0, F.lower("registration")).otherwise(F.concat(F.lit("XX"), number))
+    rows = D.fleet(spark, folder).select(F.substring("registration", 4, 1).alias("block"), key.alias("key"), F.concat(F.lit("F"), F.substring("registration", 4, 1)).alias("fleet"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("key", F.struct("fleet"))))
+    docs = rows.groupBy("block").agg(F.to_json(F.struct(F.lit(1).alias("version"), pairs.alias("matriculas"))).alias("value"))
+    return readers.read_fleet_cache(spark, documents(spark, "cache", docs))
 
 
 @register("feature_cache", "string setting, long samples, double peaks", """
@@ -205,9 +222,9 @@ def feature_cache(spark, folder):
 
 
 @register("write_grouped", "long export_no, string output, long pages", """
-SELECT e.n AS export_no, output, count(*) AS pages FROM assigned, (VALUES (1), (2)) e(n) WHERE output IS NOT NULL GROUP BY ALL""", EXCLUDED)
+SELECT e.n AS export_no, CASE WHEN matricula IS NULL THEN 'revisar.pdf' ELSE mes_name || '.pdf' END AS output, count(*) AS pages FROM labels, (VALUES (1), (2)) e(n) WHERE matricula IS NULL OR NOT excluded GROUP BY ALL""", EXCLUDED)
 def write_grouped(spark, folder):
-    assigned = save(V.assign_groups(D.pages(spark, folder), ("avion", "mes"), excluded_pages(spark, folder)).select("page_number", "output"))
+    assigned = save(V.assign_groups(D.pages(spark, folder), ("mes",), excluded_pages(spark, folder)).select("page_number", "output"))
     path = scratch(spark, "groups")
     for _ in range(2):
         writers.write_grouped(assigned, path)

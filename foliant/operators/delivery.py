@@ -10,7 +10,7 @@ from foliant.constants import NO_MONTH, NO_REGISTRATION, UNREADABLE_ORDER
 from foliant.functions.dates import as_int, month_key, month_label, separator_label
 from foliant.functions.fields import canonical_registration, log_number, log_order
 from foliant.operators.books import PAGE_ID
-from foliant.operators.skew import positions
+from foliant.operators.skew import join_groups, positions
 
 REVIEW_LABEL, DISCREPANCY_LABEL = "REVISAR", "POSIBLES DISCREPANCIAS"
 REVIEW_FILE = "revisar.pdf"
@@ -27,7 +27,7 @@ def page_keys(pages: DataFrame) -> DataFrame:
 def exclude(keys: DataFrame, excluded: DataFrame | None, keep: bool = False) -> DataFrame:
     """Drop (or keep only) the pages listed by (file, page_number)."""
     if excluded is None:
-        return keys.limit(0) if keep else keys
+        return keys.where(F.lit(False)) if keep else keys
     return keys.join(excluded.select("file", "page_number").distinct(), ["file", "page_number"], "left_semi" if keep else "left_anti")
 
 
@@ -140,7 +140,7 @@ def split_parts(sequence: DataFrame, max_pages: int = 0) -> DataFrame:
     listed = sections.withColumn("_all", F.lit(0))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.schema)
     packed = listed.groupBy("_all").applyInPandas(lambda pdf: _pack(max_pages)(pdf.sort_values("start")), f"{types}, first_part long, base long")
-    placed = sequence.join(F.broadcast(packed.drop("_all")), SECTION)
+    placed = join_groups(sequence, packed.drop("_all"), SECTION, ["pos"], "inner", rows_in="size")
     big, header = F.col("size") > max_pages, F.col("header")
     repeat = big & header & F.lit(max_pages > 1)
     step = F.when(repeat, max_pages - 1).otherwise(max_pages)

@@ -85,5 +85,7 @@ def write_grouped(assigned: DataFrame, path: str) -> int:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         last = 0
-    assigned.withColumn("export_no", F.lit(last + 1)).write.mode("append").partitionBy("export_no", "output").parquet(path)
+    # Rebalancing keeps one task per small output and splits an output that holds most of the pages.
+    balanced = assigned.hint("rebalance", F.col("output"))
+    balanced.withColumn("export_no", F.lit(last + 1)).write.mode("append").partitionBy("export_no", "output").parquet(path)
     return last + 1
