@@ -110,7 +110,7 @@ def tune_thresholds(spark, folder):
     return E.tune_thresholds(samples(spark, folder)).withColumn("cost", F.round("cost", 9))
 
 
-@register("tune_fields", "string field_id, " + TUNED, tuned_sql("samples", "field_id"), FEATURES + GRID)
+@register("tune_fields", "string field_id, " + TUNED, tuned_sql("enough", "field_id"), FEATURES + GRID + "enough AS (SELECT * FROM samples WHERE field_id IN (SELECT field_id FROM samples WHERE label <> 'dudosa' GROUP BY field_id HAVING count(*) >= 40)),\n")
 def tune_fields(spark, folder):
     return E.tune_fields(samples(spark, folder)).withColumn("cost", F.round("cost", 9))
 
