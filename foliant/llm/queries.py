@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.session import scratch
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -15,5 +17,23 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), shingle=3, similarity=(85, 100))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+#: The tokenizer file of the token queries, of the installed public vocabularies.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.token_files import read_tokens, with_crc32, write_tokens
+
+    files = scratch(spark, "tokens")
+    write_tokens(_table(spark, folder, "documents"), files, tokenizer_path(), end_id=2)
+    return with_crc32(read_tokens(spark, files))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_token_files)}
 ORACLE_SQL: dict[str, str] = {}
