@@ -35,5 +35,11 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return with_crc32(read_tokens(spark, files))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_token_files)}
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.packing import pack
+
+    return pack(_table(spark, folder, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_token_files, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
