@@ -17,6 +17,12 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), shingle=3, similarity=(85, 100))
 
 
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.mixing import mix
+
+    return mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 #: The tokenizer file of the token queries, of the installed public vocabularies.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -41,5 +47,5 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_token_files, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op4_token_files, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
