@@ -23,6 +23,12 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.warc import read_warc, write_warc
+
+    return read_warc(write_warc(_table(spark, folder, "pages"), scratch(spark, "warc")), payload=False).drop("url")
+
+
 #: The tokenizer file of the token queries, of the installed public vocabularies.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -47,5 +53,12 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op4_token_files, op9_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op9_best_fit_packing)}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept_id FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> kept_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept_id THEN kept_id END AS refers_to FROM g""",
+}
