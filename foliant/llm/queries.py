@@ -47,14 +47,24 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return with_crc32(read_tokens(spark, files))
 
 
+def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.cuckoo import exact_duplicates
+
+    return exact_duplicates(_table(spark, folder, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from foliant.llm.packing import pack
 
     return pack(_table(spark, folder, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op5_exact_dedup, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)""",
     "op3_warc_archives": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
