@@ -53,14 +53,66 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_table(spark, folder, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.licences import scan
+
+    return scan(_table(spark, folder, "documents"))
+
+
+#: Host and path rules of the URL query, and hosts with a label that its patterns block.
+URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+URL_LABELS = ("cheap-pills", "spam-farm")
+
+
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.url_filters import filter_urls, host_path, label
+
+    rules = [host_path(*r) for r in URL_RULES] + [label("block", x) for x in URL_LABELS]
+    return filter_urls(_table(spark, folder, "pages"), rules)
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from foliant.llm.packing import pack
 
     return pack(_table(spark, folder, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op5_exact_dedup, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op5_exact_dedup, op7_license_scan, op8_url_filter, op9_best_fit_packing)}
+def _licence_sql() -> str:
+    from foliant.llm.licences import ENDS, RULES, SENTENCES
+
+    sentences = ", ".join(f"({i}, '{text}')" for i, text in SENTENCES.items())
+    rules = ", ".join(f"('{name}', {ids[0]}, '{','.join(map(str, ids))},', {len(ids)})" for name, ids in RULES)
+    cuts = " UNION ALL ".join(f"SELECT doc_id, {i} AS cut, string_split_regex(coalesce(text, ''), '{ends}') AS units FROM documents" for i, ends in enumerate(ENDS))
+    return f"""
+WITH s(sentence, unit) AS (VALUES {sentences}), r(licence, sentence, ids, size) AS (VALUES {rules}), c AS ({cuts}),
+u AS (SELECT doc_id, cut, unnest(units) AS raw, generate_subscripts(units, 1) AS place FROM c),
+n AS (SELECT doc_id, cut, place, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS unit FROM u),
+f AS (SELECT doc_id, cut, place, sentence, string_agg(CAST(sentence AS VARCHAR), ',') OVER (PARTITION BY doc_id, cut ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) || ',' AS coming FROM n JOIN s USING (unit)),
+m AS (SELECT doc_id, cut, place, first(licence ORDER BY size DESC, licence) AS licence FROM f JOIN r USING (sentence) WHERE starts_with(coming, ids) GROUP BY ALL),
+l AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM m GROUP BY doc_id),
+k AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, cut, count(*) AS n FROM f GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, coalesce(licences, '') AS licences, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences FROM documents LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{action}', '{host}', '{path}')" for action, host, path in URL_RULES)
+    labels = ", ".join(f"'{x}'" for x in URL_LABELS)
+    shape = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+    return f"""
+WITH r(action, rule_host, rule_path) AS (VALUES {rules}),
+u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{shape}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '{shape}', 2), '') AS path FROM pages),
+m AS (SELECT page_id, first(action ORDER BY length(rule_host || rule_path) DESC) AS action, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC) AS rule
+  FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+p AS (SELECT page_id, list_min(list_filter([{labels}], lambda x: list_contains(string_split(host, '.'), x))) AS label FROM u)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN label IS NOT NULL THEN 'block' END, 'allow') AS verdict, 'label ' || label AS pattern
+FROM u LEFT JOIN m USING (page_id) LEFT JOIN p USING (page_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": _licence_sql(),
+    "op8_url_filter": _url_sql(),
     "op5_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
