@@ -53,6 +53,12 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.quality import classify
+
+    return classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.3)
+
+
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     from foliant.llm.licences import scan
 
@@ -77,7 +83,7 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op5_exact_dedup, op7_license_scan, op8_url_filter, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op5_exact_dedup, op6_quality_classifier, op7_license_scan, op8_url_filter, op9_best_fit_packing)}
 def _licence_sql() -> str:
     from foliant.llm.licences import ENDS, RULES, SENTENCES
 
