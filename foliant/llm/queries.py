@@ -82,8 +82,13 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     return pack(_table(spark, folder, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
+def op10_media_copies(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.images import image_copies
+    from foliant.llm.pictures import pictures
+
+    return image_copies(pictures(_table(spark, folder, "embeddings")))
+
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op5_exact_dedup, op6_quality_classifier, op7_license_scan, op8_url_filter, op9_best_fit_packing)}
 def _licence_sql() -> str:
     from foliant.llm.licences import ENDS, RULES, SENTENCES
 
@@ -130,3 +135,5 @@ g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> kept_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> kept_id THEN kept_id END AS refers_to FROM g""",
 }
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op5_exact_dedup, op6_quality_classifier,
+                                   op7_license_scan, op8_url_filter, op9_best_fit_packing, op10_media_copies)}
