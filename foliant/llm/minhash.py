@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import connected, numbered, slices, stored
@@ -25,7 +25,6 @@ SCALE = 1024.0
 TOP = 65535
 #: Estimates this many standard errors below the threshold end a candidate; a true link falls there once in 10**7.
 ERRORS = 5.5
-PIVOT_ROUNDS = 2
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,6 +140,16 @@ def _named(batches, k):
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), part.column(1)], ["fingerprint", "text"])
 
 
+def _exploded(batches, k):
+    for batch in batches:
+        for part in slices(batch, 1):
+            sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), k)
+            edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values))],
+                                             ["fingerprint", "shingles"])
+
+
 def _promising(batches, floor):
     for batch in batches:
         if batch.num_rows:
@@ -172,6 +181,41 @@ class _Search:
         t = above / below
         self.floor = t - ERRORS * math.sqrt(t * (1 - t) / REGISTERS)
 
+    def found(self, asked: DataFrame, read, schema: str) -> DataFrame:
+        """What ``read`` makes of the texts of the nodes ``asked``. A document is found again by its id; the set's fingerprint tells rows with one id apart."""
+        asked = stored(self.nodes.join(asked, "node", "left_semi").select("node", "doc_id", "fingerprint", "n_shingles"), "asked")
+        rows = self.texts.join(asked.select("doc_id").distinct(), self.texts.doc_id.eqNullSafe(asked.doc_id), "left_semi")
+        return rows.mapInArrow(read, f"fingerprint binary, {schema}").join(asked, "fingerprint")
+
+    def rest(self, mixed: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components that may still be linked, from nodes that share buckets across components.
+
+        Linked sets share all but a few of their shingles, so they have one in common among the rarest few of each: only
+        those are met. A copy with too many shingles of its own meets nobody, however many near copies are around it.
+        """
+        k, above, below = self.k, self.above, self.below
+        named = mixed.select("node", "component").distinct()
+        sets = self.found(named.select("node"), lambda it: _exploded(it, k), "shingles array<long>").join(named, "node")
+        tokens = stored(sets.select("node", "component", "n_shingles", F.explode("shingles").alias("shingle")), "shingles")
+        often = tokens.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 1")
+        own = Window.partitionBy("node")
+        most = F.col("n_shingles") - F.ceil(F.col("n_shingles") * above / below) + 1
+        ranked = (tokens.join(often, "shingle").withColumn("alone", F.col("n_shingles") - F.count("*").over(own))
+                  .withColumn("rank", F.col("alone") + F.row_number().over(own.orderBy("n", "shingle"))).where(F.col("rank") <= most).where("low <> high"))
+        members = stored(ranked.select("shingle", "component", "n_shingles", "rank", "node"), "rarest")
+        # Nodes of one component that are alike here are one part, so that no pair within a component is made.
+        keys = ["shingle", "component", "n_shingles", "rank"]
+        parts = members.select(*keys).distinct()
+        others = parts.select("shingle", *[F.col(c).alias(f"other_{c}") for c in keys[1:]])
+        # Of two linked sets the rarest shared shingle comes before as many others as the overlap leaves room for.
+        overlap = F.ceil((F.col("n_shingles") + F.col("other_n_shingles")) * above / (above + below))
+        fits = ((F.col("component") < F.col("other_component")) & (F.col("rank") <= F.col("n_shingles") - overlap + 1)
+                & (F.col("other_rank") <= F.col("other_n_shingles") - overlap + 1))
+        across = parts.join(others, "shingle").where(fits)
+        return (across.join(members.withColumnRenamed("node", "p"), keys)
+                .join(members.select("shingle", *[F.col(c).alias(f"other_{c}") for c in keys[1:]], F.col("node").alias("q")), ["shingle", *[f"other_{c}" for c in keys[1:]]])
+                .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that hold: sizes allow it, the joint estimate is near enough, and the full sets agree."""
         k, above, below, floor = self.k, self.above, self.below, self.floor
@@ -183,11 +227,7 @@ class _Search:
                       .where(F.least("na", "nb") * below >= F.greatest("na", "nb") * above)
                       .select("a", "b", "sketch_a", "sketch_b", "na", "nb").mapInArrow(lambda it: _promising(it, floor), "a long, b long"), "near")
         asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        asked = stored(self.nodes.join(asked, "node", "left_semi").select("node", "doc_id", "fingerprint"), "asked")
-        # A document is found again by its id; the set's fingerprint tells rows with one id apart.
-        found = (self.texts.join(asked.select("doc_id").distinct(), self.texts.doc_id.eqNullSafe(asked.doc_id), "left_semi")
-                 .mapInArrow(lambda it: _named(it, k), "fingerprint binary, text string"))
-        texts = stored(found.join(asked, "fingerprint").groupBy("node").agg(F.max("text").alias("text")), "texts")
+        texts = stored(self.found(asked, lambda it: _named(it, k), "text string").groupBy("node").agg(F.max("text").alias("text")), "texts")
         full = (near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b"))
         return stored(full.mapInArrow(lambda it: _verified(it, k, above, below), "a long, b long"), "links")
@@ -207,9 +247,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ``similarity``. Texts with fewer words are one shingle; null, empty and wordless texts have none and stay alone. Rows that
     repeat an id are rows of their own; a null id counts as larger than any other. Extra columns are ignored.
 
-    Equal sets fall into one node first. Nodes that share a band of registers meet in a bucket. A bucket's pivot is tried
-    against its other members, in ``PIVOT_ROUNDS`` rounds with another pivot each; members that no pivot has joined are then
-    tried across components, whatever their number, so that buckets of any size cost about their rows and lose no link.
+    Equal sets fall into one node first. Nodes that share a band of registers meet in a bucket, whose pivot is tried against its
+    other members. Nodes that then still share buckets with other components meet by their rarest shingles, which loses no
+    link; pairs within a component are never made, so a group of copies of any size costs about its rows.
     """
     above, below = similarity
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -221,35 +261,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     search = _Search(nodes, texts, shingle, above, below)
     bands = [F.xxhash64(F.lit(i), F.expr(f"substring(sketch, {i * BAND * 2 + 1}, {BAND * 2})")) for i in range(REGISTERS // BAND)]
     members = nodes.select("node", F.explode(F.array(*bands)).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(members.join(shared, "bucket", "left_semi"), "members")
-
-    tried = links = None
-    labels = nodes.sparkSession.createDataFrame([], "node long, component long")
-    for turn in range(PIVOT_ROUNDS + 1):
-        mixed = _mixed(members, labels) if links is not None else members.withColumn("component", F.col("node"))
-        if turn < PIVOT_ROUNDS:
-            pick = F.min("node") if turn % 2 == 0 else F.max("node")
-            pivots = mixed.groupBy("bucket").agg(pick.alias("pivot"))
-            pairs = mixed.join(pivots, "bucket")
-            if turn:
-                pairs = pairs.join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("of_pivot")), "pivot", "left") \
-                    .where("component <> coalesce(of_pivot, pivot)")
-            pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).where("a <> b").distinct()
-        else:
-            mixed = stored(mixed, "mixed")
-            parts = mixed.select("bucket", "component").distinct()
-            across = parts.join(parts.withColumnRenamed("component", "other"), "bucket").where("component < other")
-            pairs = (across.join(mixed, ["bucket", "component"]).withColumnRenamed("node", "p")
-                     .join(mixed.select("bucket", F.col("component").alias("other"), F.col("node").alias("q")), ["bucket", "other"])
-                     .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = search.links(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = connected(links)
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(members.join(shared, "bucket"), "members")
+    # The pivot of a bucket is the node that meets most others: of edited copies, the one that is nearest to all.
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    pivots = members.join(central, "node").groupBy("bucket").agg(F.max_by("node", "weight").alias("pivot"))
+    pairs = members.join(pivots, "bucket").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).where("a <> b").distinct()
+    tried = stored(pairs, "pairs")
+    links = search.links(tried)
+    rest = search.rest(stored(_mixed(members, connected(links)), "mixed")).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(search.links(stored(rest, "rest")))
+    labels = connected(links)
 
     classes = nodes.join(labels, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component"))
     named = rows.select("doc_id", "n_shingles", "fingerprint")
