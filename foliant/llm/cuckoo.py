@@ -229,11 +229,22 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     Texts are told apart by SHA-256; the index decides which digests are shared, and only those rows are joined to their group.
     """
     rows = numbered(digests(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "text"), "digests")
-    index = insert(empty_index(docs.sparkSession, shards_for(rows.count())), rows)
+    return _grouped(rows).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """keep_id, group_size and kept beside ``rows`` (_row, doc_id, digest)."""
+    index = insert(empty_index(rows.sparkSession, shards_for(rows.count())), rows)
     groups = stored(index.select(F.explode("keys").alias("k")).select("k.digest", F.col("k.live").alias("group_size"), F.col("k.largest").alias("keep_id")).where("group_size > 1"), "groups")
     heads = rows.join(groups, "digest").where("doc_id <=> keep_id").groupBy("digest").agg(F.min("_row").alias("head"))
     groups = stored(groups.join(heads, "digest"), "groups")
     return (rows.join(groups, "digest", "left")
-            .select("doc_id", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-                    F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("head") == F.col("_row"), F.lit(True)).alias("kept"),
-                    F.lower(F.hex("digest")).alias("text_sha256")))
+            .select("_row", "doc_id", "digest", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+                    F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("head") == F.col("_row"), F.lit(True)).alias("kept")))
+
+
+def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns."""
+    table = numbered(docs, "documents")
+    rows = stored(digests(table.select("_row", F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "text"), "digests")
+    return table.join(_grouped(rows).where("NOT kept").select("_row"), "_row", "left_anti").drop("_row")

@@ -233,8 +233,11 @@ class _Search:
         return stored(full.mapInArrow(lambda it: _verified(it, k, above, below), "a long, b long"), "links")
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with their component."""
+def _mixed(members: DataFrame, links: DataFrame, central: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, as far as the links show: a node is in the component of the most central node it is linked to."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = ends.join(central.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("weight", "b")).alias("best"))
+    labels = ends.join(central, "node").select("node", F.greatest("best", F.struct("weight", F.col("node").alias("b")))["b"].alias("component"))
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     buckets = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     return named.join(buckets.select("bucket"), "bucket", "left_semi")
@@ -264,12 +267,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(members.join(shared, "bucket"), "members")
     # The pivot of a bucket is the node that meets most others: of edited copies, the one that is nearest to all.
-    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    central = stored(members.groupBy("node").agg(F.sum("n").alias("weight")), "central")
     pivots = members.join(central, "node").groupBy("bucket").agg(F.max_by("node", "weight").alias("pivot"))
     pairs = members.join(pivots, "bucket").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).where("a <> b").distinct()
     tried = stored(pairs, "pairs")
     links = search.links(tried)
-    rest = search.rest(stored(_mixed(members, connected(links)), "mixed")).join(tried, ["a", "b"], "left_anti")
+    rest = search.rest(stored(_mixed(members, links, central), "mixed")).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(search.links(stored(rest, "rest")))
     labels = connected(links)
 
@@ -280,3 +283,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     roots = roots.join(roots.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fingerprint", "component_id")
     return (named.join(roots, "fingerprint", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
             .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One row of each near-duplicate group of ``docs``, with all its columns. Rows that share an id stay if one of them does."""
+    found = near_duplicates(docs, id_column, text_column, shingle, similarity)
+    gone = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_gone")), "left_anti")

@@ -85,7 +85,7 @@ def _round_chunk(items: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-        weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: int = 17) -> DataFrame:
+        weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: int = 17, row_column: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies per row of ``docs``; taken = copies * size.
 
     A null source is a source; null, empty and wordless texts have size 0 and no copies. Rows that repeat an id are rows of their own.
@@ -93,7 +93,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     The last fractional document of a source is rounded to the nearer side, and one other document's copies change by one if
     its size comes closer to the words then missing or in excess.
     """
-    rows = numbered(docs.select(F.col(id_column).cast("long").alias("doc_id"), size_of(F.col(text_column)).alias("size"), F.col(source_column).cast("string").alias("source")), "sizes")
+    columns = [F.col(id_column).cast("long").alias("doc_id"), size_of(F.col(text_column)).alias("size"), F.col(source_column).cast("string").alias("source")]
+    rows = numbered(docs.select(*columns), "sizes") if row_column is None else stored(docs.select(*columns, F.col(row_column).alias("_row")), "sizes")
     shares = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).drop("n"), weights, cap), "targets")
     wanted = rows.join(shares.select(F.col("source").alias("_source"), "source_size", "target"), rows.source.eqNullSafe(F.col("_source"))).drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -128,6 +129,13 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     return _corrected(taken, cap).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "_row")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns; options as for ``mix``."""
+    table = numbered(docs, "documents")
+    copies = mix(table, row_column="_row", **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return table.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+
+
 def _corrected(taken: DataFrame, cap: int) -> DataFrame:
     """Change the copies of at most one document per source by one, where that brings the source closer to its target."""
     off = taken.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing")).withColumnRenamed("source", "_source")

@@ -240,12 +240,13 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", fit
     return vectors, fit(x[taught], y[taught], (x[~taught], y[~taught]))
 
 
-def score(docs: DataFrame, model: tuple[Vectors, Network], threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) with score (0 to 1) and predicted (1 from ``threshold`` on)."""
+def score(docs: DataFrame, model: tuple[Vectors, Network], threshold: float = 0.3, text_column: str = "text", keep_text: bool = True) -> DataFrame:
+    """The rows of ``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on), in place of any columns so named; without the text if it is not kept."""
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
-    at = names.index("text")
-    kept = [i for i in range(len(names)) if i != at]
+    at = names.index(text_column)
+    kept = [i for i in range(len(names)) if keep_text or i != at]
 
     def run(batches):
         vectors, network = shared.value
@@ -265,5 +266,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     words; a null id is not held out. Without labels, or with labels of one class, every row gets that class's smoothed share.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    rows = score(texts, train(texts, labels, label_column), threshold)
+    rows = score(texts, train(texts, labels, label_column), threshold, keep_text=False)
     return rows.select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
