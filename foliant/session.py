@@ -16,7 +16,8 @@ def build_session(app: str = "foliant", master: str | None = None, partitions: i
     builder = (SparkSession.builder.appName(app)
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
-               .config("spark.sql.adaptive.skewJoin.enabled", "true"))
+               .config("spark.sql.adaptive.skewJoin.enabled", "true")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         builder = (builder.master(master).config("spark.ui.enabled", "false")
                    .config("spark.ui.showConsoleProgress", "false"))
@@ -35,13 +36,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A temporary folder of this machine; only a session without other machines may use one."""
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"foliant-{name}-")
+
+
 def save(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="foliant-checkpoint-"))
+        context.setCheckpointDir(shared or _own_folder(spark, "checkpoint"))
     return df.checkpoint()
 
 
@@ -50,4 +59,4 @@ def scratch(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("foliant.scratch", None) or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"foliant-{name}-") + "/data"
+    return _own_folder(spark, name) + "/data"
