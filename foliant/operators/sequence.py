@@ -20,8 +20,6 @@ from foliant.operators.books import PAGE_ID
 from foliant.operators.skew import attach, in_ranges, neighbours
 from foliant.session import hot_rows, save
 
-# Chosen rows are broadcast up to this count and shuffled beyond it.
-BROADCAST_ROWS = 500_000
 ORDER = ["log_no", *reversed(PAGE_ID)]
 NORMALISERS = (("day", day_number), ("month", month_number), ("year", year_number))
 
@@ -222,8 +220,7 @@ def sequence_choices(df: DataFrame, hot: bool) -> DataFrame:
 def sequence_candidates(df: DataFrame, hot: bool) -> DataFrame:
     """Write the chosen alternatives on the pages and count the changed parts."""
     choices = save(sequence_choices(df, hot))
-    few = choices.count() <= BROADCAST_ROWS
-    df = df.join(F.broadcast(choices) if few else choices, PAGE_ID, "left")
+    df = df.join(choices, PAGE_ID, "left")
     for field, _ in NORMALISERS:
         pick = F.col(f"c_{field}")
         df = df.withColumn("_move", F.coalesce(F.col(field).isNotNull() & pick.isNotNull() & ~F.col(field + "_n").eqNullSafe(pick), F.lit(False)))

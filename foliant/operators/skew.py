@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from foliant.session import hot_rows, save, shuffle_partitions
 
-# Rows of the broadcast hot-key list; keys beyond it hold less than 1/1000 of the rows each.
-MAX_HOT_KEYS = 1000
-SALTS = 64
+# A hot key holds at least this share of all rows, so the broadcast list of hot keys has at most as many entries as the share allows.
+HOT_SHARE = 1 / 100_000
+# Rows of one range; the sort inside a range spills, so this bounds the number of ranges, not memory.
+RANGE_ROWS = 2_000_000
 
 
 def has_hot_groups(df: DataFrame, keys: list[str]) -> bool:
@@ -29,19 +30,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: lis
 
     Keys must not be null. ``spread`` identifies a row, so that salts survive task retries.
     ``rows_in`` names a column of ``groups`` that already counts the rows of each key, which
-    saves counting them here.
+    saves counting them here. A key gets one salt for every ``hot_rows`` of its rows, and every
+    key above that is salted; on very large tables the bound is ``HOT_SHARE`` of the rows.
     """
     limit = hot_rows(rows.sparkSession)
     counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")) if rows_in is None else groups.select(*keys, F.col(rows_in).alias("_n"))
-    hot = (counted.where(F.col("_n") > limit).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS)
-           .select(*keys, F.lit(True).alias("_hot")))
+    # The bound is a value of the same plan, not a job of its own.
+    bound = F.greatest(F.lit(limit).cast("double"), F.coalesce(counted.agg(F.sum("_n")).scalar(), F.lit(0)) * F.lit(HOT_SHARE))
+    hot = counted.where(F.col("_n") > bound).select(*keys, F.ceil(F.col("_n") / bound).alias("_salts"))
     salted = (rows.join(F.broadcast(hot), keys, "left")
-              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-                          .otherwise(F.lit(0).cast("long"))).drop("_hot"))
+              .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0).cast("long"))).drop("_salts"))
     copies = (groups.join(F.broadcast(hot), keys, "left")
-              .withColumn("_salt", F.explode(
-                  F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-                  .otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot"))
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts"))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -64,7 +64,7 @@ def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     df = save(df)
-    parts = max(shuffle_partitions(spark), df.count() // hot_rows(spark) + 1)
+    parts = max(shuffle_partitions(spark), df.count() // RANGE_ROWS + 1)
     return save(df.repartitionByRange(parts, *order).withColumn("_chunk", F.spark_partition_id()))
 
 
