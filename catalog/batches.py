@@ -142,7 +142,7 @@ def correct_inferred_fleet(spark, folder):
 
 
 @register("check_picklist", "long seq, string code, string detail", """
-SELECT seq, CASE WHEN registration = '' THEN 'matricula_vacia' ELSE 'matricula_desconocida' END AS code, CASE WHEN registration = '' THEN 'no se pudo leer la matricula' ELSE registration || ' no esta en el picklist de AirVault' END AS detail
+SELECT seq, CASE WHEN registration = '' THEN 'matricula_vacia' ELSE 'matricula_desconocida' END AS code, CASE WHEN registration = '' THEN 'no se pudo leer la matricula' ELSE registration || ' no esta en el picklist del indice remoto' END AS detail
 FROM records WHERE separator = '' AND registration NOT IN (SELECT value FROM picklist)""", REMOTE)
 def check_picklist(spark, folder):
     return R.check_picklist(records(spark, folder), picklist(spark, folder))
@@ -155,9 +155,9 @@ def check_record_duplicates(spark, folder):
 
 
 _NOTICES = """
-  CASE WHEN m.page IS NULL THEN '[no_cargo] pagina ' || f.seq || ': AirVault no devolvio la pagina ' || f.seq || ': sin respuesta' END,
-  CASE WHEN r_log <> '' AND log_number <> '' AND r_log <> log_number THEN '[desalineado] pagina ' || f.seq || ': AirVault tiene el log ' || r_log || ' y el manifiesto ' || log_number END,
-  CASE WHEN r_reg <> '' AND registration <> '' AND r_reg <> registration AND r_log = '' THEN '[matricula_distinta] pagina ' || f.seq || ': AirVault tiene ' || r_reg || ' y el manifiesto ' || registration END,
+  CASE WHEN m.page IS NULL THEN '[no_cargo] pagina ' || f.seq || ': el indice remoto no devolvio la pagina ' || f.seq || ': sin respuesta' END,
+  CASE WHEN r_log <> '' AND log_number <> '' AND r_log <> log_number THEN '[desalineado] pagina ' || f.seq || ': el indice remoto tiene el log ' || r_log || ' y el manifiesto ' || log_number END,
+  CASE WHEN r_reg <> '' AND registration <> '' AND r_reg <> registration AND r_log = '' THEN '[matricula_distinta] pagina ' || f.seq || ': el indice remoto tiene ' || r_reg || ' y el manifiesto ' || registration END,
   CASE WHEN m.state = 0 THEN '[ya_indexada] pagina ' || f.seq || ': la pagina ya esta en Valid; usar --sobrescribir para pisarla' END"""
 
 
@@ -173,7 +173,7 @@ _EMPTY = ", ".join(f"CASE WHEN {c} = '' THEN '[obligatorio_vacio] pagina ' || f.
 PLAN = REMOTE + f"""
 firsts AS (SELECT log_number AS fl, min(seq) AS first FROM records WHERE separator = '' AND log_number <> '' GROUP BY log_number),
 plan AS (SELECT f.*, coalesce(m.state = 0, false) AND separator = '' AS already, CASE WHEN separator <> '' THEN '' ELSE concat_ws(' | ',
-  CASE WHEN registration = '' THEN '[matricula_vacia] pagina ' || f.seq || ': no se pudo leer la matricula' WHEN registration NOT IN (SELECT value FROM picklist) THEN '[matricula_desconocida] pagina ' || f.seq || ': ' || registration || ' no esta en el picklist de AirVault' END,
+  CASE WHEN registration = '' THEN '[matricula_vacia] pagina ' || f.seq || ': no se pudo leer la matricula' WHEN registration NOT IN (SELECT value FROM picklist) THEN '[matricula_desconocida] pagina ' || f.seq || ': ' || registration || ' no esta en el picklist del indice remoto' END,
   CASE WHEN f.seq > first THEN '[log_duplicado] pagina ' || f.seq || ': el log ' || log_number || ' ya salio en la pagina ' || first END, {_EMPTY}, {_NOTICES}) END AS avisos
   FROM fixed f LEFT JOIN remote m ON m.page = f.seq LEFT JOIN firsts ON fl = log_number),
 actions AS (SELECT *, CASE WHEN separator <> '' THEN 'separador' WHEN avisos = '' THEN 'escribir' ELSE 'bloqueada' END AS accion FROM plan),
@@ -185,7 +185,7 @@ PLAN_COLUMNS = ("long pagina_lote, long seq, string archivo_origen, long pagina_
 def plan(spark, folder):
     from foliant.session import save
     recs = save(records(spark, folder))
-    return R.plan_pages(recs, remote(spark, folder, recs), picklist(spark, folder), cache(spark, folder), remote_pages=recs.agg(F.count("*")).scalar(), batch_name="BITS")
+    return R.plan_pages(recs, remote(spark, folder, recs), picklist(spark, folder), cache(spark, folder), remote_pages=recs.agg(F.count("*")).scalar(), batch_name="LOTE")
 
 
 @register("plan_pages", PLAN_COLUMNS, """
@@ -197,7 +197,7 @@ def plan_pages(spark, folder):
 
 
 @register("plan_upload_only", "long seq, string accion, string avisos", """
-SELECT seq, CASE WHEN separator <> '' THEN 'separador' ELSE 'bloqueada' END AS accion, CASE WHEN separator <> '' THEN '' ELSE '[revisar_a_mano] pagina ' || seq || ': sin avion confirmado; se indexa a mano en AirVault' END AS avisos FROM records""", RECORDS)
+SELECT seq, CASE WHEN separator <> '' THEN 'separador' ELSE 'bloqueada' END AS accion, CASE WHEN separator <> '' THEN '' ELSE '[revisar_a_mano] pagina ' || seq || ': sin avion confirmado; se indexa a mano en el indice remoto' END AS avisos FROM records""", RECORDS)
 def plan_upload_only(spark, folder):
     recs = records(spark, folder)
     return R.plan_rows(R.plan_pages(recs, remote(spark, folder, recs), picklist(spark, folder), cache(spark, folder), upload_only=True))
@@ -217,9 +217,9 @@ def blocked_reasons(spark, folder):
 
 @register("index_values", "long seq, long field_id, string value", """
 SELECT seq, f.id AS field_id, f.v AS value FROM records, LATERAL (VALUES (9586, 'Log Page'), (9633, registration), (9699, fleet), (9675, log_number), (9754, 'PUBLISHED'),
-  (9593, CASE WHEN date = '' THEN '' ELSE date[6:7] || '/' || date[9:10] || '/' || date[1:4] END), (9783, CASE WHEN lessor <> '' THEN lessor END), (9631, 'BITS')) f(id, v) WHERE separator = '' AND f.v IS NOT NULL""", RECORDS)
+  (9593, CASE WHEN date = '' THEN '' ELSE date[6:7] || '/' || date[9:10] || '/' || date[1:4] END), (9783, CASE WHEN lessor <> '' THEN lessor END), (9631, 'LOTE')) f(id, v) WHERE separator = '' AND f.v IS NOT NULL""", RECORDS)
 def index_values(spark, folder):
-    return records(spark, folder).where("separator = ''").select("seq", F.explode(R.index_values("BITS")).alias("field_id", "value"))
+    return records(spark, folder).where("separator = ''").select("seq", F.explode(R.index_values("LOTE")).alias("field_id", "value"))
 
 
 def outcomes(recs):
@@ -313,14 +313,14 @@ def picklist_values(spark, folder):
 
 
 @register("batch_names", "long run, long pos, string batch_name", """
-SELECT l_orderkey AS run, l_linenumber AS pos, 'BITS ' || CASE WHEN l_orderkey % 2 = 0 THEN lpad(CAST(l_orderkey % 28 + 1 AS VARCHAR), 2, '0') || ' AUG 2026 05 42' ELSE upper(strftime(min(l_shipdate), '%d %b %Y %H %M')) END ||
+SELECT l_orderkey AS run, l_linenumber AS pos, 'LOTE ' || CASE WHEN l_orderkey % 2 = 0 THEN lpad(CAST(l_orderkey % 28 + 1 AS VARCHAR), 2, '0') || ' AUG 2026 05 42' ELSE upper(strftime(min(l_shipdate), '%d %b %Y %H %M')) END ||
   CASE WHEN l_linenumber = 7 THEN ' REVISAR' WHEN l_orderkey % 3 > 0 THEN ' -' || l_linenumber ELSE '' END AS batch_name FROM lineitem GROUP BY l_orderkey, l_linenumber""")
 def batch_names(spark, folder):
     lines = D.table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("pos")).agg(F.min("l_shipdate").alias("moment"))
     day = (F.col("run") % 28 + 1).cast("string")
-    path = F.when(F.col("run") % 2 == 0, F.concat(F.lit("out/bits  "), day, F.lit(" aug 2026 05 42/x.csv"))).otherwise("out/x.csv")
+    path = F.when(F.col("run") % 2 == 0, F.concat(F.lit("out/lote  "), day, F.lit(" aug 2026 05 42/x.csv"))).otherwise("out/x.csv")
     parts = lines.select("run", "pos", path.alias("path"), "moment", F.col("pos").alias("number"), F.when(F.col("run") % 3 > 0, 9).otherwise(1).alias("total"), (F.col("pos") == 7).alias("is_review"))
-    return R.batch_names(parts, " bits ")
+    return R.batch_names(parts, " lote ")
 
 
 STAGE_LIST = "['procesar','preparar','subir','descubrir','indexar','verificar']"

@@ -130,7 +130,7 @@ def check_picklist(records: DataFrame, picklist: DataFrame) -> DataFrame:
     joined = records.where("separator = ''").join(F.broadcast(listed), "registration", "left")
     reg = F.col("registration")
     notice = (F.when(reg == "", _notice(F.col("seq"), "matricula_vacia", "no se pudo leer la matricula"))
-              .when(any_listed & F.col("_listed").isNull(), _notice(F.col("seq"), "matricula_desconocida", F.concat(reg, F.lit(" no esta en el picklist de AirVault")))))
+              .when(any_listed & F.col("_listed").isNull(), _notice(F.col("seq"), "matricula_desconocida", F.concat(reg, F.lit(" no esta en el picklist del indice remoto")))))
     return joined.select(notice.alias("n")).where("n is not null").select("n.*")
 
 
@@ -160,11 +160,11 @@ def _alignment_notices(overwrite: bool) -> list[Column]:
     own_log, own_reg = F.col("log_number"), F.col("registration")
     found = F.col("state").isNotNull()
     notices = [
-        F.when(~found, _notice(seq, "no_cargo", F.concat(F.lit("AirVault no devolvio la pagina "), F.col("batch_page").cast("string"), F.lit(": sin respuesta")))),
+        F.when(~found, _notice(seq, "no_cargo", F.concat(F.lit("el indice remoto no devolvio la pagina "), F.col("batch_page").cast("string"), F.lit(": sin respuesta")))),
         F.when(found & (log != "") & (own_log != "") & (log != own_log),
-               _notice(seq, "desalineado", F.concat(F.lit("AirVault tiene el log "), log, F.lit(" y el manifiesto "), own_log))),
+               _notice(seq, "desalineado", F.concat(F.lit("el indice remoto tiene el log "), log, F.lit(" y el manifiesto "), own_log))),
         F.when(found & (reg != "") & (own_reg != "") & (F.upper(reg) != F.upper(own_reg)) & (log == ""),
-               _notice(seq, "matricula_distinta", F.concat(F.lit("AirVault tiene "), reg, F.lit(" y el manifiesto "), own_reg)))]
+               _notice(seq, "matricula_distinta", F.concat(F.lit("el indice remoto tiene "), reg, F.lit(" y el manifiesto "), own_reg)))]
     if not overwrite:
         notices.append(F.when(F.col("state") == STATE_VALID, _notice(seq, "ya_indexada", "la pagina ya esta en Valid; usar --sobrescribir para pisarla")))
     return notices
@@ -195,7 +195,7 @@ def plan_pages(records: DataFrame, remote: DataFrame, picklist: DataFrame, cache
     no_values = F.create_map().cast("map<int,string>")
     no_notices = F.array().cast("array<struct<seq:bigint,code:string,detail:string>>")
     if upload_only:
-        manual = F.array(_notice(F.col("seq"), "revisar_a_mano", "sin avion confirmado; se indexa a mano en AirVault"))
+        manual = F.array(_notice(F.col("seq"), "revisar_a_mano", "sin avion confirmado; se indexa a mano en el indice remoto"))
         planned = records.withColumn("batch_page", F.col("seq")).withColumn("values", no_values).withColumn(
             "notices", F.when(is_page, manual).otherwise(no_notices)).withColumn("already_indexed", F.lit(False))
     else:
@@ -308,7 +308,7 @@ def match_batches(jobs: DataFrame, listing: DataFrame) -> DataFrame:
         F.when(F.col("_p")["n"] == 1, F.col("_p")["batch_id"]).alias("batch_id"), F.coalesce(F.col("_p")["n"], F.lit(0)).alias("candidates"))
 
 
-def batch_names(parts: DataFrame, prefix: str = "BITS") -> DataFrame:
+def batch_names(parts: DataFrame, prefix: str = "LOTE") -> DataFrame:
     """Batch name of each part (``path, moment, number, total, is_review``): the time stamp of the
     run's path, or else the given moment; upper case with single spaces."""
     pattern = r"(?i)(\d{1,2})\s+(" + "|".join(MONTH_NAMES_EN) + r")\s+(\d{4})\s+(\d{2})\s+(\d{2})"
