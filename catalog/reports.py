@@ -264,7 +264,9 @@ def step_sample(spark, folder):
     return P.step_sample(D.pages(spark, folder).select(*ID), ID, 7, 50)
 
 
-@register("random_sample", "string file, long page_number")
+@register("random_sample", "string file, long page_number", """
+SELECT file, page_number FROM (SELECT *, (page_number * 48271 + file_seq * 69621 + 7 * 16807) % 2147483647 AS mix FROM pages)
+ORDER BY ((mix * mix + 12345) % 2147483647 * 39373 + mix) % 2147483647, file_seq, page_number LIMIT 50""", PAGES)
 def random_sample(spark, folder):
     return P.random_sample(D.pages(spark, folder), 50, 7)
 

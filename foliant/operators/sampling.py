@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.books import PAGE_ID
 from foliant.operators.skew import in_ranges, positions
 
 RANGE_BLOCK = 4096
+MODULUS = 2**31 - 1
 
 
 def parse_page_range(text: str) -> tuple[int, int | None]:
@@ -73,10 +74,20 @@ def step_sample(rows: DataFrame, order: list[str], every: int, cap: int | None =
     return kept.where((total <= cap) | lands[0] | lands[1] | lands[2]).drop("_i", "_j")
 
 
+def mixed(seed: int) -> Column:
+    """A page's place in a random order: whole-number steps below 2**62 that any engine can redo."""
+    def reduced(x: Column) -> Column:
+        return F.pmod(x, F.lit(MODULUS))
+
+    start = reduced(F.col("page_number").cast("long") * 48271 + F.col("file_seq").cast("long") * 69621 + seed * 16807)
+    square = reduced(start * start + 12345)
+    return reduced(square * 39373 + start)
+
+
 def random_sample(pages: DataFrame, n: int, seed: int) -> DataFrame:
-    """n pages chosen by a seeded hash of the page, in (file, page) order; fails if there are too few."""
+    """n pages chosen by a seeded mix of the page's numbers, in (file, page) order; fails if there are too few."""
     short = pages.agg(F.count("*")).scalar() < n
-    picked = pages.orderBy(F.xxhash64(F.lit(seed), *PAGE_ID), *PAGE_ID).limit(n)
+    picked = pages.orderBy(mixed(seed), *PAGE_ID).limit(n)
     checked = picked.where(F.when(short, F.raise_error(F.lit("fewer pages than asked for"))).otherwise(F.lit(True)))
     return checked.orderBy("file", "page_number")
 
@@ -87,6 +98,8 @@ def stabilise_transforms(transforms: DataFrame, half: int = 7) -> DataFrame:
     Files are cut into blocks that share ``half`` pages with their neighbours, so the window
     never needs a whole file in one task.
     """
+    if half > RANGE_BLOCK:
+        raise ValueError(f"a window reaches at most {RANGE_BLOCK} pages to each side")
     numbered = positions(transforms, PAGE_ID, "_i", start=0)
     blocks = F.array_distinct(F.array(*[F.floor((F.col("_i") + d) / RANGE_BLOCK) for d in (-half, 0, half)]))
     spread = numbered.withColumn("_own", F.floor(F.col("_i") / RANGE_BLOCK)).withColumn("_block", F.explode(blocks))
