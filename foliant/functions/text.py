@@ -215,14 +215,22 @@ def normalise(rule: Column, value: Column) -> Column:
 
 
 def unescape_name(value: Column) -> Column:
-    """Undo the HTML entities of remote names (numeric ones and the five named ones)."""
-    def decode(text: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,5});"), 1))
-        return F.aggregate(codes, text, lambda acc, c: F.replace(
-            acc, F.concat(F.lit("&#"), c, F.lit(";")), F.decode(F.unhex(F.lpad(F.hex(c.cast("int")), 4, "0")), "UTF-16BE")))
+    """Undo the HTML entities of remote names: decimal and hexadecimal ones, and the named ones below."""
+    def character(digits: Column) -> Column:
+        point = digits.cast("long")
+        valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
 
-    # Named entities; the ampersand comes last.
-    named = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+    def decode(text: Column) -> Column:
+        tens = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), 1))
+        sixteens = F.array_distinct(F.regexp_extract_all(text, F.lit("(&#[xX][0-9a-fA-F]{1,6};)"), 1))
+        text = F.aggregate(tens, text, lambda acc, c: F.replace(acc, F.concat(F.lit("&#"), c, F.lit(";")), character(c)))
+        return F.aggregate(sixteens, text, lambda acc, c: F.replace(acc, c, character(F.conv(F.regexp_extract(c, "([0-9a-fA-F]+);", 1), 16, 10))))
+
+    # Named entities of Spanish names; the ampersand comes last.
+    named = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"),
+             ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&uuml;", "ü"), ("&Aacute;", "Á"), ("&Eacute;", "É"), ("&Iacute;", "Í"),
+             ("&Oacute;", "Ó"), ("&Uacute;", "Ú"), ("&Ntilde;", "Ñ"), ("&Uuml;", "Ü"), ("&ordf;", "ª"), ("&ordm;", "º"), ("&amp;", "&"))
     text = let(F.coalesce(value, F.lit("")), decode)
     for entity, plain in named:
         text = F.replace(text, F.lit(entity), F.lit(plain))
