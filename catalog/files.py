@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.batches import PLAN, plan, report_rows
@@ -50,15 +51,46 @@ SELECT page_number, file, f.id AS field_id, f.v AS value, f.c AS confidence, f.s
 def read_run_json(spark, folder):
     path = scratch(spark, "json")
     writers.write_run_json(D.pages(spark, folder), ["log_number", "matricula", "day", "month", "year"], path)
-    rows = readers.report_readings(readers.read_run_json(spark, path))
+    rows = readers.page_readings(readers.read_run_pages(spark, path))
     return rows.withColumn("alternatives", F.size("alternatives"))
 
 
+def report_documents(spark, folder, indented):
+    """One document per file of up to 200 pages, as other programs write them, and one broken document."""
+    pages = writers.page_rows(D.pages(spark, folder), FIELDS)
+    documents = pages.groupBy("pdf_path", F.floor(F.col("page.page_number") / 200).alias("piece")).agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    text = F.to_json(F.struct("pdf_path", "pages"))
+    rows = documents.select((F.regexp_replace(text, r'"pages":\[', '"pages":[\n  ') if indented else text).alias("value"))
+    path = scratch(spark, "documents")
+    broken = spark.createDataFrame([('{"pdf_path": "x.pdf", "pages": [',)], "value string")
+    all_rows = rows.unionByName(broken)
+    # An indented document is a file of its own.
+    (all_rows.repartition(rows.count() + 1, F.monotonically_increasing_id()).write.option("maxRecordsPerFile", 1) if indented else all_rows.write).text(path)
+    return path
+
+
+DOCUMENTS_SQL = "SELECT page_number, file, 10 AS fields, 1 AS unreadable FROM pages"
+
+
+@register("read_report_documents", "long page_number, string file, long fields, long unreadable", DOCUMENTS_SQL, PAGES)
+def read_report_documents(spark, folder):
+    path = report_documents(spark, folder, False)
+    bad = readers.unreadable_reports(spark, path).count()
+    return readers.report_pages(readers.read_run_json(spark, path)).select("page_number", "file", F.size("fields").alias("fields"), F.lit(bad).alias("unreadable"))
+
+
+@register("read_report_documents_indented", "long page_number, string file, long fields, long unreadable", DOCUMENTS_SQL, PAGES)
+def read_report_documents_indented(spark, folder):
+    path = report_documents(spark, folder, True)
+    bad = readers.unreadable_reports(spark, path, True).count()
+    return readers.report_pages(readers.read_run_json(spark, path, True)).select("page_number", "file", F.size("fields").alias("fields"), F.lit(bad).alias("unreadable"))
+
+
 @register("write_run_json", "string file, long pages, long fields", "SELECT file, count(*) AS pages, count(*) * 10 AS fields FROM pages GROUP BY file", PAGES)
 def write_run_json(spark, folder):
     path = scratch(spark, "json")
     writers.write_run_json(D.pages(spark, folder), FIELDS, path)
-    pages = readers.report_pages(readers.read_run_json(spark, path))
+    pages = readers.read_run_pages(spark, path)
     return pages.groupBy("file").agg(F.count("*").alias("pages"), F.sum(F.size("fields")).alias("fields"))
 
 
@@ -66,7 +98,7 @@ def write_run_json(spark, folder):
 def pages_round_trip(spark, folder):
     path = scratch(spark, "json")
     writers.write_run_json(D.pages(spark, folder), FIELDS, path)
-    wide = readers.wide_pages(readers.report_pages(readers.read_run_json(spark, path)), FIELDS)
+    wide = readers.wide_pages(readers.read_run_pages(spark, path), FIELDS)
     return wide.select("page_number", F.col("log_number.value").alias("log"), F.col("day.value").alias("day"), "status")
 
 
@@ -101,9 +133,11 @@ def batch_inputs(spark, folder):
     rows = D.pages(spark, folder).select("page_number", F.lpad(F.col("file_seq").cast("string"), 2, "0").alias("f"))
     rows.repartition("f").sortWithinPartitions("f").write.partitionBy("f").parquet(root)
     listing = readers.batch_inputs(spark, root + "/*", "*.parquet")
-    name = F.element_at(F.split("path", "/"), -2)
-    return listing.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(
-        "name", (F.substring("name", 3, 2).cast("long")).alias("file_seq"))
+    # Part files of one run have names in order of their partition; numbers follow name and path.
+    own = listing.select("file_seq", F.element_at(F.split("path", "/"), -2).alias("name"), "file", "path")
+    place = F.row_number().over(Window.orderBy("file", "path")) - 1
+    return own.withColumn("place", place).where(F.col("file_seq") == F.col("place")).select("name", F.dense_rank().over(Window.orderBy("name")).alias("n")).select(
+        "name", (F.col("n") - 1).alias("file_seq"))
 
 
 def document(spark, name, df):
@@ -231,11 +265,11 @@ def write_grouped(spark, folder):
     return spark.read.parquet(path).groupBy("export_no", "output").agg(F.count("*").alias("pages"))
 
 
-@register("write_review_csv", "string lote, string seq, string accion, string avisos", "SELECT 'BITS -2' AS lote, CAST(seq AS VARCHAR) AS seq, accion, avisos FROM actions", PLAN)
+@register("write_review_csv", "string lote, string seq, string accion, string avisos", "SELECT 'LOTE -2' AS lote, CAST(seq AS VARCHAR) AS seq, accion, avisos FROM actions", PLAN)
 def write_review_csv(spark, folder):
     from foliant.operators.reconcile import plan_rows
     path = scratch(spark, "review")
-    writers.write_review_csv(plan_rows(plan(spark, folder)), path, "BITS -2")
+    writers.write_review_csv(plan_rows(plan(spark, folder)), path, "LOTE -2")
     return readers.read_run_csv(spark, path)
 
 
@@ -253,7 +287,7 @@ def run_outputs(spark, folder):
     path = scratch(spark, "run")
     O.run_outputs(save(D.pages(spark, folder)), FIELDS, path, max_pages=200)
     counts = [readers.read_run_csv(spark, f"{path}/datos/completo").agg(F.count("*")).scalar().alias("complete"), readers.read_run_csv(spark, f"{path}/datos/minimo").agg(F.count("*")).scalar().alias("minimal"),
-              readers.report_pages(readers.read_run_json(spark, f"{path}/datos/json")).agg(F.count("*")).scalar().alias("reports"),
+              readers.read_run_pages(spark, f"{path}/datos/json").agg(F.count("*")).scalar().alias("reports"),
               spark.read.json(f"{path}/datos/paginas").where("pagina is not null").agg(F.count("*")).scalar().alias("entries"), spark.read.json(f"{path}/stats/files").agg(F.count("*")).scalar().alias("files")]
     return spark.range(1).select(*counts)
 

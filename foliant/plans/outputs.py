@@ -39,7 +39,7 @@ def run_outputs(pages: DataFrame, fields: dict[str, str], folder: str, criteria:
 
 def reexport(spark, json_path: str, fields: dict[str, str], folder: str, **options) -> None:
     """Read a run's reports back and write its outputs again."""
-    pages = readers.wide_pages(readers.report_pages(readers.read_run_json(spark, json_path)), fields)
+    pages = readers.wide_pages(readers.read_run_pages(spark, json_path), fields)
     order = pages.select("path").distinct()
     numbered = readers.positions(order, ["path"], "file_seq", start=0)
     run_outputs(pages.join(numbered, "path").withColumn("discrepancy", F.lit(False)).drop("discrepancy", "path"), fields, folder, **options)

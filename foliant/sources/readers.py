@@ -27,13 +27,37 @@ def read_run_csv(spark: SparkSession, path: str, multiline: bool = True) -> Data
     return df.na.fill("")
 
 
-def read_run_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Reports, one JSON document each (or a consolidated document with ``reportes``), unreadable ones skipped."""
-    raw = spark.read.schema(_consolidated()).json(path, multiLine=multiline, mode="DROPMALFORMED")
+def read_run_json(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """Reports, one JSON document each (or a consolidated document with ``reportes``); ``unreadable_reports`` has the rest.
+
+    ``multiline``: whether a document spans lines, as indented ones do; None looks at the first line, which is a whole
+    document where each line is one.
+    """
+    raw = _report_documents(spark, path, multiline).where("_unreadable IS NULL")
     single = F.when(F.col("pdf_path").isNotNull(), F.array(F.struct(*_report_names())))
     return raw.select(F.explode(F.coalesce("reportes", single)).alias("r")).select("r.*")
 
 
+def unreadable_reports(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """(path, text) of what is no JSON document."""
+    # Spark parses only if another column is asked for as well; this condition always holds.
+    parsed = F.col("pdf_path").isNull() | (F.length("pdf_path") >= 0)
+    return _report_documents(spark, path, multiline).where(F.col("_unreadable").isNotNull() & parsed).select(F.col("_metadata.file_path").alias("path"), F.col("_unreadable").alias("text"))
+
+
+def _report_documents(spark: SparkSession, path: str, multiline: bool | None) -> DataFrame:
+    if multiline is None:
+        first = spark.read.text(path).where(F.trim("value") != "").limit(1).select(F.get_json_object("value", "$").isNull()).first()
+        multiline = bool(first and first[0])
+    return spark.read.schema(f"{_consolidated()}, _unreadable string").json(path, multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord="_unreadable")
+
+
+def read_run_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of a run written by ``write_run_json``, as ``report_pages`` gives them."""
+    rows = spark.read.schema(f"file_seq long, pdf_path string, page {PAGE}").json(f"{path}/pages", mode="FAILFAST")
+    return rows.select(*_page_columns(F.col("page")))
+
+
 def _report_names() -> list[str]:
     return ["pdf_path", "template_name", "processing_ms", "started_at", "cancelled", "pages"]
 
@@ -43,21 +67,28 @@ def _consolidated() -> str:
     return f"{REPORT}, reportes array<struct<{inner}>>"
 
 
+def _page_columns(page: Column) -> list[Column]:
+    return [F.col("pdf_path").alias("path"), F.element_at(F.split("pdf_path", "/"), -1).alias("file"), page["page_number"].alias("page_number"),
+            F.coalesce(page["blank"], F.lit(False)).alias("blank"), F.coalesce(page["alignment_quality"], F.lit("ok")).alias("alignment"),
+            page["status"].alias("status"), page["date"].alias("date"), page["processing_ms"].alias("processing_ms"), page["fields"].alias("fields")]
+
+
 def report_pages(reports: DataFrame) -> DataFrame:
     """One row per page of the reports."""
-    page = F.col("p")
-    return reports.select("pdf_path", F.explode("pages").alias("p")).select(
-        F.col("pdf_path").alias("path"), F.element_at(F.split("pdf_path", "/"), -1).alias("file"), page["page_number"].alias("page_number"),
-        F.coalesce(page["blank"], F.lit(False)).alias("blank"), F.coalesce(page["alignment_quality"], F.lit("ok")).alias("alignment"),
-        page["status"].alias("status"), page["date"].alias("date"), page["processing_ms"].alias("processing_ms"), page["fields"].alias("fields"))
+    return reports.select("pdf_path", F.explode("pages").alias("p")).select(*_page_columns(F.col("p")))
 
 
-def report_readings(reports: DataFrame) -> DataFrame:
+def page_readings(pages: DataFrame) -> DataFrame:
     """One row per field of every page."""
-    return report_pages(reports).select("path", "file", "page_number", F.posexplode("fields").alias("field_pos", "f")).select(
+    return pages.select("path", "file", "page_number", F.posexplode("fields").alias("field_pos", "f")).select(
         "path", "file", "page_number", "field_pos", "f.*")
 
 
+def report_readings(reports: DataFrame) -> DataFrame:
+    """One row per field of every page of the reports."""
+    return page_readings(report_pages(reports))
+
+
 def wide_pages(pages: DataFrame, fields) -> DataFrame:
     """Struct column per field from the nested field list (no shuffle)."""
     def pick(f: str) -> Column:

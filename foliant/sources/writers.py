@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from foliant.operators.books import PAGE_ID
 from foliant.operators.reports import minimal_rows
 
-# Pages per JSON report line; a longer file continues on further lines with the same path.
-REPORT_PAGES = 5000
-
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Header CSV; with ``order`` the part files follow each other in that order."""
@@ -30,17 +27,26 @@ def write_minimal_csv(rows: DataFrame, path: str, selected: tuple[str, ...] = ()
     write_csv(rows.select(*keys, *chosen), path, keys, mode)
 
 
-def nested_reports(pages: DataFrame, fields) -> DataFrame:
-    """Reports with their pages and fields nested; page numbers are unique within a file, so a line
-    never holds more than ``REPORT_PAGES`` pages."""
+def page_rows(pages: DataFrame, fields) -> DataFrame:
+    """One row per page with its fields nested, under the file's path: a report's content, whatever its number of pages."""
     listed = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.col(f).withField("field_id", F.lit(f))) for f in fields]))
     page = F.struct("page_number", "status", "blank", F.col("alignment").alias("alignment_quality"), "processing_ms", "date", listed.alias("fields"))
-    return (pages.groupBy("file_seq", F.col("file").alias("pdf_path"), F.floor(F.col("page_number") / REPORT_PAGES).alias("_piece"))
-            .agg(F.array_sort(F.collect_list(page)).alias("pages")).drop("_piece"))
+    return pages.select("file_seq", F.col("file").alias("pdf_path"), page.alias("page"))
+
+
+def report_headers(pages: DataFrame, template: str | None = None) -> DataFrame:
+    """One row per file: path, template, pages and their total time."""
+    return (pages.groupBy("file_seq", F.col("file").alias("pdf_path"))
+            .agg(F.count("*").alias("page_count"), F.sum("processing_ms").alias("processing_ms")).withColumn("template_name", F.lit(template)))
+
 
+def write_run_json(pages: DataFrame, fields, path: str, mode: str = "errorifexists", template: str | None = None) -> None:
+    """A run as JSON rows: ``pages`` (one line per page, in file and page order) and ``headers`` (one line per file).
 
-def write_run_json(pages: DataFrame, fields, path: str, mode: str = "errorifexists") -> None:
-    nested_reports(pages, fields).write.mode(mode).json(path)
+    A report is the header and the page lines of its path; no line grows with the pages of a file.
+    """
+    page_rows(pages, fields).repartitionByRange("file_seq", "page.page_number").sortWithinPartitions("file_seq", "page.page_number").write.mode(mode).json(f"{path}/pages")
+    report_headers(pages, template).write.mode(mode).json(f"{path}/headers")
 
 
 def write_stats(blocks: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
