@@ -302,14 +302,39 @@ def reexport(spark, folder):
 
 @register("ingest_stream", "long page_number, string file, string log", "SELECT page_number, file, log FROM pages", PAGES)
 def ingest_stream(spark, folder):
-    """Pages written as files, streamed into the page table; finished files are archived."""
-    source, table, state, archive = (scratch(spark, n) for n in ("arrivals", "table", "state", "archive"))
+    """Pages written as files and streamed into the page table."""
+    source, table, state = (scratch(spark, n) for n in ("arrivals", "table", "state"))
     pages = D.pages(spark, folder)
     pages.write.parquet(source)
-    I.ingest_stream(I.page_stream(spark, source, pages.schema, archive), table, state).awaitTermination()
+    I.ingest_stream(I.page_stream(spark, source, pages.schema), table, state).awaitTermination()
     return spark.read.parquet(table).select("page_number", "file", F.col("log_number.value").alias("log"))
 
 
+@register("archive_committed", "long file_seq, long pages, long waiting, long failed", "SELECT file_seq, count(*) AS pages, 0 AS waiting, 0 AS failed FROM pages GROUP BY file_seq", PAGES)
+def archive_committed(spark, folder):
+    """After the stream has taken them in, all files lie in the archive and none in the source."""
+    source, table, state, archive = (scratch(spark, n) for n in ("arrivals", "table", "state", "archive"))
+    pages = D.pages(spark, folder)
+    pages.repartition(20, "file_seq").write.parquet(source)
+    I.ingest_stream(I.page_stream(spark, source, pages.schema), table, state).awaitTermination()
+    failed = I.archive_committed(spark, table, source, archive)
+    waiting = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(source).select("path").count()
+    moved = spark.read.schema(pages.schema).parquet(archive).groupBy("file_seq").agg(F.count("*").alias("pages"))
+    return moved.select("file_seq", "pages", F.lit(waiting).alias("waiting"), F.lit(len(failed)).alias("failed"))
+
+
+@register("correct_stream", "long page_number, long versions", "SELECT page_number, 1 AS versions FROM pages WHERE log IS NOT NULL", PAGES)
+def correct_stream(spark, folder):
+    """Two arrivals of the same books: each book once, from the newer batch."""
+    source, table, state, output, redo = (scratch(spark, n) for n in ("arrivals", "table", "state", "corrected", "redo"))
+    pages = D.pages(spark, folder).where("log_number.value IS NOT NULL")
+    for part in (0, 1):
+        pages.where(F.col("page_number") % 2 == part).coalesce(1).write.mode("append").parquet(source)
+        I.ingest_stream(I.page_stream(spark, source, pages.schema), table, state).awaitTermination()
+        I.correct_stream(I.page_stream(spark, source, pages.schema), table, output, redo, FIELDS).awaitTermination()
+    return I.current_pages(spark, output).groupBy("page_number").agg(F.count("*").alias("versions"))
+
+
 @register("correct_touched_books", "long page_number, string book, string date")
 def correct_touched_books(spark, folder):
     """The books of every page read from the last three files, corrected from the whole table."""
