@@ -7,6 +7,8 @@ committed like any other output and reach any store that Spark writes to.
 from __future__ import annotations
 
 import hashlib
+import io
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,8 +17,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import stored
 
 END = "\r\n\r\n"
-#: Record bytes behind one archive, and the most that one read fetches; a longer record is one read.
-ARCHIVE_BYTES = 64 << 20
+#: The most that one read fetches; a longer record is one read.
 READ_BYTES = 4 << 20
 #: Gaps between wanted records up to this many bytes are read over.
 GAP_BYTES = 64 << 10
@@ -45,44 +46,64 @@ def _headers() -> Column:
     return F.concat(warc, http)
 
 
-ORDER = ("page_id", "digest", "url")
+INDEX = "path string, offset long, length long, page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long"
 
 
-def write_warc(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write one record per row under ``folder`` and return the index: path, offset, length, page_id, url, digest, payload_bytes, record_type, refers_to.
+def write_warc(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", archives: int | None = None) -> DataFrame:
+    """Write one record per row under ``folder`` and return the index (``INDEX``), of what the committed archives hold.
 
     A null payload counts as empty, a null url is written as ``urn:no-address``. Of equal payloads of ``REVISIT_FROM`` bytes or more the rows
-    with the largest id are responses (null ids count as smallest) and all others revisits of it; equality goes by SHA-1 and length. Rows are dealt
-    over archives by a hash of their id and digest and lie there in order of id, digest and url, so the index needs no payload: lengths follow from the headers.
+    with the largest id are responses (null ids count as smallest) and all others revisits of it; equality goes by SHA-1 and length.
+    Each task's rows become one archive, so payloads are not shuffled; ``archives`` deals them over so many instead.
     """
     payload = F.coalesce(F.col(payload_column).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.sha1(payload).alias("digest"),
                         F.octet_length(payload).cast("long").alias("payload_bytes"), payload.alias("payload"))
-    facts = stored(rows.drop("payload"), "pages")
-    groups = (facts.where(F.col("payload_bytes") >= REVISIT_FROM).groupBy("digest", "payload_bytes")
+    groups = (rows.where(F.col("payload_bytes") >= REVISIT_FROM).groupBy("digest", "payload_bytes")
               .agg(F.max("page_id").alias("kept_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     groups = stored(groups.withColumn("grouped", F.lit(True)), "copies")
-    total = facts.agg(F.sum(F.col("payload_bytes") + 600)).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
+    again = F.col("grouped").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept_id"))
+    typed = (rows.join(groups, ["digest", "payload_bytes"], "left").withColumn("record_type", F.when(again, "revisit").otherwise("response"))
+             .withColumn("refers_to", F.when(again, F.col("kept_id"))))
+    text = typed.select(F.concat(_headers(), F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(""))).alias("value"))
+    (text if archives is None else text.repartition(archives)).write.option("lineSep", END).text(f"{folder}/archives")
+    return index_archives(pages.sparkSession, f"{folder}/archives")
 
-    def placed(df: DataFrame) -> DataFrame:
-        again = F.col("grouped").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept_id"))
-        return (df.join(groups, ["digest", "payload_bytes"], "left").withColumn("record_type", F.when(again, "revisit").otherwise("response"))
-                .withColumn("refers_to", F.when(again, F.col("kept_id"))).withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int")))
 
-    text = F.concat(_headers(), F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("")))
-    out = placed(rows).select("archive", *ORDER, text.alias("value")).repartition(archives, "archive").sortWithinPartitions("archive", *ORDER)
-    out.select("archive", "value").write.option("lineSep", END).partitionBy("archive").text(f"{folder}/archives")
+def index_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of all archives under ``folder``, stored. Each is read once in order, from header to header; payloads are passed over."""
+    files = stored(spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "length"), "archives")
 
-    length = F.octet_length(_headers()) + F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0)) + len(END)
-    before = Window.partitionBy("archive").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    index = placed(facts).withColumn("length", length.cast("long")).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-    files = pages.sparkSession.read.format("binaryFile").load(f"{folder}/archives").select(F.col("archive").cast("int").alias("archive"), "path", F.col("length").alias("bytes")) if total else None
-    if files is None:
-        index = index.withColumn("path", F.lit(None).cast("string"))
-    else:
-        index = index.join(stored(files, "archives"), "archive")
-    return stored(index.select("path", "offset", "length", "page_id", "url", "digest", "payload_bytes", "record_type", "refers_to"), "index")
+    def run(groups):
+        for part in groups:
+            for path in part.path:
+                for some in _batched(_records(path), 2000):
+                    yield pd.DataFrame(some, columns=[c.split()[0] for c in INDEX.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    return stored(files.repartition(max(1, files.count()), "path").mapInPandas(run, INDEX), "index")
+
+
+def _batched(rows, n: int):
+    rows = iter(rows)
+    while some := list(islice(rows, n)):
+        yield some
+
+
+def _records(path: str):
+    """Index rows of one archive."""
+    mark = END.encode()
+    with _open(path) as raw:
+        size, at, f = raw.size(), 0, io.BufferedReader(raw, 1 << 20)
+        while at < size:
+            f.seek(at)
+            head = b""
+            while head.count(mark) < 2 and (line := f.readline()):
+                head += line
+            fields, length = _fields(head.split(mark)[0]), len(head.split(mark)[0]) + len(mark)
+            length += int(fields["Content-Length"]) + len(mark)
+            yield (path, at, length, _number(fields, "WARC-Record-ID"), fields["WARC-Target-URI"], fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+                   _payload_bytes(head.split(mark)[1]), fields["WARC-Type"], _number(fields, "WARC-Refers-To"))
+            at += length
 
 
 def plan_reads(index: DataFrame, read_bytes: int = READ_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
@@ -105,10 +126,23 @@ def _open(path: str):
     return store.open_input_file(place)
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+
+
+def _number(fields: dict[str, str], name: str) -> int | None:
+    value = fields.get(name, "<urn:page:none>")[len("<urn:page:"):-1]
+    return None if value == "none" else int(value)
+
+
+def _payload_bytes(http: bytes) -> int:
+    return next(int(line.split(":")[1]) for line in http.decode().split("\r\n") if line.lower().startswith("content-length:"))
+
+
 def parse(record: bytes) -> dict:
     """The fields of one record; a response's payload is checked against its digest."""
     warc, _, rest = record.partition(END.encode())
-    fields = dict(line.split(": ", 1) for line in warc.decode().split("\r\n")[1:])
+    fields = _fields(warc)
     block = rest[:int(fields["Content-Length"])]
     if rest[len(block):] != END.encode():
         raise ValueError(f"record {fields['WARC-Record-ID']} does not end where its length says")
@@ -116,14 +150,8 @@ def parse(record: bytes) -> dict:
     digest, revisit = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"] == "revisit"
     if not revisit and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
-    length = next(int(line.split(":")[1]) for line in http.decode().split("\r\n") if line.lower().startswith("content-length:"))
-
-    def number(name):
-        value = fields.get(name, "<urn:page:none>")[len("<urn:page:"):-1]
-        return None if value == "none" else int(value)
-
-    return {"page_id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest,
-            "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"), "payload": None if revisit else payload}
+    return {"page_id": _number(fields, "WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload_bytes": _payload_bytes(http), "payload_digest": digest,
+            "record_type": fields["WARC-Type"], "refers_to": _number(fields, "WARC-Refers-To"), "payload": None if revisit else payload}
 
 
 def read_warc(index: DataFrame, payload: bool = True, read_bytes: int = READ_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
