@@ -51,4 +51,4 @@ def test_each_stage(spark, sf):
 def test_run_is_registered():
     from __spark_entry__ import queries
 
-    assert queries()["pipeline"] is corpus_pipeline.run and [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "near_dedup", "source_mixing", "best_fit_packing"]
+    assert queries()["pipeline"].__wrapped__ is corpus_pipeline.run and [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "near_dedup", "source_mixing", "best_fit_packing"]
