@@ -63,8 +63,9 @@ def records_from_delivery(csv: DataFrame, index: DataFrame, cache: DataFrame) ->
     entries = index.select("seq", F.trim(F.coalesce("separator", F.lit(""))).alias("separator"), _text("file").alias("file"),
                            F.coalesce(_text("page").try_cast("long"), F.lit(0)).alias("page"))
     rows = _last_row_per_page(csv).withColumn("_found", F.lit(True))
-    joined = _values(entries.join(rows, ["file", "page"], "left"))
     is_page = F.col("separator") == ""
+    # Separators name no page: joined, they would all meet under one key.
+    joined = _values(entries.where(is_page).join(rows, ["file", "page"], "left").unionByName(entries.where(~is_page), allowMissingColumns=True))
     blank = {"registration": "", "log_number": "", "date": ""}
     cleared = joined.select(
         "seq", F.when(is_page, F.col("file")).otherwise("").alias("file"), F.when(is_page, F.col("page")).otherwise(0).alias("page"), "separator",
