@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.constants import (COST_FALSE_ABSENT, COST_FALSE_PRESENT, COST_UNCLEAR, EMPTY_GRID, MAX_INK_RATIO, MIN_RESOLVED, PEAK_GRID, SPAN_GRID)
 from foliant.operators.quality import signature_verdict, verdict_status
-from foliant.operators.skew import in_ranges
+from foliant.operators.skew import in_ranges, join_groups
 
 PRESENT, ABSENT, UNSURE = "firma", "ausente", "dudosa"
 FEATURES = ("peak", "weak_peak", "coverage", "span", "dark_ratio")
@@ -228,8 +228,10 @@ def signature_review(rows: DataFrame, band: DataFrame, required: Column | None =
     confidence, peak``) outside their book's band, in books with enough aligned pages."""
     usable = ~F.col("blank") & (F.col("alignment") == "ok")
     # Each page has one row per signature field: the rows of any field count the book's pages.
-    pages = rows.groupBy("book", "field_id").agg(F.count_if(usable).alias("_pages")).groupBy("book").agg(F.max("_pages").alias("_pages"))
-    joined = rows.join(band, ["book", "field_id"], "left").join(pages, "book", "left")
+    counts = rows.groupBy("book", "field_id").agg(F.count_if(usable).alias("_pages"), F.count("*").alias("_rows"))
+    pages = counts.groupBy("book").agg(F.max("_pages").alias("_pages"), F.sum("_rows").alias("_rows"))
+    # Pages without a readable number are one book, which may hold a large share of them.
+    joined = join_groups(rows.join(band, ["book", "field_id"], "left"), pages, ["book"], ["page_number", "field_id"], rows_in="_rows")
     peak, floor, ceiling = F.col("peak"), F.col("floor"), F.col("ceiling")
     open_case = (F.col("value") == "unclear") & (F.col("alignment") == "ok") & (F.col("_pages") >= min_pages)
     signed, empty = open_case & (peak >= floor), open_case & (peak <= ceiling)

@@ -16,8 +16,8 @@ def fleet_list(values: DataFrame) -> DataFrame:
 
 
 def membership(values: DataFrame, fleet: DataFrame, inside: bool) -> DataFrame:
-    """Rows whose ``registration`` is (not) in the fleet."""
-    return values.join(F.broadcast(fleet.select("registration").distinct()), "registration", "left_semi" if inside else "left_anti")
+    """Rows whose ``registration`` is (not) in the fleet; Spark sends the list to all executors if its size allows it."""
+    return values.join(fleet.select("registration").distinct(), "registration", "left_semi" if inside else "left_anti")
 
 
 def _digit_moves(digit: Column) -> Column:
@@ -63,7 +63,8 @@ def nearest_fleet_match(pages: DataFrame, fleet: DataFrame, fields: dict[str, st
     value = F.upper(F.trim(F.col("matricula")["value"]))
     keyed = pages.withColumn("registration", F.when(value != "", value))
     near = nearest_entries(allowed)
-    flagged = keyed.join(F.broadcast(allowed.withColumn("_listed", F.lit(True))), "registration", "left").join(F.broadcast(near), "registration", "left")
+    # The nearest entries are at most 20,000; a list of any size is Spark's choice.
+    flagged = keyed.join(allowed.withColumn("_listed", F.lit(True)), "registration", "left").join(F.broadcast(near), "registration", "left")
     read, winner, tied = F.col("registration"), F.col("winner"), F.col("tied")
     change = F.coalesce((size > 0) & read.isNotNull() & F.col("_listed").isNull(), F.lit(False))
     note = (F.when(winner.isNotNull(), F.concat(F.lit("Matrícula reclasificada de "), read, F.lit(" a "), winner, F.lit(": es la más parecida de la lista de flota")))
