@@ -163,13 +163,13 @@ def template_document(spark, folder):
     key = F.col("n_nationkey")
     field = F.struct(key.alias("pos"), F.lower("n_name").alias("id"), F.when(F.col("n_regionkey") == 0, "signature").otherwise("ocr").alias("type"), (F.col("n_regionkey") % 2 == 0).alias("required"),
                      F.lit(0.1).alias("x"), F.lit(0.1).alias("y"), F.when(key % 5 == 1, 0.95).otherwise(0.2).alias("w"), F.lit(0.1).alias("h"), F.lit(0.12).alias("min_ink_peak"),
-                     F.when(key % 5 == 2, 0.2).otherwise(0.05).alias("max_empty_peak"))
+                     F.when(key % 5 == 2, 0.2).otherwise(0.05).alias("max_empty_peak"), F.when(key % 5 == 3, "[0-9").when(key % 5 == 4, "^[0-9]{7}$").alias("regex"))
     doc = D.table(spark, folder, "nation").agg(F.to_json(F.struct(F.lit("form").alias("name"), F.array_sort(F.collect_list(field)).alias("fields"))).alias("v"))
     return document(spark, "template", doc)
 
 
 @register("template_problems", "string field_id, string problem", """
-SELECT lower(n_name) AS field_id, CASE n_nationkey % 5 WHEN 1 THEN 'box outside the page' ELSE 'inverted ink peaks' END AS problem FROM nation WHERE n_nationkey % 5 IN (1, 2)""")
+SELECT lower(n_name) AS field_id, CASE n_nationkey % 5 WHEN 1 THEN 'box outside the page' WHEN 2 THEN 'inverted ink peaks' ELSE 'pattern does not compile' END AS problem FROM nation WHERE n_nationkey % 5 IN (1, 2, 3)""")
 def template_problems(spark, folder):
     return readers.template_problems(readers.load_template(spark, template_document(spark, folder)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,7 +167,20 @@ def template_problems(template: DataFrame) -> DataFrame:
               (f["max_empty_peak"] > f["min_ink_peak"], "inverted ink peaks"), (f["min_length"] > f["max_length"], "inverted lengths"),
               (~F.coalesce(F.col("field_type"), F.lit("")).isin("ocr", "text", "date", "signature", "checkbox"), "unknown type"))
     rows = template.select("field_id", F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in checks]))).alias("problem"))
-    return repeated.unionByName(rows)
+    return repeated.unionByName(rows).unionByName(template.select("field_id", "regex").mapInPandas(_bad_patterns, "field_id string, problem string"))
+
+
+def _bad_patterns(parts):
+    """Fields whose pattern does not compile; a template has a few dozen fields."""
+    for fields in parts:
+        bad = []
+        for pattern in fields["regex"]:
+            try:
+                re.compile(pattern or "")
+                bad.append(False)
+            except re.error:
+                bad.append(True)
+        yield fields.loc[bad, ["field_id"]].assign(problem="pattern does not compile")
 
 
 ENTRY = "struct<separador:string,archivo:string,pagina:string>"
