@@ -2,7 +2,7 @@
 
 Words are hashed into a fixed vocabulary, so the vectors have one size whatever the corpus. A word's vector is the sum of the random
 sparse index vectors of its neighbours over the whole corpus. A document is the mean, by rarity, of its words' vectors, with
-their spread and the strength of the mean, so a two-layer network tells ordinary prose from other text.
+their spread and how even and repetitive it is, so a two-layer network tells ordinary prose from other text.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from foliant.llm.common import slices, stored
 
 #: Word slots, dimensions, non-zero places of an index vector, and words to each side that count as neighbours.
 SLOTS = 1 << 15
-DIMENSIONS = 48
-PLACES = 4
+DIMENSIONS = 32
+PLACES = 2
 WINDOW = 2
 #: Labelled rows that fit the network, and those that set the temperature and the logit's offset, at most; drawn by a hash of the id.
 FIT_ROWS = 20_000
@@ -32,79 +32,82 @@ EPOCHS = 60
 SEED = 11
 
 
-def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of every word of all texts, and how many words each text has. Every word also stands for its shape: a word that does not
-    end in a letter gives its last character's class as a second word, so marks and capitals have vectors of their own."""
-    split = [_spread((t or b"").split()) for t in texts]
-    counts = np.array([len(s) for s in split], np.int64)
-    return np.fromiter(map(_slot, chain.from_iterable(split)), np.int64, int(counts.sum())), counts
-
-
-_SHAPES: dict[bytes, tuple[bytes, ...]] = {}
-_SLOT: dict[bytes, int] = {}
+#: Marks that end or begin a word, and how many words a worker keeps; those not met in two generations are forgotten.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+KEPT = 150_000
+_KNOWN: dict[bytes, tuple[int, ...]] = {}
+_BEFORE: dict[bytes, tuple[int, ...]] = {}
 
 
-def _shape(word: bytes) -> tuple[bytes, ...]:
-    """The word in small letters without marks at its ends, then a token for its case and marks if it is not plain."""
+def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Slot of every word of all texts, and how many each text has. A word without its outer marks, in small letters, is one slot; capitals
+    and marks other than a full stop or comma are slots of their own after it, so that they have vectors as well."""
+    global _KNOWN, _BEFORE
+    if len(_KNOWN) > KEPT:
+        _KNOWN, _BEFORE = {}, _KNOWN
+    known, before, found, counts = _KNOWN, _BEFORE, [], []
+    for text in texts:
+        parts = (text or b"").split()
+        try:
+            slots = [known[w] for w in parts]
+        except KeyError:
+            for w in parts:
+                if w not in known:
+                    known[w] = before.get(w) or _slots(w)
+            slots = [known[w] for w in parts]
+        slots = list(chain.from_iterable(slots))
+        counts.append(len(slots))
+        found.append(np.array(slots, np.int32))
+    return (np.concatenate(found) if found else np.empty(0, np.int32)), np.array(counts, np.int64)
+
+
+def _forget() -> None:
+    """Workers outlive their tasks; what they have learnt need not."""
+    global _KNOWN, _BEFORE
+    _KNOWN, _BEFORE = {}, {}
+
+
+def _slots(word: bytes) -> tuple[int, ...]:
     text = word.decode("utf-8", "replace")
-    core = text.strip("".join(c for c in text if not c.isalnum()) or " ")
-    tail = text[len(text.rstrip("".join(c for c in text if not c.isalnum()) or " ")):]
-    out = [core.lower().encode()] if core else []
+    core = text.strip(MARKS)
+    tail = text[len(text.rstrip(MARKS)):]
+    out = [core.lower().encode()] if core else [b"\x00mark" + text[:3].encode()]
     if len(core) > 1 and core.isupper():
         out.append(b"\x00upper")
-    if tail not in ("", ".", ","):
+    if core and tail not in ("", ".", ","):
         out.append(b"\x00tail" + tail[:3].encode())
-    if not core:
-        out.append(b"\x00mark" + text[:3].encode())
-    elif not core.isalpha():
+    if core and not core.isalpha():
         out.append(b"\x00mixed")
-    return tuple(out)
-
-
-def _spread(parts: list[bytes]) -> list[bytes]:
-    if len(_SHAPES) > 300_000:
-        _SHAPES.clear()
-    get = _SHAPES.get
-    found = [get(w) for w in parts]
-    if None in found:
-        for w in set(parts):
-            if w not in _SHAPES:
-                _SHAPES[w] = _shape(w)
-        found = [_SHAPES[w] for w in parts]
-    return list(chain.from_iterable(found))
-
-
-def _slot(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & (SLOTS - 1)
+    return tuple(xxhash.xxh3_64_intdigest(w) & (SLOTS - 1) for w in out)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of every slot's index vector."""
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, DIMENSIONS, (SLOTS, PLACES)), rng.choice([-1.0, 1.0], (SLOTS, PLACES))
+    return rng.integers(0, DIMENSIONS, (SLOTS, PLACES)).astype(np.int32), rng.choice([-1.0, 1.0], (SLOTS, PLACES))
 
 
 def _contexts(batches):
     """Per task: the sums of neighbours' index vectors, and the counts, of the slots it has met."""
     places, signs = index_vectors()
-    total, seen = np.zeros(SLOTS * DIMENSIONS, np.int64), np.zeros(SLOTS, np.int64)
+    total, seen = np.zeros(SLOTS * DIMENSIONS), np.zeros(SLOTS, np.int64)
     for batch in batches:
         for part in slices(batch, 0, 2 << 20):
             slots, counts = words(part.column(0).cast(pa.binary()).to_pylist())
             seen += np.bincount(slots, minlength=SLOTS)
             owner = np.repeat(np.arange(len(counts)), counts)
+            pairs = []
             for step in range(1, WINDOW + 1):
                 near = owner[:-step] == owner[step:]
-                left, right = slots[:-step][near], slots[step:][near]
-                # Equal pairs of neighbours are counted first; each then adds its weight once.
-                pairs, weight = np.unique(np.concatenate([left * SLOTS + right, right * SLOTS + left]), return_counts=True)
-                one, two = pairs // SLOTS, pairs % SLOTS
-                for k in range(PLACES):
-                    total += np.bincount(one * DIMENSIONS + places[two, k], weight * signs[two, k], SLOTS * DIMENSIONS).astype(np.int64)
+                pairs += [(slots[:-step][near], slots[step:][near]), (slots[step:][near], slots[:-step][near])]
+            one, two = (np.concatenate(x) for x in zip(*pairs))
+            for k in range(PLACES):
+                total += np.bincount(one * DIMENSIONS + places[two, k], signs[two, k], SLOTS * DIMENSIONS)
+    _forget()
     met = np.flatnonzero(seen)
     for start in range(0, len(met), 4096):
         some = met[start:start + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.array(list(total.reshape(SLOTS, -1)[some]), pa.list_(pa.int64()))], ["slot", "n", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.array(list(total.astype(np.int64).reshape(SLOTS, -1)[some]), pa.list_(pa.int64()))], ["slot", "n", "context"])
 
 
 class Vectors(NamedTuple):
@@ -128,30 +131,29 @@ def word_vectors(docs: DataFrame, text_column: str = "text") -> Vectors:
     return Vectors(matrix.astype(np.float32), (1e-3 / (1e-3 + share)).astype(np.float32))
 
 
-WIDTH = 2 * DIMENSIONS + 6
+WIDTH = 2 * DIMENSIONS + 5
+
+
+def pooling_table(vectors: Vectors) -> np.ndarray:
+    """What a word adds to its document: its weighted vector, the vector's squares and its weight."""
+    return np.column_stack([vectors.matrix * vectors.weight[:, None], vectors.matrix ** 2, vectors.weight]).astype(np.float32)
 
 
-def pooled(texts: list[bytes | None], vectors: Vectors) -> np.ndarray:
-    """One row per text: weighted mean of its word vectors, their spread, and how long, varied, even and repetitive it is. Zeros for a wordless one."""
+def pooled(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
+    """One row per text: weighted mean of its word vectors, their spread, and how long, varied, common, even and repetitive it is. Zeros for a wordless one."""
     slots, counts = words(texts)
     out = np.zeros((len(texts), WIDTH), np.float32)
     full = np.flatnonzero(counts)
     if not len(full):
         return out
-    starts = (np.cumsum(counts) - counts)[full]
-    weight = vectors.weight[slots]
-    sums = np.add.reduceat(weight, starts)
-    rows = vectors.matrix[slots]
-    mean = np.add.reduceat(rows * weight[:, None], starts) / sums[:, None]
-    spread = np.sqrt(np.maximum(np.add.reduceat(rows * rows, starts) / counts[full, None], 0))
+    starts, n = (np.cumsum(counts) - counts)[full], counts[full]
+    sums = np.add.reduceat(table[slots], starts)
+    mean, spread, weight = sums[:, :DIMENSIONS] / sums[:, -1:], np.sqrt(sums[:, DIMENSIONS:-1] / n[:, None]), sums[:, -1]
     owner = np.repeat(np.arange(len(counts)), counts)
     distinct = np.bincount(np.unique(owner * SLOTS + slots) // SLOTS, minlength=len(counts))[full]
-    near = np.zeros(len(slots), np.float32)
-    near[1:] = np.where(owner[1:] == owner[:-1], (rows[1:] * rows[:-1]).sum(axis=1), 0)
     again = np.zeros(len(slots), np.float32)
     again[1:] = (owner[1:] == owner[:-1]) & (slots[1:] == slots[:-1])
-    out[full] = np.column_stack([mean, spread, np.log1p(counts[full]), distinct / counts[full], sums / counts[full], np.linalg.norm(mean, axis=1),
-                                 np.add.reduceat(near, starts) / counts[full], np.add.reduceat(again, starts) / counts[full]])
+    out[full] = np.column_stack([mean, spread, np.log1p(n), distinct / n, weight / n, np.linalg.norm(mean, axis=1), np.add.reduceat(again, starts) / n])
     return out
 
 
@@ -222,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", fit
     calibrated on at most ``calibration_rows`` with remainder 1. Rows without an id or label teach nothing; of several labels of an id the largest holds."""
     vectors = word_vectors(docs)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vectors)
+    shared = spark.sparkContext.broadcast(pooling_table(vectors))
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).dropna()
              .groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("part", remainder()))
     drawn = stored(_drawn(known.where("part > 1"), fit_rows).unionByName(_drawn(known.where("part = 1"), calibration_rows)), "labels")
@@ -231,11 +233,11 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", fit
         for batch in batches:
             for part in slices(batch, 3, 1 << 20):
                 rows = pooled(part.column(3).cast(pa.binary()).to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(list(rows), pa.list_(pa.float32()))], ["doc_id", "label", "part", "features"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "label", "part", "features"])
 
-    found = (docs.join(drawn, "doc_id").select("doc_id", "label", "part", "text").mapInArrow(run, "doc_id long, label int, part long, features array<float>")).toPandas()
-    found = found.assign(key=[tuple(f) for f in found.features]).sort_values(["doc_id", "key"])
-    x = np.stack(found.features.tolist()).astype(float) if len(found) else np.zeros((0, WIDTH))
+    found = (docs.join(drawn, "doc_id").select("doc_id", "label", "part", "text").mapInArrow(run, "doc_id long, label int, part long, features binary")).toPandas()
+    found = found.assign(features=[bytes(f) for f in found.features]).sort_values(["doc_id", "features"])
+    x = np.frombuffer(b"".join(found.features), np.float32).reshape(-1, WIDTH).astype(float)
     y, taught = (found.label > 0).to_numpy(float), (found.part > 1).to_numpy()
     return vectors, fit(x[taught], y[taught], (x[~taught], y[~taught]))
 
@@ -243,17 +245,18 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", fit
 def score(docs: DataFrame, model: tuple[Vectors, Network], threshold: float = 0.3, text_column: str = "text", keep_text: bool = True) -> DataFrame:
     """The rows of ``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on), in place of any columns so named; without the text if it is not kept."""
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((pooling_table(model[0]), model[1]))
     names = docs.columns
     at = names.index(text_column)
     kept = [i for i in range(len(names)) if keep_text or i != at]
 
     def run(batches):
-        vectors, network = shared.value
+        table, network = shared.value
         for batch in batches:
             for part in slices(batch, at, 1 << 20):
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(network.scores(pooled(part.column(at).cast(pa.binary()).to_pylist(), vectors)))],
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(network.scores(pooled(part.column(at).cast(pa.binary()).to_pylist(), table)))],
                                                  [*(names[i] for i in kept), "score"])
+        _forget()
 
     schema = StructType([docs.schema[i] for i in kept] + [StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
