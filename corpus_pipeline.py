@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.common import stored
 from foliant.llm.cuckoo import without_duplicates
+from foliant.llm.encoding import KEPT_BESIDE_OTHERS
 from foliant.llm.minhash import without_near_duplicates
 from foliant.llm.mixing import mixed
 from foliant.llm.packing import pack
@@ -36,7 +37,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences of at most 4096."""
-    return pack(docs, tokenizer_path(), capacity=4096, end_id=1)
+    return pack(docs, tokenizer_path(), capacity=4096, end_id=1, kept=KEPT_BESIDE_OTHERS)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("source_mixing", source_mixing), ("best_fit_packing", best_fit_packing)]

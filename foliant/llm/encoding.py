@@ -12,8 +12,10 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Words kept at once by a worker; the store starts anew beyond that, which changes no result.
-KEPT = 1_500_000
+#: Words and pre-tokens of one generation that a worker keeps; those not met in two generations are forgotten, which changes no result.
+KEPT = 400_000
+#: The same beside other operators in one job, whose heaps are full by then.
+KEPT_BESIDE_OTHERS = 150_000
 #: Words of these characters only are cut here; all others go to the tokenizer whole. They are their own NFC form.
 _PLAIN = regex.compile("[\x21-\x7eÀ-ɏ]+")
 
@@ -21,7 +23,8 @@ _PLAIN = regex.compile("[\x21-\x7eÀ-ɏ]+")
 class WordEncoder:
     """ids(texts): for each text the ids as little-endian unsigned 32-bit integers; null counts as empty."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,6 +41,8 @@ class WordEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,35 +60,43 @@ class WordEncoder:
                     self.pieces.update(zip(run, self._whole(run)))
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) > KEPT:
-            self.words.clear()
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
+        for word in new:
+            if word in self.old_words:
+                self.words[word] = self.old_words[word]
         cut, odd = {}, []
         for word in new:
-            text = word.decode()
-            if _PLAIN.fullmatch(text) and not self.mark.search(text):
-                cut[word] = self.split.findall(text.lower())
-            else:
-                odd.append((word, text))
-        self._learn_pieces(list({p for parts in cut.values() for p in parts if p not in self.pieces}))
+            if word not in self.words:
+                text = word.decode()
+                if _PLAIN.fullmatch(text) and not self.mark.search(text):
+                    cut[word] = self.split.findall(text.lower())
+                else:
+                    odd.append((word, text))
+        wanted = {p for parts in cut.values() for p in parts if p not in self.pieces}
+        self.pieces.update((p, self.old_pieces[p]) for p in wanted if p in self.old_pieces)
+        self._learn_pieces([p for p in wanted if p not in self.pieces])
         pieces = self.pieces
         for word, parts in cut.items():
             self.words[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
         self.words.update(zip((w for w, _ in odd), self._whole([t for _, t in odd])))
 
+    def _turn(self) -> None:
+        """Begin a generation; what it meets again comes over from the one before."""
+        if len(self.words) > self.kept:
+            self.old_words, self.words = self.words, {}
+        if len(self.pieces) > self.kept:
+            self.old_pieces, self.pieces = self.pieces, {}
+
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        self._turn()
         split = [(t or b"").split() for t in texts]
         words = self.words
         new = {w for parts in split for w in parts if w not in words}
         if new:
             self._learn(list(new))
-            if any(w not in words for parts in split for w in parts):
-                self._learn(list({w for parts in split for w in parts if w not in words}))
         return [b"".join([words[w] for w in parts]) for parts in split]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept: int = KEPT) -> WordEncoder:
     """One per worker process and file."""
-    return WordEncoder(path)
+    return WordEncoder(path, kept)

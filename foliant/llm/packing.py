@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import numbered, slices, stored
-from foliant.llm.encoding import encoder
+from foliant.llm.encoding import KEPT, encoder
 
 SHARD = 1500
 ISLANDS = 2
@@ -31,12 +31,12 @@ GENERATIONS = 6
 WELL_FILLED = 0.995
 
 
-def pieces(docs: DataFrame, path: str, end_id: int | None, capacity: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int | None, capacity: int, id_column: str = "doc_id", text_column: str = "text", kept: int = KEPT) -> DataFrame:
     """doc_id, piece (from 0), start, length, ids_crc32: each text's ids and ``end_id``, cut every ``capacity`` ids."""
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        own = encoder(path)
+        own = encoder(path, kept)
         for batch in batches:
             for part in slices(batch, 1):
                 owner, piece, length, crc = [], [], [], []
@@ -231,13 +231,13 @@ def _level(items: DataFrame, shards: int, capacity: int, level: int) -> DataFram
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text",
-         shard: int = SHARD) -> DataFrame:
+         shard: int = SHARD, kept: int = KEPT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row.
 
     Null and empty texts are their end id alone. Only texts longer than ``capacity`` are cut; full pieces are sequences of their own.
-    Rows that repeat an id are packed as rows of their own. Offsets are gapless from 0 in each sequence.
+    Rows that repeat an id are packed as rows of their own. Offsets are gapless from 0 in each sequence. ``kept``: words a worker remembers.
     """
-    table = numbered(pieces(docs, path, end_id, capacity, id_column, text_column).where("length > 0"), "pieces")
+    table = numbered(pieces(docs, path, end_id, capacity, id_column, text_column, kept).where("length > 0"), "pieces")
     done = table.where(F.col("length") >= capacity).select("_row", (F.col("_row") * 64).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left, level = table.where(F.col("length") < capacity).select("_row", "length"), 0
     count = left.count()
