@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from foliant.operators import delivery, reports, summaries
 from foliant.operators.quality import classify_discrepancies, sort_discrepancies
+from foliant.session import save
 from foliant.sources import readers, writers
 
 
@@ -20,7 +20,8 @@ def run_outputs(pages: DataFrame, fields: dict[str, str], folder: str, criteria:
     """
     found = classify_discrepancies(pages)
     excluded = found.select("file", "page_number") if exclude_discrepancies else None
-    rows = reports.wide_page_rows(pages, fields, month_end, files)
+    # Both reports are sorted and written from the same rows.
+    rows = save(reports.wide_page_rows(pages, fields, month_end, files))
     writers.write_complete_csv(rows, f"{folder}/datos/completo", mode="overwrite")
     writers.write_minimal_csv(rows, f"{folder}/datos/minimo", selected, mode="overwrite")
     writers.write_run_json(pages, fields, f"{folder}/datos/json", mode="overwrite")
@@ -42,4 +43,4 @@ def reexport(spark, json_path: str, fields: dict[str, str], folder: str, **optio
     pages = readers.wide_pages(readers.read_run_pages(spark, json_path), fields)
     order = pages.select("path").distinct()
     numbered = readers.positions(order, ["path"], "file_seq", start=0)
-    run_outputs(pages.join(numbered, "path").withColumn("discrepancy", F.lit(False)).drop("discrepancy", "path"), fields, folder, **options)
+    run_outputs(pages.join(numbered, "path").drop("path"), fields, folder, **options)
