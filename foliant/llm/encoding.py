@@ -15,7 +15,7 @@ import regex
 #: Words and pre-tokens of one generation that a worker keeps; those not met in two generations are forgotten, which changes no result.
 KEPT = 400_000
 #: The same beside other operators in one job, whose heaps are full by then.
-KEPT_BESIDE_OTHERS = 150_000
+KEPT_BESIDE_OTHERS = 60_000
 #: Words of these characters only are cut here; all others go to the tokenizer whole. They are their own NFC form.
 _PLAIN = regex.compile("[\x21-\x7eÀ-ɏ]+")
 

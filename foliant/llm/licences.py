@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import numbered
@@ -49,6 +49,10 @@ def normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, UPPER, LOWER), "[^a-z0-9]+", " "))
 
 
+def _listed(spark: SparkSession, rows: list[Column]) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences: dict[int, str] | None = None, rules: list | None = None) -> DataFrame:
     """doc_id, licences (distinct, sorted, joined by commas; empty if none) and n_sentences (known ones found) per row.
 
@@ -58,12 +62,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     spark = docs.sparkSession
     sentences, rules = sentences or SENTENCES, rules or RULES
-    # _row must not change between the scan and the join back, so only ids are stored; texts are read once.
-    known = spark.createDataFrame(list(sentences.items()), "sentence int, unit string")
+    known = _listed(spark, [F.struct(F.lit(i).alias("sentence"), F.lit(unit).alias("unit")) for i, unit in sentences.items()])
     known = F.broadcast(known) if len(sentences) <= SENT_SENTENCES else known
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     cut = F.array(*[F.struct(F.lit(i).alias("cut"), F.transform(F.split(text, ends, -1), normal).alias("units")) for i, ends in enumerate(ENDS)])
-    # Known sentences are found in the same pass that lists the rows: a row keeps the places of its known units only.
+    # Known sentences are found in the pass that lists the rows: a stored row keeps the places of its known units only, and texts are read once.
     names = F.array(*[F.lit(s) for s in sorted(sentences.values())]) if len(sentences) <= 1000 else None
     keep = (lambda u: F.array_contains(names, u)) if names is not None else (lambda u: F.length(u) > 0)
     cut = F.transform(cut, lambda c: F.struct(c["cut"].alias("cut"), F.filter(F.transform(c["units"], lambda u, i: F.struct(i.alias("place"), u.alias("unit"))), lambda x: keep(x["unit"])).alias("units")))
@@ -74,7 +77,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     longest = max(len(ids) for _, ids in rules)
     coming = F.concat_ws(",", *[F.lead("sentence", k).over(order).cast("string") for k in range(longest)])
     seen = found.select("_row", "cut", "place", "sentence", F.concat(coming, F.lit(",")).alias("coming"))
-    table = spark.createDataFrame([(ids[0], ",".join(map(str, ids)) + ",", len(ids), name) for name, ids in rules], "sentence int, ids string, size int, licence string")
+    table = _listed(spark, [F.struct(F.lit(ids[0]).alias("sentence"), F.lit(",".join(map(str, ids)) + ",").alias("ids"), F.lit(len(ids)).alias("size"), F.lit(name).alias("licence"))
+                            for name, ids in rules])
     table = F.broadcast(table) if len(rules) <= SENT_SENTENCES else table
     fits = seen.join(table, "sentence").where("startswith(coming, ids)")
     best = fits.groupBy("_row", "cut", "place").agg(F.min(F.struct(-F.col("size"), "licence")).alias("m"))
