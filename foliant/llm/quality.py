@@ -21,8 +21,8 @@ from foliant.llm.common import slices, stored
 
 #: Word slots, dimensions, non-zero places of an index vector, and words to each side that count as neighbours.
 SLOTS = 1 << 15
-DIMENSIONS = 32
-PLACES = 2
+DIMENSIONS = 48
+PLACES = 4
 WINDOW = 2
 #: Labelled rows that fit the network, and those that set the temperature and the logit's offset, at most; drawn by a hash of the id.
 FIT_ROWS = 20_000
@@ -32,8 +32,7 @@ EPOCHS = 60
 SEED = 11
 
 
-#: Marks that end or begin a word, and how many words a worker keeps; those not met in two generations are forgotten.
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: How many words a worker keeps; those not met in two generations are forgotten.
 KEPT = 150_000
 _KNOWN: dict[bytes, tuple[int, ...]] = {}
 _BEFORE: dict[bytes, tuple[int, ...]] = {}
@@ -69,14 +68,17 @@ def _forget() -> None:
 
 def _slots(word: bytes) -> tuple[int, ...]:
     text = word.decode("utf-8", "replace")
-    core = text.strip(MARKS)
-    tail = text[len(text.rstrip(MARKS)):]
-    out = [core.lower().encode()] if core else [b"\x00mark" + text[:3].encode()]
+    marks = "".join(c for c in text if not c.isalnum()) or " "
+    core = text.strip(marks)
+    tail = text[len(text.rstrip(marks)):]
+    out = [core.lower().encode()] if core else []
     if len(core) > 1 and core.isupper():
         out.append(b"\x00upper")
-    if core and tail not in ("", ".", ","):
+    if tail not in ("", ".", ","):
         out.append(b"\x00tail" + tail[:3].encode())
-    if core and not core.isalpha():
+    if not core:
+        out.append(b"\x00mark" + text[:3].encode())
+    elif not core.isalpha():
         out.append(b"\x00mixed")
     return tuple(xxhash.xxh3_64_intdigest(w) & (SLOTS - 1) for w in out)
 
@@ -131,7 +133,7 @@ def word_vectors(docs: DataFrame, text_column: str = "text") -> Vectors:
     return Vectors(matrix.astype(np.float32), (1e-3 / (1e-3 + share)).astype(np.float32))
 
 
-WIDTH = 2 * DIMENSIONS + 5
+WIDTH = 2 * DIMENSIONS + 6
 
 
 def pooling_table(vectors: Vectors) -> np.ndarray:
@@ -140,20 +142,23 @@ def pooling_table(vectors: Vectors) -> np.ndarray:
 
 
 def pooled(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
-    """One row per text: weighted mean of its word vectors, their spread, and how long, varied, common, even and repetitive it is. Zeros for a wordless one."""
+    """One row per text: weighted mean of its word vectors, their spread, and how long, varied, common, even, alike from word to word and repetitive it is. Zeros for a wordless one."""
     slots, counts = words(texts)
     out = np.zeros((len(texts), WIDTH), np.float32)
     full = np.flatnonzero(counts)
     if not len(full):
         return out
     starts, n = (np.cumsum(counts) - counts)[full], counts[full]
-    sums = np.add.reduceat(table[slots], starts)
+    rows = table[slots]
+    sums = np.add.reduceat(rows, starts)
     mean, spread, weight = sums[:, :DIMENSIONS] / sums[:, -1:], np.sqrt(sums[:, DIMENSIONS:-1] / n[:, None]), sums[:, -1]
     owner = np.repeat(np.arange(len(counts)), counts)
     distinct = np.bincount(np.unique(owner * SLOTS + slots) // SLOTS, minlength=len(counts))[full]
-    again = np.zeros(len(slots), np.float32)
-    again[1:] = (owner[1:] == owner[:-1]) & (slots[1:] == slots[:-1])
-    out[full] = np.column_stack([mean, spread, np.log1p(n), distinct / n, weight / n, np.linalg.norm(mean, axis=1), np.add.reduceat(again, starts) / n])
+    again, near, beside = np.zeros(len(slots), np.float32), np.zeros(len(slots), np.float32), owner[1:] == owner[:-1]
+    again[1:] = beside & (slots[1:] == slots[:-1])
+    plain = rows[:, :DIMENSIONS] / rows[:, -1:]
+    near[1:] = np.where(beside, np.einsum("ij,ij->i", plain[1:], plain[:-1]), 0)
+    out[full] = np.column_stack([mean, spread, np.log1p(n), distinct / n, weight / n, np.linalg.norm(mean, axis=1), np.add.reduceat(near, starts) / n, np.add.reduceat(again, starts) / n])
     return out
 
 

@@ -64,3 +64,20 @@ def test_temperature_calibrates():
     loss = -np.mean(np.where(y[2000:] > 0, np.log(p), np.log(1 - p)))
     raw = net._replace(temperature=1.0).scores(x[2000:])
     assert net.temperature != 1 and loss < -np.mean(np.where(y[2000:] > 0, np.log(raw), np.log(1 - raw)))
+
+
+def test_words_beside_other_marks_are_the_words():
+    """Typographic quotes, dashes and the like are marks as ASCII ones are."""
+    plain, quoted = (quality._slots(t.encode()) for t in ("word", "“word”"))
+    assert plain[0] == quoted[0] and quality._slots("¿word".encode()) == plain and len(quality._slots("—".encode())) == 2
+
+
+def test_features_of_neighbouring_words():
+    """Equal words in another order differ in how alike neighbours are."""
+    rng = np.random.default_rng(3)
+    matrix, weight = rng.normal(size=(quality.SLOTS, quality.DIMENSIONS)).astype(np.float32), rng.uniform(0.1, 1, quality.SLOTS).astype(np.float32)
+    one, two = quality.pooled([b"aa bb aa cc", b"aa cc bb aa"], quality.pooling_table(quality.Vectors(matrix, weight)))
+    slots = quality.words([b"aa bb aa cc"])[0]
+    rows = matrix[slots]
+    assert one[-2] == pytest.approx((rows[1:] * rows[:-1]).sum() / 4, rel=1e-4) and one[-2] != pytest.approx(two[-2], rel=1e-4)
+    assert quality.DIMENSIONS == 48 and quality.index_vectors()[0].shape == (quality.SLOTS, 4) and one.shape == (2 * 48 + 6,)
