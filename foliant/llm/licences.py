@@ -39,8 +39,35 @@ RULES = [
     ("GPL-3.0", (20,)), ("GPL-3.0-or-later", (21,)), ("GPL-3.0-or-later", (21, 22, 23)), ("CC-BY-NC-4.0", (30,)), ("CC-BY-4.0", (31,)), ("CC-BY-SA-4.0", (32,)),
     ("BSD-2-Clause", (40, 41, 42)), ("BSD-3-Clause", (40, 41, 42, 43)), ("Proprietary", (50,)),
 ]
+# More licences and their SPDX lines, in a table of their own: the query's SQL states the ones above.
+_GNU = "is free software you can redistribute it and or modify it under the terms of the gnu "
+_FSF = "general public license as published by the free software foundation either version "
+_LATER = " of the license or at your option any later version"
+MORE_SENTENCES = {
+    100: f"this program {_GNU}{_FSF}2{_LATER}",
+    101: f"this program {_GNU}general public license version 2 as published by the free software foundation",
+    102: f"this library {_GNU}lesser {_FSF}2 1{_LATER}",
+    103: f"this program {_GNU}lesser {_FSF}2 1{_LATER}",
+    104: f"this library {_GNU}lesser {_FSF}3{_LATER}",
+    105: f"this program {_GNU}lesser {_FSF}3{_LATER}",
+    106: f"this program {_GNU}affero {_FSF}3{_LATER}",
+    110: "this source code form is subject to the terms of the mozilla public license v",
+    111: "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    112: "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    120: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+}
+MORE_RULES = [("GPL-2.0-or-later", (100,)), ("GPL-2.0-only", (101,)), ("LGPL-2.1-or-later", (102,)), ("LGPL-2.1-or-later", (103,)), ("LGPL-3.0-or-later", (104,)), ("LGPL-3.0-or-later", (105,)),
+              ("AGPL-3.0-or-later", (106,)), ("MPL-2.0", (110, 111)), ("MPL-2.0", (110, 112)), ("ISC", (120,))]
+#: Identifiers whose SPDX line is known. GPL-2.0 and the like are old names, with or without a plus sign.
+SPDX = ("0BSD AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later "
+        "GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib").split()
+MORE_SENTENCES |= {200 + i: "spdx license identifier " + name.lower().replace("-", " ").replace(".", " ") for i, name in enumerate(SPDX)}
+MORE_RULES += [(name, (200 + i,)) for i, name in enumerate(SPDX)]
 #: Where sentences end: as running text, whose lines may wrap, and line by line.
 ENDS = (r"[.!?]+[\x09-\x0d\x20]+|[\x0a\x0d][\x09-\x0d\x20]*[\x0a\x0d]", r"[.!?]+[\x09-\x0d\x20]+|[\x0a\x0d]+")
+#: Comment marks that begin a line, and where sentences end once they are gone: as running text, also with a colon that ends a line.
+COMMENT = r"(?m)^[\x09\x20]*(?:#![^\x0a\x0d]*|/\*+|\*+/|\*+|//+!?|#+|;+|--+|%+)"
+COMMENT_ENDS = (ENDS[0], ENDS[0] + r"|:[\x09\x20]*[\x0a\x0d]+")
 #: Sentence tables up to this number of rows are sent to all executors (some 300 bytes each).
 SENT_SENTENCES = 20_000
 
@@ -56,16 +83,19 @@ def _listed(spark: SparkSession, rows: list[Column]) -> DataFrame:
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences: dict[int, str] | None = None, rules: list | None = None) -> DataFrame:
     """doc_id, licences (distinct, sorted, joined by commas; empty if none) and n_sentences (known ones found) per row.
 
-    A text is cut into sentences twice, as running text and line by line; each cut's known sentences form a sequence of identifiers in
+    A text is cut into sentences as running text and line by line, and as running text without comment marks at line starts, there also
+    with a colon that ends a line; each cut's known sentences form a sequence of identifiers in
     order of place. A rule fits where its identifiers follow each other in a sequence; one that starts where a longer one does gives way
-    to it. n_sentences is the larger count of both cuts. Null and empty texts have none; rows that repeat an id are scanned on their own.
+    to it. n_sentences is the largest count of all cuts. Null and empty texts have none; rows that repeat an id are scanned on their own.
     """
     spark = docs.sparkSession
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    sentences, rules = sentences or SENTENCES | MORE_SENTENCES, rules or RULES + MORE_RULES
     known = _listed(spark, [F.struct(F.lit(i).alias("sentence"), F.lit(unit).alias("unit")) for i, unit in sentences.items()])
     known = F.broadcast(known) if len(sentences) <= SENT_SENTENCES else known
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    cut = F.array(*[F.struct(F.lit(i).alias("cut"), F.transform(F.split(text, ends, -1), normal).alias("units")) for i, ends in enumerate(ENDS)])
+    bare = F.regexp_replace(text, COMMENT, "")
+    cut = F.array(*[F.struct(F.lit(i).alias("cut"), F.transform(F.split(t, ends, -1), normal).alias("units"))
+                    for i, (t, ends) in enumerate([(text, e) for e in ENDS] + [(bare, e) for e in COMMENT_ENDS])])
     # Known sentences are found in the pass that lists the rows: a stored row keeps the places of its known units only, and texts are read once.
     names = F.array(*[F.lit(s) for s in sorted(sentences.values())]) if len(sentences) <= 1000 else None
     keep = (lambda u: F.array_contains(names, u)) if names is not None else (lambda u: F.length(u) > 0)

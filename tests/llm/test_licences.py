@@ -55,3 +55,47 @@ def test_empty_table(spark):
 def test_tables_are_normal():
     assert all(re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", s) for s in SENTENCES.values())
     assert all(i in SENTENCES for _, ids in RULES for i in ids)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+GPL_2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_source_headers(spark):
+    """Notices in comments, lists without a blank line, and further licences."""
+    def star(t):
+        return "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.splitlines()) + " */\nint main;\n"
+
+    def sharp(t):
+        return "#!/bin/sh\n" + "".join(f"# {x}".rstrip() + "\n" for x in t.splitlines()) + "\nx=1\n"
+
+    known = [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (APACHE, "Apache-2.0"), (GPL, "GPL-3.0-or-later"), (GPL_2, "GPL-2.0-or-later"), (MPL, "MPL-2.0"), (ISC, "ISC")]
+    rows = [(f(t), name) for t, name in known for f in (str, star, sharp)] + [("// SPDX-License-Identifier: LGPL-2.1-or-later\nx", "LGPL-2.1-or-later")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in scan(docs).collect()} == {i: name for i, (_, name) in enumerate(rows)}
