@@ -14,11 +14,33 @@ from foliant.session import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared scratch folder and read back: lineage is cut, row ids keep their values, columns prune."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write to the shared scratch folder and read back: lineage is cut, row ids keep their values, columns prune.
+
+    With ``release`` the shuffle files of this write go as soon as it is done.
+    """
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_RELEASE, "false")
+    try:
+        if release:
+            spark.conf.set(_RELEASE, "true")
+        df.write.parquet(path)
+    finally:
+        if release:
+            spark.conf.set(_RELEASE, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

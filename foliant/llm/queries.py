@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.session import scratch
 
@@ -89,6 +90,19 @@ def op10_media_copies(spark: SparkSession, folder: str) -> DataFrame:
     return image_copies(pictures(_table(spark, folder, "embeddings")))
 
 
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.substrings import without_repeats
+
+    found = without_repeats(_table(spark, folder, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.whitening import whiten
+
+    return whiten(_table(spark, folder, "embeddings"), most=8)
+
+
 def _licence_sql() -> str:
     from foliant.llm.licences import ENDS, RULES, SENTENCES
 
@@ -128,6 +142,15 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS start, words FROM d WHERE len(words) >= 20),
+w AS (SELECT doc_id, start, row_number() OVER (PARTITION BY list_aggregate(words[start:start + 19], 'string_agg', ' ') ORDER BY doc_id, start) AS nth FROM p),
+g AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM w WHERE nth > 1),
+r AS (SELECT doc_id, list(place) AS gone FROM g GROUP BY doc_id),
+f AS (SELECT doc_id, words, list_sort(list_filter(range(1, len(words) + 1), lambda i: NOT coalesce(list_contains(gone, i), false))) AS stay FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(stay) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(stay, lambda i: words[i]), ' '), '')) AS kept_sha256 FROM f""",
     "op3_warc_archives": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
@@ -136,4 +159,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
   CASE WHEN payload_bytes >= 1000 AND page_id <> kept_id THEN kept_id END AS refers_to FROM g""",
 }
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op5_exact_dedup, op6_quality_classifier,
-                                   op7_license_scan, op8_url_filter, op9_best_fit_packing, op10_media_copies)}
+                                   op7_license_scan, op8_url_filter, op9_best_fit_packing, op10_media_copies, op12_substring_dedup, op13_embedding_whitening)}
