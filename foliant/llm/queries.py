@@ -90,6 +90,13 @@ def op10_media_copies(spark: SparkSession, folder: str) -> DataFrame:
     return image_copies(pictures(_table(spark, folder, "embeddings")))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=5, least=(80, 100), scale=256.0)
+
+
 def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from foliant.llm.substrings import without_repeats
 
@@ -142,6 +149,14 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score FROM e a JOIN e ON a.vec_id % 100 = 0 AND e.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * s.score BETWEEN 80 * positive_score AND 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5""",
     "op12_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS start, words FROM d WHERE len(words) >= 20),
@@ -159,4 +174,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
   CASE WHEN payload_bytes >= 1000 AND page_id <> kept_id THEN kept_id END AS refers_to FROM g""",
 }
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_warc_archives, op4_token_files, op5_exact_dedup, op6_quality_classifier,
-                                   op7_license_scan, op8_url_filter, op9_best_fit_packing, op10_media_copies, op12_substring_dedup, op13_embedding_whitening)}
+                                   op7_license_scan, op8_url_filter, op9_best_fit_packing, op10_media_copies, op11_hard_negatives, op12_substring_dedup, op13_embedding_whitening)}
