@@ -10,17 +10,12 @@ from catalog.tables import MONTHS, PAGES
 from foliant.functions import dates as T
 from foliant.operators import dates as S
 from foliant.operators.books import with_books
-from foliant.operators.sequence import sequence_candidates as choose_sequence
-from foliant.operators.skew import has_hot_groups
 from foliant.plans import correction as C
 from foliant.plans import derived as D
 
 
-def prepared(spark, folder):
-    """Derived pages with book and parts, and whether a book is too large for one task."""
-    books = with_books(D.pages(spark, folder))
-    hot = has_hot_groups(books, ["book"])
-    return S.with_parts(books if hot else books.repartition("book")), hot
+def books(spark, folder):
+    return with_books(D.pages(spark, folder))
 
 
 def reading(field):
@@ -74,8 +69,7 @@ SELECT page_number, CASE WHEN maj IS NULL THEN year ELSE lpad(CAST(maj AS VARCHA
   CASE WHEN maj IS NULL THEN {OLD.format(s='year_status', c='c4')} ELSE 'Year corrected by book majority (' || CAST(x.n AS VARCHAR) || '/' || CAST(total AS VARCHAR) || '): ''' || year || ''' -> ''' || lpad(CAST(maj AS VARCHAR), 2, '0') || '''' END AS comment
 FROM pages LEFT JOIN fixes x USING (k)""", YEARS)
 def year_consensus(spark, folder):
-    df, hot = prepared(spark, folder)
-    return S.year_consensus(df, hot).select("page_number", *reading("year"))
+    return S.year_consensus(books(spark, folder)).select("page_number", *reading("year"))
 
 
 def between_sql(field: str) -> tuple[str, str]:
@@ -140,22 +134,19 @@ def _register_components():
 
         @register(f"infer_between_anchors_{field}", COLUMNS, sql, ctes)
         def between(spark, folder, field=field):
-            df, hot = prepared(spark, folder)
-            return S.infer_between_anchors(df, field, hot).select("page_number", *reading(field))
+            return S.infer_between_anchors(books(spark, folder), field).select("page_number", *reading(field))
 
         ctes, sql = edges_sql(field)
 
         @register(f"infer_edges_{field}", COLUMNS, sql, ctes)
         def edges(spark, folder, field=field):
-            df, hot = prepared(spark, folder)
-            return S.infer_edges(df, field, hot).select("page_number", *reading(field))
+            return S.infer_edges(books(spark, folder), field).select("page_number", *reading(field))
 
         ctes, sql = consensus_sql(field)
 
         @register(f"fill_book_consensus_{field}", COLUMNS, sql, ctes)
         def consensus(spark, folder, field=field):
-            df, hot = prepared(spark, folder)
-            return S.fill_book_consensus(S.snapshot_anchors(df, field, hot), field).select("page_number", *reading(field))
+            return S.fill_book_consensus(books(spark, folder), field).select("page_number", *reading(field))
 
 
 _register_components()
@@ -183,8 +174,7 @@ walk AS (SELECT book, pos, k, ym, CASE WHEN day_n IS NOT NULL THEN day_n ELSE le
 SELECT page_number, CASE WHEN p.day IS NULL AND w.day IS NOT NULL THEN lpad(CAST(w.day AS VARCHAR), 2, '0') ELSE p.day END AS day,
   CASE WHEN p.day IS NULL AND w.day IS NOT NULL THEN 'month_end_fallback' ELSE '' END AS method FROM pages p LEFT JOIN walk w USING (k)""", DAYS, recursive=True)
 def fill_missing_day(spark, folder):
-    df, hot = prepared(spark, folder)
-    return S.fill_missing_day(df, hot).select("page_number", F.col("day.value").alias("day"), F.coalesce(F.col("day.inference_method"), F.lit("")).alias("method"))
+    return S.fill_missing_day(books(spark, folder)).select("page_number", F.col("day.value").alias("day"), F.coalesce(F.col("day.inference_method"), F.lit("")).alias("method"))
 
 
 DATED = PAGES + """
@@ -196,8 +186,7 @@ dated AS (SELECT *, CASE WHEN day_n <= day(last_day(make_date(2000 + year_n, mon
 SELECT page_number, coalesce(date < lag(date) OVER (PARTITION BY book ORDER BY log_no, page_number, file_seq), false) AS regression FROM dated WHERE log_no IS NOT NULL AND date IS NOT NULL
 UNION ALL SELECT page_number, false FROM dated WHERE log_no IS NULL OR date IS NULL""", DATED)
 def check_regressions(spark, folder):
-    df, hot = prepared(spark, folder)
-    return S.check_regressions(S.recombine(df), hot).select("page_number", (F.col("regressions") == 1).alias("regression"))
+    return S.check_regressions(books(spark, folder)).select("page_number", (F.col("regressions") == 1).alias("regression"))
 
 
 @register("flag_unresolved", "long page_number, boolean unresolved, string day_comment, string month_comment, string year_comment", f"""
@@ -206,8 +195,7 @@ SELECT page_number, NOT blank AND date IS NULL AS unresolved, CASE WHEN NOT blan
   CASE WHEN blank OR date IS NOT NULL THEN {OLD.format(s='year_status', c='c4')} WHEN year IS NULL THEN 'Year unresolved after log_number inference'
    WHEN day IS NOT NULL AND month IS NOT NULL THEN 'Date is not a valid calendar date' ELSE {OLD.format(s='year_status', c='c4')} END AS year_comment FROM dated""", DATED)
 def flag_unresolved(spark, folder):
-    df, _ = prepared(spark, folder)
-    flagged = S.flag_unresolved(S.recombine(df))
+    flagged = S.flag_unresolved(S.recombine(S.with_parts(books(spark, folder))))
     return flagged.select("page_number", (F.col("unresolved") == 1).alias("unresolved"), *[F.col(f)["comment"].alias(f + "_comment") for f in ("day", "month", "year")])
 
 
@@ -215,8 +203,7 @@ def flag_unresolved(spark, folder):
 # a page-by-page restatement.
 @register("sequence_candidates", "long page_number, string day, string month, string year, long changed")
 def sequence_candidates(spark, folder):
-    df, hot = prepared(spark, folder)
-    chosen = choose_sequence(df, hot)
+    chosen = S.sequence_candidates(books(spark, folder))
     return chosen.select("page_number", *[F.col(f)["value"].alias(f) for f in ("day", "month", "year")], F.col("sequence_candidates").alias("changed"))
 
 

@@ -21,23 +21,24 @@ def only_digits(value: Column) -> Column:
 
 def month_word(text: Column) -> Column:
     """Number of a month word written exactly (null otherwise)."""
-    return F.element_at(F.create_map(*[F.lit(x) for pair in MONTH_WORDS for x in pair]), text)
+    pairs = ", ".join(f"'{word}', {number}" for word, number in MONTH_WORDS)
+    return F.element_at(F.expr(f"map({pairs})"), text)
 
 
 def _closest_month(letters: Column) -> Column:
-    def nearest(limit: int, close) -> Column:
-        ranked = [F.when((F.levenshtein(letters, F.lit(w)) < limit) & close(w),
-                         F.struct(F.levenshtein(letters, F.lit(w)).alias("d"), F.lit(-n).alias("m"))) for w, n in MONTH_WORDS]
-        return -F.array_min(F.array(*ranked))["m"]
+    # One constant: each word, its number, and the pattern of two of its letters in order.
+    known = F.expr("array({})".format(", ".join(
+        f"named_struct('word', '{w}', 'number', {n}, 'pair', '{w[0]}.*{w[1]}|{w[0]}.*{w[2]}|{w[1]}.*{w[2]}')" for w, n in MONTH_WORDS)))
 
-    def two_in_place(w: str) -> Column:
-        return sum((F.substring(letters, i + 1, 1) == c).cast("int") for i, c in enumerate(w)) >= 2
+    def nearest(limit: int, close) -> Column:
+        near = F.filter(known, lambda x: (F.levenshtein(letters, x["word"]) < limit) & close(x))
+        return -F.array_min(F.transform(near, lambda x: F.struct(F.levenshtein(letters, x["word"]).alias("d"), (-x["number"]).alias("m"))))["m"]
 
-    def two_in_order(w: str) -> Column:
-        return letters.rlike(f"{w[0]}.*{w[1]}|{w[0]}.*{w[2]}|{w[1]}.*{w[2]}")
+    def two_in_place(x: Column) -> Column:
+        return sum((F.substring(letters, i, 1) == F.substring(x["word"], i, 1)).cast("int") for i in (1, 2, 3)) >= 2
 
-    contained = F.coalesce(*[F.when(letters.contains(w), n) for w, n in MONTH_WORDS])
-    return F.coalesce(contained, nearest(2, two_in_place), F.when(F.length(letters).between(3, 5), nearest(3, two_in_order)))
+    contained = F.get(F.filter(known, lambda x: letters.contains(x["word"])), F.lit(0))["number"]
+    return F.coalesce(contained, nearest(2, two_in_place), F.when(F.length(letters).between(3, 5), nearest(3, lambda x: F.regexp_like(letters, x["pair"]))))
 
 
 def parse_month(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from foliant.constants import NO_MONTH, NO_REGISTRATION, UNREADABLE_ORDER
 from foliant.functions.dates import as_int, month_key, month_label, separator_label
 from foliant.functions.fields import canonical_registration, log_number, log_order
 from foliant.operators.books import PAGE_ID
-from foliant.operators.skew import join_groups, positions
+from foliant.operators.skew import in_ranges, join_groups, positions
 
 REVIEW_LABEL, DISCREPANCY_LABEL = "REVISAR", "POSIBLES DISCREPANCIAS"
 REVIEW_FILE = "revisar.pdf"
@@ -101,46 +102,87 @@ def delivery_sequence(pages: DataFrame, criteria: tuple[str, ...] = (), excluded
     return numbered.select("pos", F.when(F.col("body") == 0, F.col("separator")).alias("separator"), *none, *SECTION, "body")
 
 
+def _cut(size: int, header: bool, max_pages: int) -> tuple[int, int]:
+    """How many parts a section takes that is too large for one, and how full it leaves the last."""
+    repeat = bool(header) and max_pages > 1
+    step, body = (max_pages - 1 if repeat else max_pages), size - int(header)
+    pieces = -(-body // step)
+    return pieces, body - (pieces - 1) * step + repeat
+
+
+def _effect(max_pages: int):
+    """What a range of sections does to any open part: the parts it adds, and how full the last is then, for each size from 0 to ``max_pages``."""
+    def effect(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start")
+        parts, used = np.zeros(max_pages + 1, np.int64), np.arange(max_pages + 1)
+        for size, header in zip(pdf["size"], pdf["header"]):
+            if size > max_pages:
+                pieces, left = _cut(size, header, max_pages)
+                parts, used = parts + (used > 0) + pieces - 1, np.full(max_pages + 1, left)
+            else:
+                over = (used > 0) & (used + size > max_pages)
+                parts, used = parts + over, np.where(over, size, used + size)
+        return pd.DataFrame({"_chunk": [pdf["_chunk"].iloc[0]], "parts": [parts.tolist()], "used": [used.tolist()]})
+    return effect
+
+
 def _pack(max_pages: int):
-    """Sections in order -> first part number and the size that part already has."""
+    """Sections of a range in order -> first part number and the size that part already has."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, used, firsts, bases = 1, 0, [], []
+        pdf = pdf.sort_values("start")
+        part, used, firsts, bases = int(pdf["part"].iloc[0]), int(pdf["used"].iloc[0]), [], []
         for size, header in zip(pdf["size"], pdf["header"]):
             if size > max_pages:
                 # Too large for one part: cut, and leave the last piece open for what follows.
-                repeat = bool(header) and max_pages > 1
-                step, body = (max_pages - 1 if repeat else max_pages), size - int(header)
-                pieces = -(-body // step)
+                pieces, left = _cut(size, header, max_pages)
                 part += used > 0
                 firsts.append(part)
                 bases.append(0)
-                part += pieces - 1
-                used = body - (pieces - 1) * step + repeat
+                part, used = part + pieces - 1, left
                 continue
             if used and used + size > max_pages:
                 part, used = part + 1, 0
             firsts.append(part)
             bases.append(used)
             used += size
-        return pdf.assign(first_part=firsts, base=bases)
+        return pdf.drop(columns=["part", "used"]).assign(first_part=firsts, base=bases)
     return pack
 
 
+def pack_sections(sections: DataFrame, max_pages: int) -> DataFrame:
+    """``sections`` (``start, size, header``) with ``first_part`` and ``base``, the size of that part before them.
+
+    Sections are packed range by range: each range is first summed up as a function of the open part that it meets, these
+    functions are applied one after the other, and then every range packs its own sections from the part that reaches it.
+    """
+    ranges = in_ranges(sections, ["start"])
+    effects = ranges.select("_chunk", "start", "size", "header").groupBy("_chunk").applyInPandas(_effect(max_pages), "_chunk int, parts array<long>, used array<long>")
+    # One row per range, so the fold is over a few thousand rows at most.
+    state = F.struct(F.lit(1).cast("long").alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<_chunk:int,part:bigint,used:bigint>>").alias("met"))
+
+    def meet(s, e):
+        at = s["used"].cast("int")
+        return F.struct((s["part"] + F.get(e["parts"], at)).alias("part"), F.get(e["used"], at).alias("used"),
+                        F.array_append(s["met"], F.struct(e["_chunk"].alias("_chunk"), s["part"].alias("part"), s["used"].alias("used"))).alias("met"))
+
+    chain = effects.agg(F.array_sort(F.collect_list(F.struct("_chunk", "parts", "used"))).alias("effects"))
+    met = chain.select(F.inline(F.aggregate("effects", state, meet)["met"]))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranges.schema)
+    return ranges.join(F.broadcast(met), "_chunk").groupBy("_chunk").applyInPandas(_pack(max_pages), f"{types}, first_part long, base long").drop("_chunk")
+
+
 def split_parts(sequence: DataFrame, max_pages: int = 0) -> DataFrame:
     """Delivery entries with ``part`` and ``part_pos``, at most ``max_pages`` per part (0: one part).
 
-    Parts break between sections where possible. Only the section sizes are folded in order
-    (there are at most registrations x months of them); the pages stay distributed.
+    Parts break between sections where possible. Section sizes are packed by ranges
+    (``pack_sections``); the pages stay distributed.
     """
     sections = sequence.groupBy(*SECTION).agg(F.count("*").alias("size"), F.min("pos").alias("start"), (F.min("body") == 0).alias("header"))
     total = sequence.agg(F.count("*")).scalar()
     whole = F.lit(max_pages <= 0) | (total <= max_pages)
     if max_pages <= 0:
         return sequence.select("*", F.lit(1).alias("part"), F.col("pos").alias("part_pos"))
-    listed = sections.withColumn("_all", F.lit(0))
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.schema)
-    packed = listed.groupBy("_all").applyInPandas(lambda pdf: _pack(max_pages)(pdf.sort_values("start")), f"{types}, first_part long, base long")
-    placed = join_groups(sequence, packed.drop("_all"), SECTION, ["pos"], "inner", rows_in="size")
+    placed = join_groups(sequence, pack_sections(sections, max_pages), SECTION, ["pos"], "inner", rows_in="size")
     big, header = F.col("size") > max_pages, F.col("header")
     repeat = big & header & F.lit(max_pages > 1)
     step = F.when(repeat, max_pages - 1).otherwise(max_pages)

@@ -2,34 +2,33 @@
 
 A shortest path over the pages of a book: the state is the candidate date of a page, the cost
 is (backward steps, changed parts, days jumped) compared in that order. Only books that run
-backwards and have a choice reach Python. A book too large for one task is cut into ranges:
-each range yields the cost from every entry date to every exit date, the small per-book chain
-of ranges is solved, and the ranges are then traced with their entry and exit fixed.
+backwards and have a choice reach Python. Of a book in several segments each segment yields the
+cost from every entry date to every exit date, the small per-book chain of segments is solved,
+and the segments are then traced with their entry and exit fixed.
 """
 
 from __future__ import annotations
 
+from itertools import groupby, islice
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.constants import WARNING
-from foliant.functions.dates import day_number, month_end, month_name, month_number, year_number
-from foliant.functions.fields import update, with_alternative
+from foliant.functions.dates import month_end
 from foliant.operators.books import PAGE_ID
-from foliant.operators.skew import attach, in_ranges, neighbours
-from foliant.session import hot_rows, save
+from foliant.operators.segments import SEGMENT, Segments
+from foliant.session import save
 
 ORDER = ["log_no", *reversed(PAGE_ID)]
-NORMALISERS = (("day", day_number), ("month", month_number), ("year", year_number))
+PARTS = ("day", "month", "year")
 
 
-def _options(field: str, normalise) -> Column:
+def _options(field: str) -> Column:
     """Distinct normalised values of a part: the reading first, then its alternatives."""
-    own = F.array(F.col(field + "_n"))
-    others = F.col(field)["alternatives"]
-    listed = F.when(F.coalesce(F.size(others), F.lit(0)) == 0, own).otherwise(F.concat(own, F.transform(others, normalise)))
-    return F.when(F.col(field).isNotNull(), F.array_distinct(F.array_compact(listed))).otherwise(F.array().cast("array<int>"))
+    listed = F.concat(F.array(F.col(field + "_n")), F.col(field + "_alts"))
+    return F.when(F.col(field + "_has"), F.array_distinct(F.array_compact(listed))).otherwise(F.array().cast("array<int>"))
 
 
 def _candidates() -> Column:
@@ -98,14 +97,25 @@ def _chosen(pdf: pd.DataFrame, rows: list, path: list) -> pd.DataFrame:
         **{f"c_{p}": [picked[i][p] for i in moved] for p in ("day", "month", "year")}})
 
 
-def _solve_book(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(ORDER, kind="stable")
-    rows = [list(c) for c in pdf["candidates"]]
-    states, trail = _walk(rows, None)
-    end = _first_min(states)
-    if states[end][1][0] >= pdf["backward"].iloc[0]:
-        return _chosen(pdf.iloc[:0], [], [])
-    return _chosen(pdf, rows, _trace(trail, end))
+def _solve_books(batches):
+    """Whole books, one after the other, in batches sorted by book and page."""
+    def solve(pages: list):
+        rows = [p["candidates"] for p in pages]
+        states, trail = _walk(rows, None)
+        end = _first_min(states)
+        picked = [row[i] for row, i in zip(rows, _trace(trail, end))] if states[end][1][0] < pages[0]["backward"] else []
+        for page, c in zip(pages, picked):
+            if c["changes"]:
+                yield page["file_seq"], page["page_number"], c["day"], c["month"], c["year"]
+
+    def moved():
+        for _, pages in groupby((p for batch in batches for p in batch.to_pylist()), key=lambda p: p["book"]):
+            yield from solve(list(pages))
+
+    columns = CHOICE.replace(" long", "").replace(" int", "").split(", ")
+    found = moved()
+    while chunk := list(islice(found, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if i < 2 else pa.int32()) for i, v in enumerate(zip(*chunk))], columns)
 
 
 def _unpack(frame: pd.DataFrame, kind: str) -> list | None:
@@ -116,9 +126,8 @@ def _unpack(frame: pd.DataFrame, kind: str) -> list | None:
 STATES = "array<struct<date:int,back:long,changes:long,jumps:long>>"
 
 
-def _solve_large(df: DataFrame) -> DataFrame:
-    """The same choice for books cut into ranges (columns as for ``_solve_book``)."""
-    df = in_ranges(df, ["book", *ORDER])
+def _solve_segments(df: DataFrame) -> DataFrame:
+    """The same choice for books in several segments, numbered by ``_chunk``."""
     ends = df.groupBy("book", "_chunk").agg(F.max_by("candidates", F.struct(*ORDER)).alias("last"))
     lag = F.lag("last").over(Window.partitionBy("book").orderBy("_chunk"))
     entries = ends.select("book", "_chunk", lag.alias("entry"))
@@ -197,39 +206,26 @@ def _solve_large(df: DataFrame) -> DataFrame:
     return df.groupBy(*key).cogroup(plan.groupBy(*key)).applyInPandas(choose, CHOICE)
 
 
-def sequence_choices(df: DataFrame, hot: bool) -> DataFrame:
+def _whole_books(work: DataFrame) -> DataFrame:
+    return work.select("book", *ORDER, "candidates", "backward").repartition("book").sortWithinPartitions("book", *ORDER).mapInArrow(_solve_books, CHOICE)
+
+
+def sequence_choices(books: Segments) -> DataFrame:
     """Pages whose date changes, with the chosen day, month and year."""
-    narrow = df.where(F.col("log_no").isNotNull()).select(
-        "book", *ORDER, "day", "month", "year", "day_n", "month_n", "year_n",
-        *[_options(f, fn).alias(f"_{f}s") for f, fn in NORMALISERS])
-    dated = narrow.select("book", *ORDER, _candidates().alias("candidates")).where(F.size("candidates") > 0)
-    if hot:
-        dated = save(dated)
-    dated = dated.withColumn("_date", F.col("candidates")[0]["date"])
-    dated = neighbours(dated, ["book"], ORDER, hot, before={"_before": F.col("_date")})
-    dated = attach(dated, ["book"], hot, PAGE_ID, backward=F.count_if(F.col("_date") < F.col("_before")),
-                   _choice=F.max(F.size("candidates")), _rows=F.count("*"))
-    work = dated.where((F.col("backward") > 0) & (F.col("_choice") > 1)).select("book", *ORDER, "candidates", "backward", "_rows")
-    if not hot:
-        return work.drop("_rows").groupBy("book").applyInPandas(_solve_book, CHOICE)
-    work, limit = save(work), hot_rows(df.sparkSession)
-    small = work.where(F.col("_rows") <= limit).drop("_rows").groupBy("book").applyInPandas(_solve_book, CHOICE)
-    return small.unionByName(_solve_large(work.where(F.col("_rows") > limit).drop("_rows")))
-
-
-def sequence_candidates(df: DataFrame, hot: bool) -> DataFrame:
-    """Write the chosen alternatives on the pages and count the changed parts."""
-    choices = save(sequence_choices(df, hot))
-    df = df.join(choices, PAGE_ID, "left")
-    for field, _ in NORMALISERS:
-        pick = F.col(f"c_{field}")
-        df = df.withColumn("_move", F.coalesce(F.col(field).isNotNull() & pick.isNotNull() & ~F.col(field + "_n").eqNullSafe(pick), F.lit(False)))
-        text = {"day": pick.cast("string"), "month": month_name(pick), "year": F.lpad(pick.cast("string"), 2, "0")}[field]
-        before = F.coalesce(F.concat(F.lit("'"), F.col(field)["value"], F.lit("'")), F.lit("None"))
-        df = df.withColumn(field, update(
-            field, F.col("_move"), value=text, status=F.lit(WARNING), source=F.lit("book_correction"),
-            inference_method=F.lit("log_number_sequence_candidate"), alternatives=with_alternative(field),
-            comment=F.concat(F.lit("OCR alternative selected by nondecreasing book sequence: "), before, F.lit(" -> '"), text, F.lit("'"))))
-        df = (df.withColumn(field + "_n", F.when(F.col("_move"), pick).otherwise(F.col(field + "_n")))
-              .withColumn("sequence_candidates", F.col("sequence_candidates") + F.col("_move").cast("int")))
-    return df.drop("_move", "c_day", "c_month", "c_year")
+    named = books.rows.where(F.col("log_no").isNotNull()).withColumns({f"_{f}s": _options(f) for f in PARTS})
+    dated = named.select(*books.keys, *ORDER, _candidates().alias("candidates")).where(F.size("candidates") > 0)
+    dated = save(dated.withColumn("_date", F.col("candidates")[0]["date"]))
+    place = F.struct(*ORDER)
+    lag = F.lag("_date").over(Window.partitionBy(*books.keys).orderBy(*ORDER))
+    ends = dated.withColumn("_before", lag).groupBy(*books.keys).agg(
+        F.count_if(F.col("_date") < F.col("_before")).alias("back"), F.max(F.size("candidates")).alias("choice"), F.min_by("_date", place).alias("first"), F.max_by("_date", place).alias("last"))
+    if books.cut:
+        before = F.lag("last").over(Window.partitionBy("book").orderBy(SEGMENT))
+        ends = ends.withColumn("back", F.col("back") + F.coalesce((F.col("first") < before).cast("int"), F.lit(0)))
+    sums = ends.groupBy("book").agg(F.sum("back").alias("backward"), F.max("choice").alias("choice")).where("backward > 0 AND choice > 1").select("book", "backward")
+    work = books.having(dated.drop("_date")).attach(sums).rows.where(F.col("backward").isNotNull())
+    if not books.cut:
+        return save(_whole_books(work))
+    work = save(work)
+    single = _whole_books(work.where(F.col(SEGMENT) == 0))
+    return save(single.unionByName(_solve_segments(work.where(F.col(SEGMENT) > 0).withColumnRenamed(SEGMENT, "_chunk"))))

@@ -1,13 +1,12 @@
 """Grouped work that stays balanced when one key holds a large share of the rows.
 
-Cold data (no group above ``hot_rows``) runs as plain window functions that share one
-shuffle. As soon as one group is larger, the same calls pre-aggregate, join back with the
-hot keys salted, and cut ordered groups into ranges whose edges are carried over.
+Groups are pre-aggregated and joined back with the hot keys salted; global orders are cut into
+ranges whose offsets are added up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.session import hot_rows, save, shuffle_partitions
@@ -18,12 +17,6 @@ HOT_SHARE = 1 / 100_000
 RANGE_ROWS = 2_000_000
 
 
-def has_hot_groups(df: DataFrame, keys: list[str]) -> bool:
-    """Whether any group is too large for one task; only the key columns are read."""
-    limit = hot_rows(df.sparkSession)
-    return not df.groupBy(*keys).count().where(F.col("count") > limit).isEmpty()
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: list[str],
                 how: str = "left", rows_in: str | None = None) -> DataFrame:
     """Join rows to a table with one row per key, salting the keys that are hot in ``rows``.
@@ -45,16 +38,6 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: lis
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def attach(df: DataFrame, keys: list[str], hot: bool, spread: list[str], **aggs: Column) -> DataFrame:
-    """Add group aggregates to every row."""
-    if not hot:
-        window = Window.partitionBy(*keys)
-        return df.select("*", *[c.over(window).alias(n) for n, c in aggs.items()])
-    df = save(df)
-    groups = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return join_groups(df, groups, keys, spread)
-
-
 def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
     """Range-partition by ``order`` and keep the range number in ``_chunk``.
 
@@ -68,41 +51,6 @@ def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
     return save(df.repartitionByRange(parts, *order).withColumn("_chunk", F.spark_partition_id()))
 
 
-def neighbours(df: DataFrame, keys: list[str], order: list[str], hot: bool,
-               before: dict[str, Column] | None = None, after: dict[str, Column] | None = None) -> DataFrame:
-    """Add the nearest non-null value before / after each row in its ordered group."""
-    before, after = before or {}, after or {}
-    if not hot:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        past, future = window.rowsBetween(Window.unboundedPreceding, -1), window.rowsBetween(1, Window.unboundedFollowing)
-        return df.select("*", *[F.last(c, True).over(past).alias(n) for n, c in before.items()],
-                         *[F.first(c, True).over(future).alias(n) for n, c in after.items()])
-    df = df.select("*", *[c.alias("_v_" + n) for n, c in {**before, **after}.items()])
-    df = in_ranges(df, [*keys, *order])
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    past, future = inner.rowsBetween(Window.unboundedPreceding, -1), inner.rowsBetween(1, Window.unboundedFollowing)
-    position = F.struct(*order)
-
-    def known(n: str) -> Column:
-        return F.when(F.col("_v_" + n).isNotNull(), position)
-
-    edges = df.groupBy(*keys, "_chunk").agg(
-        *[F.max_by("_v_" + n, known(n)).alias("_e_" + n) for n in before],
-        *[F.min_by("_v_" + n, known(n)).alias("_e_" + n) for n in after])
-    outer = Window.partitionBy(*keys).orderBy("_chunk")
-    edges = edges.select(
-        *keys, "_chunk",
-        *[F.last("_e_" + n, True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_o_" + n) for n in before],
-        *[F.first("_e_" + n, True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias("_o_" + n) for n in after])
-    local = df.select("*", *[F.last("_v_" + n, True).over(past).alias("_l_" + n) for n in before],
-                      *[F.first("_v_" + n, True).over(future).alias("_l_" + n) for n in after])
-    names = [*before, *after]
-    joined = local.join(edges, [*keys, "_chunk"], "left")
-    for n in names:
-        joined = joined.withColumn(n, F.coalesce("_l_" + n, "_o_" + n))
-    return joined.drop("_chunk", *["_" + p + "_" + n for n in names for p in "vlo"])
-
-
 def positions(df: DataFrame, order: list[str], name: str = "pos", start: int = 1) -> DataFrame:
     """Number all rows in a total order without passing them through one task."""
     df = in_ranges(df, order)

@@ -1,10 +1,12 @@
 """Groups too large for one task give the same results as ordinary ones."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions.fields import page_status
-from foliant.operators import books, delivery, reports, sampling, skew
+from foliant.operators import books, delivery, reports, sampling, segments, skew
 from foliant.plans import derived
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,15 +45,56 @@ def test_hot_groups(spark, build):
     assert plain == split and plain
 
 
-def test_neighbours_across_ranges(spark):
-    df = spark.range(400).select((F.col("id") % 2).alias("g"), F.col("id").alias("o"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
-    plain = rows(skew.neighbours(df, ["g"], ["o"], False, before={"p": F.col("v")}, after={"n": F.col("v")}))
-    spark.conf.set("foliant.hotRows", "20")
+@pytest.mark.parametrize("limit", ["20", "100000"])
+def test_neighbours_across_segments(spark, limit):
+    """Groups of 370 and 10 rows, cut or whole."""
+    spark.conf.set("foliant.hotRows", limit)
     try:
-        split = rows(skew.neighbours(df, ["g"], ["o"], True, before={"p": F.col("v")}, after={"n": F.col("v")}).select("g", "o", "v", "p", "n"))
+        df = spark.range(380).select(F.when(F.col("id") < 370, "large").otherwise("small").alias("g"), F.col("id").alias("o"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+        books = segments.segmented(df, "g", ["o"])
+        assert books.cut == (limit == "20") and books.rows.count() == 380
+        got = books.nearest(before={"p": F.col("v")}, after={"n": F.col("v")}).attach(df.groupBy("g").agg(F.sum("v").alias("total"))).rows.collect()
     finally:
         spark.conf.unset("foliant.hotRows")
-    assert plain == split
+    known = {"large": range(0, 370, 7), "small": range(371, 380, 7)}
+    assert {r.o: (r.p, r.n, r.total) for r in got} == {
+        o: (max((v for v in known[g] if v < o), default=None), min((v for v in known[g] if v > o), default=None), sum(known[g])) for o in range(380) for g in ["large" if o < 370 else "small"]}
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 30])
+def test_sections_pack_the_same_in_any_number_of_ranges(spark, most):
+    rng = random.Random(most)
+    sections, start = [], 1
+    for _ in range(300):
+        size = rng.choice([1, 2, 3, 5, rng.randint(1, 3 * most)])
+        sections.append((start, size, rng.random() < 0.5))
+        start += size
+    df = spark.createDataFrame(sections, "start long, size long, header boolean").repartition(3)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("1", "4", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got.append({r.start: (r.first_part, r.base) for r in delivery.pack_sections(df, most).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    # One section after the other, on one open part.
+    part, used, plain = 1, 0, {}
+    for start, size, header in sections:
+        if size > most:
+            part += used > 0
+            plain[start] = (part, 0)
+            repeat = header and most > 1
+            left = size - header
+            room = most - repeat
+            while left > room:
+                left, part = left - room, part + 1
+            used = left + repeat
+        else:
+            if used and used + size > most:
+                part, used = part + 1, 0
+            plain[start] = (part, used)
+            used += size
+    assert got == [plain] * 3
 
 
 def test_positions_number_every_row_once(spark):
