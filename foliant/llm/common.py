@@ -43,9 +43,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Stored rows with a unique ``_row`` that no retry can change."""
-    return stored(df.withColumn("_row", F.monotonically_increasing_id()), name)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str, row: str = "_row") -> DataFrame:
+    """Stored rows with a unique number, ``_row`` unless named otherwise, that no retry can change."""
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), name)
 
 
 def slices(batch: pa.RecordBatch, text: int, limit: int = 4 << 20):

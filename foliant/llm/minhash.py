@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import connected, numbered, slices, stored
+from foliant.llm.common import connected, free_name, numbered, slices, stored
 
 REGISTERS = 128
 BAND = 4
@@ -43,9 +43,10 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     total = int(counts.sum())
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, total)
     with np.errstate(over="ignore"):
-        rolled = np.full(max(0, total - k + 1), np.uint64(k))
+        span = max(0, total - k + 1)
+        rolled = np.full(span, np.uint64(k))
         for i in range(k):
-            rolled = _mix(rolled * _GOLDEN + hashes[i:total - k + 1 + i])
+            rolled = _mix(rolled * _GOLDEN + hashes[i:i + span])
         out, start = [], 0
         for n in counts.tolist():
             if n >= k:
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
-    """One row of each near-duplicate group of ``docs``, with all its columns. Rows that share an id stay if one of them does."""
-    found = near_duplicates(docs, id_column, text_column, shingle, similarity)
-    gone = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each near-duplicate group of ``docs``, with all its columns, whatever their names. Rows that share an id stay if one of them does."""
+    found, name = near_duplicates(docs, id_column, text_column, shingle, similarity), free_name(docs, "_gone")
+    gone = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(gone, docs[id_column].cast("long").eqNullSafe(gone[name]), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WORD, numbered, stored
+from foliant.llm.common import WORD, free_name, numbered, stored
 
 CHUNK = 128
 CAP = 3
@@ -89,17 +89,20 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     """doc_id, size, source_size, target, taken and copies per row of ``docs``; taken = copies * size.
 
     A null source is a source; null, empty and wordless texts have size 0 and no copies. Rows that repeat an id are rows of their own.
-    No document is taken more than ``cap`` times. Reruns agree: coins are hashes of ids, and chunks are hashes of rows.
+    No document is taken more than ``cap`` times. Reruns agree under any partitioning: coins and chunks are hashes of ids, sizes and texts.
     The last fractional document of a source is rounded to the nearer side, and one other document's copies change by one if
     its size comes closer to the words then missing or in excess.
     """
-    columns = [F.col(id_column).cast("long").alias("doc_id"), size_of(F.col(text_column)).alias("size"), F.col(source_column).cast("string").alias("source")]
+    columns = [F.col(id_column).cast("long").alias("doc_id"), size_of(F.col(text_column)).alias("size"), F.col(source_column).cast("string").alias("source"), F.xxhash64(text_column).alias("mark")]
     rows = numbered(docs.select(*columns), "sizes") if row_column is None else stored(docs.select(*columns, F.col(row_column).alias("_row")), "sizes")
     shares = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).drop("n"), weights, cap), "targets")
     wanted = rows.join(shares.select(F.col("source").alias("_source"), "source_size", "target"), rows.source.eqNullSafe(F.col("_source"))).drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     wanted = wanted.withColumn("whole", F.floor(ratio + EXACT).cast("long")).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
-    key = F.xxhash64("doc_id", "size", F.lit(seed))
+    # Rows that agree in id, size and text are told apart by a running number: any of them may have any of their numbers.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size", "mark").orderBy("_row"))
+    wanted = stored(wanted.withColumn("key", F.xxhash64("doc_id", "size", "mark", nth, F.lit(seed))).drop("mark"), "wanted")
+    key = F.col("key")
     items = wanted.where("size > 0").select("source", F.struct(F.col("_row").alias("row"), key.alias("key"), F.col("size").cast("double").alias("size"), "p").cast(ITEM).alias("item"))
     counts = items.groupBy("source").count()
     largest = counts.agg(F.max("count")).first()[0] or 0
@@ -110,7 +113,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
         chunks = F.ceil(F.col("count") / CHUNK)
         named = counts.withColumnRenamed("source", "_source")
         dealt = items.join(named, items.source.eqNullSafe(F.col("_source"))).select(
-            "source", F.pmod(F.xxhash64("item.row", F.lit(seed + level)), chunks).alias("chunk"), "item")
+            "source", F.pmod(F.xxhash64("item.key", F.lit(seed + level)), chunks).alias("chunk"), "item")
         packed = dealt.groupBy("source", "chunk").agg(F.array_sort(F.collect_list(F.struct("item.key", "item"))).alias("items"))
         rounded = stored(packed.select("source", _round_chunk(F.transform("items", lambda x: x["item"]), seed + level).alias("r")), "rounded")
         done.append(rounded.select("source", F.explode("r.done").alias("item")))
@@ -125,15 +128,17 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
         extra = extra.unionByName(more)
     extra = extra.select(F.col("item.row").alias("_row"), F.col("item.p").cast("long").alias("extra"))
     taken = stored(wanted.join(extra, "_row", "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
-                   .select("_row", "doc_id", "source", "size", "source_size", "target", "copies"), "copies")
+                   .select("_row", "doc_id", "source", "size", "source_size", "target", "copies", "key"), "copies")
     return _corrected(taken, cap).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "_row")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns; options as for ``mix``."""
-    table = numbered(docs, "documents")
-    copies = mix(table, row_column="_row", **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    return table.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them, with all their columns, whatever their names; options as for ``mix``."""
+    row = free_name(docs, "_row")
+    table = numbered(docs, "documents", row)
+    times, copy = free_name(table, "_copies"), free_name(table, "_copy")
+    copies = mix(table, row_column=row, **options).where("copies > 0").select(F.col("_row").alias(row), F.col("copies").alias(times))
+    return table.join(copies, row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
 
 
 def _corrected(taken: DataFrame, cap: int) -> DataFrame:
@@ -143,6 +148,6 @@ def _corrected(taken: DataFrame, cap: int) -> DataFrame:
     left = F.when((F.col("missing") > 0) & (F.col("copies") < cap), F.abs(F.col("missing") - F.col("size"))).when(
         (F.col("missing") < 0) & (F.col("copies") > 0), F.abs(F.col("missing") + F.col("size")))
     near = near.where(F.col("size") > 0).withColumn("left", left).where(F.col("left") < F.abs("missing"))
-    best = near.groupBy("_source").agg(F.min(F.struct("left", "doc_id", "_row", F.signum("missing").cast("long").alias("change"))).alias("best"))
+    best = near.groupBy("_source").agg(F.min(F.struct("left", "doc_id", "key", "_row", F.signum("missing").cast("long").alias("change"))).alias("best"))
     best = best.select(F.col("best._row").alias("_row"), F.col("best.change").alias("change"))
     return taken.join(best, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))

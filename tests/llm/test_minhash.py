@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from foliant.llm import minhash
 from tests.llm import brute
@@ -50,3 +51,11 @@ def test_sketches_merge_and_estimate():
         size = np.full(40, float(s))
         assert abs(minhash.estimate(ka, kb, size, size).mean() - j) < 0.03
         assert (minhash.merge(ka, kb) == minhash.sketches([np.union1d(x, y) for x, y in zip(a, b)])).all()
+
+
+@pytest.mark.parametrize("k", range(2, 8))
+def test_batches_of_few_words(k):
+    """A batch may hold fewer words than a shingle."""
+    for n in range(k + 2):
+        sets = minhash.shingle_sets([b" ".join(b"w%d" % i for i in range(n))], k)
+        assert len(sets) == 1 and len(sets[0]) == (0 if n == 0 else max(1, n - k + 1))

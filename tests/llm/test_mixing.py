@@ -73,3 +73,12 @@ def test_expectations_are_kept(spark):
 
 def test_empty_table(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_partitions_do_not_matter(spark):
+    """Many chunks a source, rows that repeat ids, sizes and texts."""
+    rng = random.Random(3)
+    rows = [(i if i % 50 else 7, "w " * rng.randint(1, 60), "big" if i % 3 else "small") for i in range(4000)] + [(None, "w w", "big")] * 20 + [(8, "w w w", "small")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(map(str, mix(docs.repartition(n)).drop("_row").collect())) for n in (2, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == len(rows)

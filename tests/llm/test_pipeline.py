@@ -2,8 +2,13 @@
 
 from collections import Counter, defaultdict
 
+import pytest
+
 import corpus_pipeline
 from foliant.llm.common import stored
+from foliant.llm.cuckoo import without_duplicates
+from foliant.llm.minhash import without_near_duplicates
+from foliant.llm.mixing import mixed
 from foliant.llm.quality import classify
 from tests.llm import brute
 from tests.llm.test_mixing import expected_targets
@@ -52,3 +57,21 @@ def test_run_is_registered():
     from __spark_entry__ import queries
 
     assert queries()["pipeline"].__wrapped__ is corpus_pipeline.run and [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "near_dedup", "source_mixing", "best_fit_packing"]
+
+
+@pytest.mark.parametrize("stage", [without_duplicates, without_near_duplicates, mixed])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    """Input columns named as the stages' own; null, empty, short and repeated rows; an empty table."""
+    words = " ".join(f"x{i}" for i in range(40))
+    rows = [(1, words, "a"), (2, words + " end", "a"), (3, words, "b"), (4, "a b c", "b"), (5, None, "a"), (6, "", None), (7, "lone words here and there", "b"), (None, "no id", "a")]
+    columns = ["_row", "_copy", "_copies", "_gone", "kept", "copies", "_row_"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in columns)
+    table = spark.createDataFrame([(*r, *[f"{c}{i}" for c in columns]) for i, r in enumerate(rows)], schema).repartition(8)
+    got = stage(table)
+    assert got.columns == table.columns
+    found, known = [tuple(r) for r in got.collect()], {tuple(r) for r in table.collect()}
+    assert set(found) <= known and found
+    plain = stage(table.select("doc_id", "text", "source"))
+    assert sorted((r[:3] for r in found), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    empty = stage(spark.createDataFrame([], schema))
+    assert empty.columns == table.columns and empty.collect() == []
