@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.pages import FIELDS
+from catalog.pages import FIELDS, status_sql
 from catalog.registry import register
 from catalog.tables import MONTHS, PAGES
 from foliant.functions import dates as T
@@ -199,21 +199,115 @@ def flag_unresolved(spark, folder):
     return flagged.select("page_number", (F.col("unresolved") == 1).alias("unresolved"), *[F.col(f)["comment"].alias(f + "_comment") for f in ("day", "month", "year")])
 
 
-# The sequence search and the whole correction have no practical SQL form; tests check them against
-# a page-by-page restatement.
-@register("sequence_candidates", "long page_number, string day, string month, string year, long changed")
+def valid(day: str, month: str, year: str) -> str:
+    return f"CASE WHEN {day} <= day(last_day(make_date(2000 + {year}, {month}, 1))) THEN make_date(2000 + {year}, {month}, {day}) END"
+
+
+def sequence_sql(corrected_years: bool) -> str:
+    """The choice of readings as a shortest path over (book, place, option): costs compared in order, ties to the earlier option.
+
+    Leaves ``s1``: pages with the chosen day and year; months have one reading, years a second one where the majority moved them."""
+    start = ("s0 AS (SELECT p.*, coalesce(f.maj, year_n) AS y1, f.maj IS NOT NULL AS yfix FROM pages p LEFT JOIN fixes f USING (k)),"
+             if corrected_years else "s0 AS (SELECT *, year_n AS y1, false AS yfix FROM pages),")
+    return (YEARS if corrected_years else PAGES) + start + f"""
+options AS (SELECT k, book, log_no, page_number, file_seq, d.i * 2 + y.i AS i, dd, yy, CAST(dd <> day_n AS INT) + CAST(yy <> y1 AS INT) AS changes, {valid('dd', 'month_n', 'yy')} AS date
+  FROM s0, LATERAL (VALUES (0, day_n), (1, CAST(day_alt AS BIGINT))) d(i, dd), LATERAL (VALUES (0, y1), (1, CASE WHEN yfix THEN year_n END)) y(i, yy)
+  WHERE log_no IS NOT NULL AND dd IS NOT NULL AND month_n IS NOT NULL AND yy IS NOT NULL),
+line AS (SELECT * REPLACE (date - DATE '1970-01-01' AS date), dense_rank() OVER (PARTITION BY book ORDER BY log_no, page_number, file_seq) AS pos FROM options WHERE date IS NOT NULL),
+read_first AS (SELECT book, pos, arg_min(date, i) AS date FROM line GROUP BY ALL),
+turns AS (SELECT book, count(*) FILTER (date < before) AS backward FROM (SELECT book, date, lag(date) OVER (PARTITION BY book ORDER BY pos) AS before FROM read_first) GROUP BY book),
+route AS (SELECT book, pos, i, date, 0 AS back, changes, CAST(0 AS BIGINT) AS jumps, CAST(-1 AS INT) AS came FROM line WHERE pos = 1
+  UNION ALL SELECT book, pos, i, date, b[1], b[2], b[3], b[4] FROM (
+    SELECT c.book, c.pos, c.i, c.date, min((r.back + CAST(c.date < r.date AS INT), r.changes + c.changes, r.jumps + abs(c.date - r.date), r.i)) AS b
+    FROM route r JOIN line c ON c.book = r.book AND c.pos = r.pos + 1 GROUP BY c.book, c.pos, c.i, c.date)),
+last_place AS (SELECT book, max(pos) AS pos FROM line GROUP BY book),
+goal AS (SELECT r.book, r.pos, min((back, changes, jumps, i)) AS b FROM route r JOIN last_place USING (book, pos) GROUP BY ALL),
+trace AS (SELECT g.book, g.pos, b[4] AS i FROM goal g JOIN turns USING (book) WHERE b[1] < backward
+  UNION ALL SELECT t.book, t.pos - 1, r.came FROM trace t JOIN route r USING (book, pos, i) WHERE t.pos > 1),
+moves AS (SELECT k, dd, yy FROM trace JOIN line USING (book, pos, i) WHERE changes > 0),
+s1 AS (SELECT s.*, coalesce(m.dd, day_n) AS d2, coalesce(m.yy, y1) AS y2, coalesce(m.dd <> day_n, false) AS dmove, coalesce(m.yy <> y1, false) AS ymove FROM s0 s LEFT JOIN moves m USING (k)),
+"""
+
+
+@register("sequence_candidates", "long page_number, string day, string month, string year, long changed", """
+SELECT page_number, CASE WHEN dmove THEN CAST(d2 AS VARCHAR) ELSE day END AS day, month, CASE WHEN ymove THEN lpad(CAST(y2 AS VARCHAR), 2, '0') ELSE year END AS year,
+  CAST(dmove AS INT) + CAST(ymove AS INT) AS changed FROM s1""", sequence_sql(False), recursive=True)
 def sequence_candidates(spark, folder):
     chosen = S.sequence_candidates(books(spark, folder))
     return chosen.select("page_number", *[F.col(f)["value"].alias(f) for f in ("day", "month", "year")], F.col("sequence_candidates").alias("changed"))
 
 
-@register("correct_dates", "long page_number, string date, string day, string month, string year, string year_method, string status")
+def component_steps(name: str, source: str, n: str, anchor: str) -> str:
+    """Between anchors, edges and consensus of one part, one after the other; leaves ``{name}3`` with the value ``{name}v`` and what was done."""
+    x = name
+    return f"""
+{x}a AS (SELECT k, book, log_no, page_number, file_seq, {n} AS v FROM {source} WHERE log_no IS NOT NULL AND alignment = 'ok' AND {n} IS NOT NULL AND {anchor}),
+{x}levels AS (SELECT DISTINCT book, log_no FROM {source} WHERE log_no IS NOT NULL),
+{x}lefts AS (SELECT l.book, l.log_no, max((a.log_no, a.page_number, a.file_seq, a.v)) AS a FROM {x}levels l JOIN {x}a a ON a.book = l.book AND a.log_no < l.log_no GROUP BY ALL),
+{x}rights AS (SELECT l.book, l.log_no, min((a.log_no, a.page_number, a.file_seq, a.v)) AS a FROM {x}levels l JOIN {x}a a ON a.book = l.book AND a.log_no > l.log_no GROUP BY ALL),
+{x}spans AS (SELECT l.book, l.log_no, l.a[4] AS v FROM {x}lefts l JOIN {x}rights r USING (book, log_no) WHERE l.a[4] = r.a[4]),
+{x}contrary AS (SELECT s.book, s.log_no, count(*) AS n FROM {x}spans s JOIN {x}a a ON a.book = s.book AND a.log_no = s.log_no AND a.v <> s.v GROUP BY ALL),
+{x}1 AS (SELECT p.*, s.v AS {x}s, CASE WHEN s.v IS NULL OR coalesce(c.n, 0) - CAST(coalesce(a.v <> s.v, false) AS INT) > 0 THEN '' WHEN {n} IS NULL THEN 'fill' WHEN {n} <> s.v THEN 'flag' ELSE '' END AS {x}act
+  FROM {source} p LEFT JOIN {x}spans s ON s.book = p.book AND s.log_no = p.log_no AND p.alignment = 'ok' LEFT JOIN {x}contrary c ON c.book = p.book AND c.log_no = p.log_no LEFT JOIN {x}a a ON a.k = p.k),
+{x}left_over AS (SELECT a.* FROM {x}a a JOIN {x}1 p USING (k) WHERE p.{x}act <> 'flag'),
+{x}ends AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY log_no, page_number, file_seq) AS a, row_number() OVER (PARTITION BY book ORDER BY log_no DESC, page_number DESC, file_seq DESC) AS z FROM {x}left_over),
+{x}edges AS (SELECT book, max(v) FILTER (a = 1) AS v1, max(v) FILTER (a = 2) AS v2, max(log_no) FILTER (a = 1) AS n1, max(v) FILTER (z = 1) AS w1, max(v) FILTER (z = 2) AS w2, max(log_no) FILTER (z = 1) AS m1 FROM {x}ends GROUP BY book),
+{x}2 AS (SELECT p.*, CASE WHEN {n} IS NULL AND {x}act <> 'fill' AND alignment = 'ok' THEN CASE WHEN v1 = v2 AND log_no < n1 AND n1 - log_no <= 10 THEN v1 WHEN w1 = w2 AND log_no > m1 AND log_no - m1 <= 10 THEN w1 END END AS {x}edge
+  FROM {x}1 p LEFT JOIN {x}edges USING (book)),
+{x}agreed AS (SELECT book, min(v) AS v FROM {x}a GROUP BY book HAVING count(*) >= 2 AND min(v) = max(v)),
+{x}filled AS (SELECT p.*, CASE WHEN {n} IS NULL AND {x}act <> 'fill' AND {x}edge IS NULL AND NOT blank THEN g.v END AS {x}sole FROM {x}2 p LEFT JOIN {x}agreed g USING (book)),
+{x}3 AS (SELECT *, coalesce({n}, CASE WHEN {x}act = 'fill' THEN {x}s END, {x}edge, {x}sole) AS {x}v FROM {x}filled),
+"""
+
+
+CORRECTED = (sequence_sql(True) + component_steps("yy", "s1", "y2", "c4 >= 0.5 AND NOT yfix AND NOT ymove") + component_steps("mm", "yy3", "month_n", "c3 >= 0.5") + f"""
+takes AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY log_ord, page_number, file_seq) AS place, yyv * 12 + mmv AS ym, day(last_day(make_date(2000 + yyv, mmv, 1))) AS month_end
+  FROM mm3 WHERE NOT blank AND mmv IS NOT NULL AND yyv IS NOT NULL),
+ahead AS (SELECT *, first_value(CASE WHEN d2 IS NOT NULL THEN (ym, d2) END IGNORE NULLS) OVER (PARTITION BY book ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM takes),
+day_walk AS (SELECT book, place, k, ym, CASE WHEN d2 IS NOT NULL THEN d2 ELSE least(month_end, CASE WHEN nxt[1] = ym THEN nxt[2] ELSE month_end END) END AS day FROM ahead WHERE place = 1
+  UNION ALL SELECT a.book, a.place, a.k, a.ym, CASE WHEN a.d2 IS NOT NULL THEN a.d2
+    ELSE greatest(least(a.month_end, CASE WHEN a.nxt[1] = a.ym THEN a.nxt[2] ELSE a.month_end END), CASE WHEN w.ym = a.ym THEN w.day ELSE 1 END) END FROM day_walk w JOIN ahead a ON a.book = w.book AND a.place = w.place + 1),
+d3 AS (SELECT p.*, CASE WHEN p.d2 IS NULL THEN w.day END AS dfill, coalesce(p.d2, w.day) AS dv FROM mm3 p LEFT JOIN day_walk w USING (k)),
+d4 AS (SELECT *, {valid('dv', 'mmv', 'yyv')} AS real_date FROM d3),
+backs AS (SELECT k FROM (SELECT k, real_date, lag(real_date) OVER (PARTITION BY book ORDER BY log_no, page_number, file_seq) AS before FROM d4 WHERE log_no IS NOT NULL AND real_date IS NOT NULL) WHERE real_date < before),
+d5 AS (SELECT d.*, b.k IS NOT NULL AS back, NOT blank AND real_date IS NULL AS unresolved, yyact = 'fill' OR yyedge IS NOT NULL OR yysole IS NOT NULL AS yput, mmact = 'fill' OR mmedge IS NOT NULL OR mmsole IS NOT NULL AS mput FROM d4 d LEFT JOIN backs b USING (k)),
+corrected AS (SELECT k, page_number, book, blank, log, matricula, log_status, matricula_status, yfix, dmove, ymove, yput, mput, dfill, yyact, mmact, back, unresolved, strftime(real_date, '%Y/%m/%d') AS date,
+  CASE WHEN dfill IS NOT NULL THEN lpad(CAST(dfill AS VARCHAR), 2, '0') WHEN dmove THEN CAST(d2 AS VARCHAR) ELSE day END AS day,
+  CASE WHEN mput THEN {MONTHS}[mmv] ELSE month END AS month, CASE WHEN yput OR yfix OR ymove THEN lpad(CAST(yyv AS VARCHAR), 2, '0') ELSE year END AS year,
+  CASE WHEN dmove OR dfill IS NOT NULL OR unresolved AND dv IS NULL THEN 'WARNING' ELSE day_status END AS day_status,
+  CASE WHEN mput OR mmact = 'flag' OR unresolved AND mmv IS NULL THEN 'WARNING' ELSE month_status END AS month_status,
+  CASE WHEN yput OR yfix OR ymove OR yyact = 'flag' OR back OR unresolved AND (yyv IS NULL OR dv IS NOT NULL AND mmv IS NOT NULL) THEN 'WARNING' ELSE year_status END AS year_status,
+  CASE WHEN unresolved AND yyv IS NULL THEN 'date_unresolved' WHEN unresolved AND dv IS NOT NULL AND mmv IS NOT NULL THEN 'invalid_calendar_date' WHEN back THEN 'log_number_regression' WHEN yysole IS NOT NULL THEN 'book_consensus'
+    WHEN yyedge IS NOT NULL THEN 'log_number_local_consensus' WHEN yyact = 'fill' THEN 'log_number_interval' WHEN yyact = 'flag' THEN 'log_number_interval_conflict' WHEN ymove THEN 'log_number_sequence_candidate'
+    WHEN yfix THEN 'log_number_year_consensus' END AS year_method FROM d5),
+""")
+
+
+@register("correct_dates", "long page_number, string date, string day, string month, string year, string year_method, string status", f"""
+SELECT page_number, date, day, month, year, year_method, CASE WHEN blank THEN 'OK' ELSE {status_sql('matricula', 'matricula_status')} END AS status FROM corrected""", CORRECTED, recursive=True)
 def correct_dates(spark, folder):
     done = C.correct_dates(D.pages(spark, folder), FIELDS)
     return done.select("page_number", "date", *[F.col(f)["value"].alias(f) for f in ("day", "month", "year")], F.col("year.inference_method").alias("year_method"), "status")
 
 
-@register("correction_stats", "long books, long years_consensus, long sequence_candidates, long years_filled, long months_filled, long days_filled, long flagged, long regressions, long unresolved, long corrected")
+@register("correct_dates_cut", "long page_number, string date, string year_method, string status", f"""
+SELECT page_number, date, year_method, CASE WHEN blank THEN 'OK' ELSE {status_sql('matricula', 'matricula_status')} END AS status FROM corrected""", CORRECTED, recursive=True)
+def correct_dates_cut(spark, folder):
+    """The same with books of more than 30 pages cut into segments."""
+    before = spark.conf.get("foliant.hotRows", None)
+    spark.conf.set("foliant.hotRows", "30")
+    try:
+        # Segments are cut while the plan is built.
+        return C.correct_dates(D.pages(spark, folder), FIELDS).select("page_number", "date", F.col("year.inference_method").alias("year_method"), "status")
+    finally:
+        spark.conf.unset("foliant.hotRows") if before is None else spark.conf.set("foliant.hotRows", before)
+
+
+@register("correction_stats", "long books, long years_consensus, long sequence_candidates, long years_filled, long months_filled, long days_filled, long flagged, long regressions, long unresolved, long corrected", """
+SELECT *, years_consensus + sequence_candidates + years_filled + months_filled + days_filled AS corrected FROM (
+  SELECT count(DISTINCT book) AS books, count(*) FILTER (yfix) AS years_consensus, count(*) FILTER (dmove) + count(*) FILTER (ymove) AS sequence_candidates, count(*) FILTER (yput) AS years_filled,
+    count(*) FILTER (mput) AS months_filled, count(dfill) AS days_filled, count(*) FILTER (yyact = 'flag') + count(*) FILTER (mmact = 'flag') AS flagged, count(*) FILTER (back) AS regressions, count(*) FILTER (unresolved) AS unresolved FROM corrected)""",
+          CORRECTED, recursive=True)
 def correction_stats(spark, folder):
     return C.correction_stats(C.correct_dates(D.pages(spark, folder), FIELDS))
 

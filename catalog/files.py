@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.batches import PLAN, plan, report_rows
+from catalog.dates import CORRECTED
 from catalog.pages import FIELDS
 from catalog.registry import register
 from catalog.reports import DELIVERY, EXCLUDED, PARTS, WIDE, excluded_pages, sequence
@@ -335,7 +336,8 @@ def correct_stream(spark, folder):
     return I.current_pages(spark, output).groupBy("page_number").agg(F.count("*").alias("versions"))
 
 
-@register("correct_touched_books", "long page_number, string book, string date")
+@register("correct_touched_books", "long page_number, string book, string date", """
+SELECT page_number, book, date FROM corrected WHERE book IN (SELECT book FROM pages WHERE file_seq >= 17 AND log IS NOT NULL)""", CORRECTED, recursive=True)
 def correct_touched_books(spark, folder):
     """The books of every page read from the last three files, corrected from the whole table."""
     source, table, state = (scratch(spark, n) for n in ("arrivals", "table", "state"))
