@@ -79,9 +79,9 @@ def records_from_csv(spark, folder):
 
 @register("records_from_csv_ordered", CSV_RECORD, f"""
 SELECT row_number() OVER (ORDER BY page_number DESC) AS seq, file, page_number AS page, coalesce(matricula, '') AS registration, coalesce(log, '') AS log_number, date, {FLEET_OF} AS fleet, matricula IS NOT NULL AND c_fleet IS NULL AS fleet_inferred, dup
-FROM report LEFT JOIN cache ON reg = matricula WHERE k % 3 = 0 AND NOT (matricula IS NULL AND log IS NULL AND date = '')""", RECORDS)
+FROM report LEFT JOIN cache ON reg = matricula WHERE NOT (matricula IS NULL AND log IS NULL AND date = '')""", RECORDS)
 def records_from_csv_ordered(spark, folder):
-    order = D.pages(spark, folder).where((F.col("page_number") - 1) % 3 == 0).select((-F.col("page_number")).alias("pos"), "file", F.col("page_number").alias("page"))
+    order = D.pages(spark, folder).select((-F.col("page_number")).alias("pos"), "file", F.col("page_number").alias("page"))
     return R.records_from_csv(report_rows(spark, folder), cache(spark, folder), order)
 
 

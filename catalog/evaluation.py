@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import register
 from catalog.tables import PAGES
+from foliant.constants import SIGNATURE_FIELDS
 from foliant.operators import evaluate as E
 from foliant.operators import fusion as U
 from foliant.operators import quality as Q
@@ -164,7 +165,7 @@ def serious_errors(spark, folder):
 BOXES = PAGES + """
 boxes AS (SELECT page_number, blank, alignment, CASE WHEN log_no IS NULL THEN 'unknown' ELSE book END AS book, f.field_id, f.value, f.confidence,
   CASE f.value WHEN 'true' THEN 20 + (k * 7 + f.no) % 60 WHEN 'false' THEN (k * 11 + f.no) % 19 + CASE WHEN k % 37 = 0 THEN 9 ELSE 0 END ELSE (k * 13 + f.no) % 70 END / 100.0 AS peak FROM pages,
-  LATERAL (VALUES ('pilot_signature', pilot_signature, pilot_signature_conf, 1), ('captain_signature', captain_signature, captain_signature_conf, 2)) f(field_id, value, confidence, no)),
+  LATERAL (VALUES """ + ", ".join(f"('{f}', {f}, {f}_conf, {i})" for i, f in enumerate(SIGNATURE_FIELDS, 1)) + """) f(field_id, value, confidence, no)),
 ranked AS (SELECT book, field_id, value, peak, row_number() OVER (PARTITION BY book, field_id, value ORDER BY CASE value WHEN 'true' THEN peak ELSE -peak END) AS r, count(*) OVER (PARTITION BY book, field_id, value) AS n FROM boxes WHERE value <> 'unclear'),
 tried AS (SELECT s.book, s.field_id, e.peak AS ceiling, s.peak AS floor, (s.r - 1) + (e.r - 1) AS dropped, s.r - 1 AS from_signed FROM ranked s JOIN ranked e ON e.book = s.book AND e.field_id = s.field_id
   WHERE s.value = 'true' AND e.value = 'false' AND s.r <= 3 AND e.r <= 3 AND s.n - s.r + 1 >= 3 AND e.n - e.r + 1 >= 3 AND s.peak > e.peak),
@@ -178,7 +179,7 @@ def boxes(spark, folder):
     k = F.col("page_number") - 1
     pages = with_books(D.pages(spark, folder))
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field_id"), F.col(f)["value"].alias("value"), F.col(f)["confidence"].alias("confidence"), F.lit(i).alias("no"))
-                                for i, f in enumerate(("pilot_signature", "captain_signature"), 1)]))
+                                for i, f in enumerate(SIGNATURE_FIELDS, 1)]))
     rows = pages.select("page_number", "blank", "alignment", "book", cells.alias("c")).select("page_number", "blank", "alignment", "book", "c.*")
     ink = (F.when(F.col("value") == "true", 20 + (k * 7 + F.col("no")) % 60)
            .when(F.col("value") == "false", (k * 11 + F.col("no")) % 19 + F.when(k % 37 == 0, 9).otherwise(0)).otherwise((k * 13 + F.col("no")) % 70))

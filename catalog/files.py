@@ -10,7 +10,7 @@ from catalog.dates import CORRECTED
 from catalog.pages import FIELDS
 from catalog.registry import register
 from catalog.reports import DELIVERY, EXCLUDED, PARTS, WIDE, excluded_pages, sequence
-from catalog.tables import FLEET, PAGES
+from catalog.tables import FIELD_ROWS, FLEET, PAGES
 from foliant.operators import delivery as V
 from foliant.operators import reports as R
 from foliant.operators import summaries as S
@@ -47,11 +47,10 @@ def read_run_csv(spark, folder):
 
 
 @register("read_run_json", "long page_number, string file, string field_id, string value, double confidence, string status, long alternatives", """
-SELECT page_number, file, f.id AS field_id, f.v AS value, f.c AS confidence, f.s AS status, f.a AS alternatives FROM pages, LATERAL (VALUES ('log_number', log, c0, log_status, 0), ('matricula', matricula, c1, matricula_status, 0),
-  ('day', day, c2, day_status, CASE WHEN day_alt IS NULL THEN 0 ELSE 1 END), ('month', month, c3, month_status, 0), ('year', year, c4, year_status, 0)) f(id, v, c, s, a)""", PAGES)
+SELECT page_number, file, field_id, value, confidence, f.status, alternatives FROM pages, """ + FIELD_ROWS, PAGES)
 def read_run_json(spark, folder):
     path = scratch(spark, "json")
-    writers.write_run_json(D.pages(spark, folder), ["log_number", "matricula", "day", "month", "year"], path)
+    writers.write_run_json(D.pages(spark, folder), list(FIELDS), path)
     rows = readers.page_readings(readers.read_run_pages(spark, path))
     return rows.withColumn("alternatives", F.size("alternatives"))
 
@@ -104,9 +103,9 @@ def pages_round_trip(spark, folder):
 
 
 @register("to_readings", "long page_number, string field_id, string value, double confidence", """
-SELECT page_number, f.id AS field_id, f.v AS value, f.c AS confidence FROM pages, LATERAL (VALUES ('log_number', log, c0), ('matricula', matricula, c1), ('day', day, c2)) f(id, v, c)""", PAGES)
+SELECT page_number, field_id, value, confidence FROM pages, """ + FIELD_ROWS, PAGES)
 def readings_long(spark, folder):
-    return to_readings(D.pages(spark, folder), ["log_number", "matricula", "day"])
+    return to_readings(D.pages(spark, folder), list(FIELDS))
 
 
 def run_folders(spark, folder):
@@ -324,20 +323,22 @@ def archive_committed(spark, folder):
     return moved.select("file_seq", "pages", F.lit(waiting).alias("waiting"), F.lit(len(failed)).alias("failed"))
 
 
-@register("correct_stream", "long page_number, long versions", "SELECT page_number, 1 AS versions FROM pages WHERE log IS NOT NULL", PAGES)
+@register("correct_stream", "long page_number, string book, string date, string day, string year_method, long versions",
+          "SELECT page_number, book, date, day, year_method, 1 AS versions FROM corrected", CORRECTED, recursive=True)
 def correct_stream(spark, folder):
-    """Two arrivals of the same books: each book once, from the newer batch."""
+    """Two arrivals of the same books, and of pages without a number: every page once, corrected as in a run over the whole table."""
     source, table, state, output, redo = (scratch(spark, n) for n in ("arrivals", "table", "state", "corrected", "redo"))
-    pages = D.pages(spark, folder).where("log_number.value IS NOT NULL")
+    pages = D.pages(spark, folder)
     for part in (0, 1):
         pages.where(F.col("page_number") % 2 == part).coalesce(1).write.mode("append").parquet(source)
         I.ingest_stream(I.page_stream(spark, source, pages.schema), table, state).awaitTermination()
         I.correct_stream(I.page_stream(spark, source, pages.schema), table, output, redo, FIELDS).awaitTermination()
-    return I.current_pages(spark, output).groupBy("page_number").agg(F.count("*").alias("versions"))
+    once = F.count("*").over(Window.partitionBy("page_number"))
+    return I.current_pages(spark, output).select("page_number", "book", "date", F.col("day.value").alias("day"), F.col("year.inference_method").alias("year_method"), once.alias("versions"))
 
 
 @register("correct_touched_books", "long page_number, string book, string date", """
-SELECT page_number, book, date FROM corrected WHERE book IN (SELECT book FROM pages WHERE file_seq >= 17 AND log IS NOT NULL)""", CORRECTED, recursive=True)
+SELECT page_number, book, date FROM corrected WHERE book IN (SELECT book FROM pages WHERE file_seq >= 17)""", CORRECTED, recursive=True)
 def correct_touched_books(spark, folder):
     """The books of every page read from the last three files, corrected from the whole table."""
     source, table, state = (scratch(spark, n) for n in ("arrivals", "table", "state"))

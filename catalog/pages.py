@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import register
 from catalog.tables import FLEET, PAGES
+from foliant.constants import SIGNATURE_FIELDS
 from foliant.functions import fields as X
 from foliant.functions.dates import month_key
 from foliant.operators import books as B
@@ -202,7 +203,8 @@ def template_table(spark):
 
 RULE_CTES = DAMAGED + """
 checked AS (SELECT p.page_number, p.k, f.field_id, f.value, f.conf, f.status FROM pages p JOIN damaged d USING (page_number), LATERAL (VALUES
-  ('log_number', p.log, p.c0, p.log_status), ('day', d.day, p.c2, p.day_status), ('month', d.month, p.c3, p.month_status), ('year', d.year, p.c4, p.year_status)) f(field_id, value, conf, status)),
+  ('log_number', p.log, p.c0, p.log_status), ('day', d.day, p.c2, p.day_status), ('month', d.month, p.c3, p.month_status), ('year', d.year, p.c4, p.year_status), ('matricula', p.matricula, p.c1, p.matricula_status),
+  """ + ", ".join(f"('{f}', p.{f}, NULL, 'OK')" for f in SIGNATURE_FIELDS) + """) f(field_id, value, conf, status)),
 ruled AS (SELECT *, CASE WHEN trim(coalesce(value, '')) = '' THEN 'empty' WHEN field_id = 'log_number' AND NOT regexp_full_match(value, '[0-9]{7}') THEN 'pattern'
    WHEN field_id = 'month' AND NOT regexp_full_match(value, '[A-Z]{3}') THEN 'pattern' WHEN field_id = 'year' AND NOT regexp_full_match(value, '[0-9]{2}') THEN 'pattern'
    WHEN field_id = 'day' AND length(value) < 2 THEN 'short' WHEN field_id = 'day' AND length(value) > 2 THEN 'long' WHEN conf < 0.5 THEN 'low' ELSE 'fine' END AS verdict,
@@ -218,7 +220,7 @@ SELECT page_number, field_id, CASE WHEN verdict IN ('empty', 'pattern', 'short',
 def apply_field_rules(spark, folder):
     damaged = damaged_pages(spark, folder)
     pages = D.pages(spark, folder).drop("day", "month", "year").join(damaged, "page_number")
-    readings = Q.to_readings(pages, ["log_number", "day", "month", "year"])
+    readings = Q.to_readings(pages, list(FIELDS))
     return Q.apply_field_rules(readings, template_table(spark))
 
 

@@ -33,6 +33,11 @@ pages AS (SELECT *, CAST(day AS BIGINT) AS day_n, coalesce(log_no, 1073741824) A
   CASE WHEN log IS NULL THEN 'unknown' ELSE log[1:5] || CASE WHEN CAST(log[6:7] AS INT) < 50 THEN 'A' ELSE 'B' END END AS book, {_STATUS} FROM p2),
 """
 
+# All ten fields of a page in template order: (field_id, value, confidence, status, alternatives).
+FIELD_ROWS = ("LATERAL (VALUES ('log_number', log, c0, log_status, 0), ('matricula', matricula, c1, matricula_status, 0), "
+              "('day', day, c2, day_status, CASE WHEN day_alt IS NULL THEN 0 ELSE 1 END), ('month', month, c3, month_status, 0), ('year', year, c4, year_status, 0), "
+              + ", ".join(f"('{f}', {f}, {f}_conf, 'OK', 0)" for f in _SIGNATURES) + ") f(field_id, value, confidence, status, alternatives)")
+
 FLEET = """
 fleet AS (SELECT DISTINCT 'HP-' || CAST(1000 + ((o_orderkey // 40) * 37) % 9000 AS VARCHAR) || 'CMP' AS registration
   FROM orders WHERE (o_orderkey // 40) % 3 <> 0),

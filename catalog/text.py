@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.pages import FIELDS, template_table
 from catalog.registry import register
-from catalog.tables import FLEET, PAGES
+from catalog.tables import FIELD_ROWS, FLEET, PAGES
 from foliant.functions import dates as T
 from foliant.functions import registrations as R
 from foliant.functions import text as X
@@ -195,9 +195,9 @@ SOFT = ("registration: digits inferred from scattered OCR (low confidence)", "re
 
 @register("accept_primary_reading", "long page_number, string field_id, boolean accepted", """
 SELECT page_number, 'matricula' AS field_id, matricula IS NOT NULL AND NOT (k % 10 = 8 AND length(n) - length(replace(n, '1', '')) >= 3) AS accepted FROM pages
-UNION ALL SELECT page_number, 'log_number', log IS NOT NULL FROM pages UNION ALL SELECT page_number, 'year', year IS NOT NULL FROM pages""", PAGES)
+UNION ALL SELECT page_number, field_id, value IS NOT NULL FROM pages, """ + FIELD_ROWS + " WHERE field_id <> 'matricula'", PAGES)
 def accept_primary_reading(spark, folder):
-    readings = Q.to_readings(D.pages(spark, folder), ["matricula", "log_number", "year"])
+    readings = Q.to_readings(D.pages(spark, folder), list(FIELDS))
     template = template_table(spark)
     return Q.accept_primary_reading(Q.normalise_readings(readings, template), template, SOFT)
 

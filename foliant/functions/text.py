@@ -5,8 +5,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliant.constants import FLIGHT_CODES, FLIGHT_NOTE, FLIGHT_STROKES, LETTER_DIGITS, MONTH_NAMES, MONTH_WORDS
 from foliant.functions.dates import as_int, date_text, month_end, month_name, parse_month
@@ -214,27 +218,14 @@ def normalise(rule: Column, value: Column) -> Column:
     return branches.otherwise(outcome(value, F.concat(F.lit("unknown postprocessor: "), rule)))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(names: pd.Series) -> pd.Series:
+    return names.map(html.unescape)
+
+
 def unescape_name(value: Column) -> Column:
-    """Undo the HTML entities of remote names: decimal and hexadecimal ones, and the named ones below."""
-    def character(digits: Column) -> Column:
-        point = digits.cast("long")
-        valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-
-    def decode(text: Column) -> Column:
-        tens = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), 1))
-        sixteens = F.array_distinct(F.regexp_extract_all(text, F.lit("(&#[xX][0-9a-fA-F]{1,6};)"), 1))
-        text = F.aggregate(tens, text, lambda acc, c: F.replace(acc, F.concat(F.lit("&#"), c, F.lit(";")), character(c)))
-        return F.aggregate(sixteens, text, lambda acc, c: F.replace(acc, c, character(F.conv(F.regexp_extract(c, "([0-9a-fA-F]+);", 1), 16, 10))))
-
-    # Named entities of Spanish names; the ampersand comes last.
-    named = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"),
-             ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&uuml;", "ü"), ("&Aacute;", "Á"), ("&Eacute;", "É"), ("&Iacute;", "Í"),
-             ("&Oacute;", "Ó"), ("&Uacute;", "Ú"), ("&Ntilde;", "Ñ"), ("&Uuml;", "Ü"), ("&ordf;", "ª"), ("&ordm;", "º"), ("&amp;", "&"))
-    text = let(F.coalesce(value, F.lit("")), decode)
-    for entity, plain in named:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return F.trim(text)
+    """Undo the HTML entities of remote names, named and numeric, as HTML 5 reads them. There is one name for each batch, not for each page."""
+    return F.trim(_unescaped(F.coalesce(value, F.lit(""))))
 
 
 def comparable_name(value: Column) -> Column:

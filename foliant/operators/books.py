@@ -16,8 +16,10 @@ PAGE_ID = ["file_seq", "page_number"]
 
 def with_books(pages: DataFrame, unknown: str = "group") -> DataFrame:
     """Add ``log_no`` and ``book``. Pages without a readable number join the only known book, or
-    form one group of their own; ``unknown="isolate"`` gives each of them its own group instead."""
+    form one group of their own; ``unknown="apart"`` makes that group in any case, ``"isolate"`` one for each of them."""
     keyed = pages.withColumn("log_no", log_number()).withColumn("_known", book_key())
+    if unknown == "apart":
+        return keyed.withColumn("book", F.coalesce("_known", F.lit(UNKNOWN_BOOK))).drop("_known")
     # One row: the first and last book key, equal when a single book is known.
     only = keyed.agg(F.when(F.min("_known") == F.max("_known"), F.min("_known")).alias("only"))
     lone = F.concat_ws("-", F.lit(UNKNOWN_BOOK), *PAGE_ID) if unknown == "isolate" else F.lit(UNKNOWN_BOOK)

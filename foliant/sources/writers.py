@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,15 +86,27 @@ def write_review_csv(rows: DataFrame, path: str, batch: str | None = None, mode:
 
 
 def write_grouped(assigned: DataFrame, path: str) -> int:
-    """Page lists partitioned by output under a new export number; earlier exports stay."""
+    """Page lists partitioned by output under a new export number; earlier exports stay.
+
+    A number is claimed by creating its file, which the store lets one writer do, so two exports at once get two numbers.
+    """
     spark = assigned.sparkSession
-    try:
-        last = spark.read.parquet(path).agg(F.max("export_no")).first()[0] or 0
-    except Exception as missing:  # the first export has no folder to read
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        last = 0
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    claims = hadoop.Path(f"{path}/_claims")
+    store = claims.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(claims)
+    known = [f.getPath().getName() for folder in (claims.getParent(), claims) for f in store.listStatus(folder)]
+    number = max((int(n.rpartition("=")[2]) for n in known if re.fullmatch(r"(export_no=)?\d+", n)), default=0)
+    while True:
+        number += 1
+        try:
+            store.create(hadoop.Path(claims, str(number)), False).close()
+            break
+        except Py4JJavaError as taken:
+            if "FileAlreadyExists" not in str(taken.java_exception):
+                raise
     # Rebalancing keeps one task per small output and splits an output that holds most of the pages.
     balanced = assigned.hint("rebalance", F.col("output"))
-    balanced.withColumn("export_no", F.lit(last + 1)).write.mode("append").partitionBy("export_no", "output").parquet(path)
-    return last + 1
+    # A folder of its own, so that exports at once do not share the committer's temporary files either.
+    balanced.write.partitionBy("output").parquet(f"{path}/export_no={number}")
+    return number
