@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.pages import FIELDS, status_sql, template_table
 from catalog.registry import register
 from catalog.tables import PAGES
 from foliant.constants import SIGNATURE_FIELDS
@@ -351,7 +352,37 @@ SELECT page_number, f.field_id, CASE WHEN f.asked THEN f.answer ELSE f.value END
   LATERAL (VALUES ('pilot_signature', pilot_signature, pilot_signature_conf, 'OK', pilot_signature = 'unclear', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END), ('day', day, c2, day_status, day IS NULL, '17')) f(field_id, value, conf, status, asked, answer)""", PAGES)
 def apply_review_verdicts(spark, folder):
     readings = Q.to_readings(D.pages(spark, folder), ["pilot_signature", "day"])
+    return U.apply_review_verdicts(readings, answers(readings), F.lit(True))
+
+
+def answers(readings):
+    """A second reader's answers for unclear pilot signatures and unread days."""
     k = F.col("page_number") - 1
     signed = readings.where("field_id = 'pilot_signature' and value = 'unclear'").select("file_seq", "page_number", "field_id", (k % 2 == 0).alias("verdict"), F.lit(None).cast("string").alias("text"), F.lit("").alias("note"))
     texts = readings.where("field_id = 'day' and value is null").select("file_seq", "page_number", "field_id", F.lit(None).cast("boolean").alias("verdict"), F.lit("17").alias("text"), F.when(k % 5 == 0, "hard note").otherwise("").alias("note"))
-    return U.apply_review_verdicts(readings, signed.unionByName(texts), F.lit(True))
+    return signed.unionByName(texts)
+
+
+# Signatures that the second reader misses become errors but do not decide the status.
+REVIEW = PAGES + """
+answered AS (SELECT * REPLACE (coalesce(day, '17') AS day, CASE WHEN day IS NOT NULL THEN day_status WHEN k % 5 = 0 THEN 'ERROR' ELSE 'OK' END AS day_status), day IS NULL AS dated, day IS NULL OR pilot_signature = 'unclear' AS asked,
+  CASE WHEN pilot_signature <> 'unclear' THEN 'OK' WHEN k % 2 = 0 THEN 'OK' ELSE 'ERROR' END AS pilot_status FROM pages),
+follow AS (SELECT page_number, file, blank, day, pilot_status, CASE WHEN dated AND day_status <> 'ERROR' AND month_status <> 'ERROR' AND year_status <> 'ERROR' AND 17 <= day(last_day(make_date(2000 + year_n, month_n, 1)))
+  THEN printf('%04d/%02d/17', 2000 + year_n, month_n) END AS date, CASE WHEN asked THEN """ + status_sql("matricula", "matricula_status") + """ ELSE 'OK' END AS status FROM answered),
+"""
+
+
+def followed(spark, folder):
+    pages = D.pages(spark, folder)
+    return U.follow_up_review(pages, answers(Q.to_readings(pages, ["pilot_signature", "day"])), FIELDS, template_table(spark))
+
+
+@register("follow_up_review", "long page_number, string day, string pilot_status, string date, string status", "SELECT page_number, day, pilot_status, date, status FROM follow", REVIEW)
+def follow_up_review(spark, folder):
+    return followed(spark, folder).select("page_number", F.col("day.value").alias("day"), F.col("pilot_signature.status").alias("pilot_status"), "date", "status")
+
+
+@register("review_file_summary", "string file, long total_pages, long errors", """
+SELECT file, count(*) AS total_pages, count(*) FILTER (NOT blank AND status = 'ERROR') AS errors FROM follow GROUP BY file""", REVIEW)
+def review_file_summary(spark, folder):
+    return followed(spark, folder).groupBy("file").agg(F.count("*").alias("total_pages"), F.count_if(~F.col("blank") & (F.col("status") == "ERROR")).alias("errors"))

@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.constants import ERROR, MONTH_WORDS, OK, WARNING
+from foliant.constants import DATE_FIELDS, ERROR, MONTH_WORDS, OK, WARNING
+from foliant.functions.dates import page_date
 from foliant.functions.fields import let
 from foliant.functions.text import RULES
+from foliant.operators.books import PAGE_ID
+from foliant.operators.quality import PAGE_COLUMNS, to_pages, to_readings, validate_pages
 
 # Digits a character of a numeric cell may stand for, with the visual weight.
 CELL_WEIGHTS = (
@@ -178,3 +181,20 @@ def apply_review_verdicts(readings: DataFrame, verdicts: DataFrame, required: Co
         F.when(signed, "vlm_signature_review").when(texted, "vlm_text_review").otherwise(F.col("inference_method")).alias("inference_method"),
         F.when(signed, F.when(F.col("verdict"), "Firma verificada por VLM (PRESENTE)").otherwise("Firma verificada por VLM (AUSENTE)"))
         .when(texted, F.when(F.col("_note") == "", "Verificado por VLM").otherwise(F.col("_note"))).otherwise(F.col("comment")).alias("comment"))
+
+
+def follow_up_review(pages: DataFrame, verdicts: DataFrame, fields: dict[str, str], template: DataFrame) -> DataFrame:
+    """Pages after a second reader's answers: only those that were asked about are rewritten, their fields checked by the template's
+    rules and their status found anew; where a text answers for a part of the date, the date is combined again.
+
+    ``verdicts`` as for ``apply_review_verdicts``. Pages without an answer pass as they are.
+    """
+    part = F.col("field_id").isin(*DATE_FIELDS) & (F.coalesce(F.col("text"), F.lit("")) != "")
+    asked = verdicts.groupBy(*PAGE_ID).agg(F.max(part).alias("_dated"))
+    columns = [*PAGE_COLUMNS, "status", *fields]
+    readings = to_readings(pages.join(asked.select(*PAGE_ID), PAGE_ID, "left_semi"), list(fields))
+    required = readings.join(F.broadcast(template.select("field_id", "required")), "field_id", "left")
+    answered = to_pages(apply_review_verdicts(required, verdicts, F.coalesce("required", F.lit(False))), list(fields))
+    dated = answered.join(asked, PAGE_ID).withColumn("date", F.when(F.col("_dated"), page_date()).otherwise(F.col("date")))
+    checked = validate_pages(dated.drop("_dated"), fields, template).select(*columns)
+    return pages.select(*columns).join(asked.select(*PAGE_ID), PAGE_ID, "left_anti").select(*columns).unionByName(checked)
