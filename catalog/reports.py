@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from catalog.pages import DISCREPANCIES, FIELDS, MONTH_KEY, template_table
@@ -13,6 +15,8 @@ from foliant.operators import quality as Q
 from foliant.operators import reports as R
 from foliant.operators import sampling as P
 from foliant.plans import derived as D
+from foliant.session import scratch
+from foliant.sources import writers as W
 
 ID = ["file_seq", "page_number"]
 
@@ -161,12 +165,15 @@ SELECT bool_or(e) AS active, count(*) FILTER (e) AS files, (SELECT string_agg(m,
   CAST(sum(CASE WHEN e THEN pages END) AS BIGINT) AS date_targets, CAST(sum(CASE WHEN e THEN pages // 2 END) AS BIGINT) AS crops, CAST(sum(CASE WHEN e THEN pages // 3 END) AS BIGINT) AS signatures_resolved,
   min_by('off-' || file_seq, file_seq) FILTER (NOT e) AS disabled_by FROM (SELECT *, pages % 4 <> 0 AS e FROM files)""", FILES)
 def verifier_stats(spark, folder):
+    return R.verifier_stats(verifier_runs(spark, folder)).withColumn("models", F.array_join("models", ","))
+
+
+def verifier_runs(spark, folder):
     n, on = F.col("pages"), F.col("pages") % 4 != 0
-    runs = files(spark, folder).select(
+    return files(spark, folder).select(
         F.col("file_seq").alias("seq"), on.alias("enabled"), F.concat(F.lit("model-"), (n % 3).cast("string")).alias("model"), n.alias("date_targets"),
         F.floor(n / 2).alias("crops"), F.floor(n / 3).alias("signatures_resolved"), F.lit(0).alias("date_fields_resolved"), F.lit(0).alias("fields_resolved"),
         F.when(~on, F.concat(F.lit("off-"), F.col("file_seq").cast("string"))).otherwise("").alias("disabled"))
-    return R.verifier_stats(runs).withColumn("models", F.array_join("models", ","))
 
 
 @register("run_wall_clock", "double wall_ms", "SELECT round((max(started_at + processing_ms / 1000.0) - min(started_at)) * 1000.0, 3) AS wall_ms FROM files", FILES)
@@ -191,6 +198,36 @@ def run_stats_header(spark, folder):
     return R.run_header(D.pages(spark, folder))
 
 
+@register("run_stats", "string block, string key, double n", f"""
+SELECT 'total' AS block, key, n FROM (SELECT count(DISTINCT file_seq) AS files, count(*) AS total_pages, count(*) FILTER (blank) AS blank_pages, count(*) FILTER (NOT blank) AS valid_pages FROM pages) UNPIVOT (n FOR key IN (files, total_pages, blank_pages, valid_pages))
+UNION ALL SELECT 'registration', coalesce(matricula, 'sin_matricula'), count(*) FROM pages WHERE NOT blank GROUP BY ALL
+UNION ALL SELECT 'month', {MONTH_KEY}, count(*) FROM pages WHERE NOT blank GROUP BY ALL
+UNION ALL SELECT 'total', 'no_registration', count(*) FROM pages WHERE NOT blank AND matricula IS NULL UNION ALL SELECT 'total', 'no_month', count(*) FROM pages WHERE NOT blank AND {MONTH_KEY} = 'sf'
+UNION ALL SELECT 'discrepancies', coalesce(matricula, 'sin_matricula'), count(*) FROM found GROUP BY ALL UNION ALL SELECT 'discrepancies', 'all', count(*) FROM found
+UNION ALL SELECT 'verifier', 'crops', sum(CASE WHEN pages % 4 <> 0 THEN pages // 2 END) FROM files
+UNION ALL SELECT 'wall', 'ms', round((max(started_at + processing_ms / 1000.0) - min(started_at)) * 1000.0, 3) FROM files
+UNION ALL SELECT 'delivery', 'distributed', count(*) FROM pages WHERE NOT blank UNION ALL SELECT 'delivery', 'left_over', 0""", DISCREPANCIES + FILES[len(PAGES):])
+def run_stats(spark, folder):
+    """The statistics object, written and read back."""
+    pages, path = D.pages(spark, folder), scratch(spark, "stats")
+    found, clocks = Q.classify_discrepancies(pages), files(spark, folder)
+    made = R.run_stats(pages, "run", found, clocks, verifier_runs(spark, folder), V.delivery_coverage(pages, ("avion", "mes")))
+    W.write_stats({"files": clocks}, path, summary=made)
+    whole = spark.read.schema(made.schema).json(f"{path}/stats")
+
+    def rows(block, entries):
+        return whole.select(F.lit(block).alias("block"), F.explode(entries).alias("key", "n")).select("block", "key", F.col("n").cast("double").alias("n"))
+
+    def single(block, **columns):
+        return rows(block, F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), c.cast("double"))]))
+
+    parts = [single("total", **{c: F.col(c) for c in ("files", "total_pages", "blank_pages", "valid_pages")}, no_registration=F.col("counts.no_registration"), no_month=F.col("counts.no_month")),
+             rows("registration", F.col("counts.by_registration")), rows("month", F.col("counts.by_month")),
+             rows("discrepancies", F.transform_values("discrepancies.by_registration", lambda k, v: v["total"])), single("discrepancies", all=F.col("discrepancies.all.total")),
+             single("verifier", crops=F.col("verifier.crops")), single("wall", ms=F.round("wall_ms", 3)), single("delivery", distributed=F.col("delivery.distributed"), left_over=F.col("delivery.left_over"))]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @register("source_documents", "string path, long seq", """
 SELECT min_by(path, page_number) AS path, min(page_number) AS seq FROM (SELECT page_number, CASE WHEN k % 2 = 0 THEN '/in/' || file ELSE upper('/in/' || file) END AS path FROM pages) GROUP BY lower(path)""", PAGES)
 def source_documents(spark, folder):

@@ -10,6 +10,7 @@ from foliant.functions.dates import output_date
 from foliant.operators.books import PAGE_ID, mark_duplicates
 from foliant.operators.quality import discrepancy_flags, gated_value
 from foliant.operators.skew import join_groups
+from foliant.operators.summaries import counts_by_registration_and_month
 
 METADATA = ("_conf", "_status", "_comment", "_source")
 # Columns a summary view always has, and those it adds without a template (fixed values).
@@ -216,3 +217,33 @@ def run_header(pages: DataFrame) -> DataFrame:
     """One row of run totals."""
     return pages.agg(F.countDistinct("file_seq").alias("files"), F.count("*").alias("total_pages"),
                      F.count_if("blank").alias("blank_pages"), F.count_if(~F.col("blank")).alias("valid_pages"))
+
+
+def run_stats(pages: DataFrame, name: str, found: DataFrame | None = None, files: DataFrame | None = None, runs: DataFrame | None = None,
+              coverage: DataFrame | None = None) -> DataFrame:
+    """The statistics of a run as one object (one row): totals, pages by registration and by month, discrepancies, the second reader's
+    sums, the run's clock and the delivery's totals. Parts that are not given are null.
+
+    Registrations and months are few by format; lists that grow with the run (its files, its outputs) stay tables of their own.
+    """
+    counts = counts_by_registration_and_month(pages)
+
+    def by(level: int, key: str) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("level") == level, F.struct(key, "pages"))))).alias(f"by_{key}")
+
+    counted = counts.agg(F.struct(by(1, "registration"), by(2, "month"), *[F.coalesce(F.max(F.when(F.col("level") == 3, F.col(c))), F.lit(0).cast("long")).alias(c) for c in ("no_registration", "no_month")])).scalar()
+    parts = {"counts": counted}
+    if found is not None:
+        each = F.struct("total", "confirmed", "uncertain")
+        parts["discrepancies"] = discrepancy_stats(found).agg(F.struct(
+            F.max(F.when(F.col("level") == 1, each)).alias("all"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("registration", each.alias("n")))))).alias("by_registration"))).scalar()
+    if runs is not None:
+        table = verifier_stats(runs)
+        parts["verifier"] = table.select(F.struct(*table.columns)).scalar()
+    if files is not None:
+        parts["wall_ms"] = run_wall_clock(files).scalar()
+    if coverage is not None:
+        totals = [F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in ("distributed", "excluded", "left_over")]
+        parts["delivery"] = coverage.agg(F.struct(F.count("*").alias("outputs"), *totals)).scalar()
+    return run_header(pages).select(F.lit(name).alias("run"), F.current_timestamp().alias("made_at"), "*", *[c.alias(n) for n, c in parts.items()])

@@ -12,11 +12,12 @@ from foliant.sources import readers, writers
 
 def run_outputs(pages: DataFrame, fields: dict[str, str], folder: str, criteria: tuple[str, ...] = ("avion", "mes"), single: bool = True,
                 max_pages: int = 200, month_end: bool = False, exclude_discrepancies: bool = True, data_only: bool = False,
-                selected: tuple[str, ...] = (), files: DataFrame | None = None) -> None:
+                selected: tuple[str, ...] = (), files: DataFrame | None = None, name: str = "", runs: DataFrame | None = None) -> None:
     """Complete and minimal CSV, JSON, delivery groups or parts with their index, and statistics.
 
     The pages feed every output, so callers pass a saved table (``session.save`` or parquet).
-    ``data_only`` keeps a cancelled run's data and skips the delivery.
+    ``data_only`` keeps a cancelled run's data and skips the delivery. ``files`` has the clock of each file, ``runs`` what the
+    second reader did (``reports.verifier_stats``).
     """
     found = classify_discrepancies(pages)
     excluded = found.select("file", "page_number") if exclude_discrepancies else None
@@ -35,7 +36,8 @@ def run_outputs(pages: DataFrame, fields: dict[str, str], folder: str, criteria:
             writers.write_grouped(delivery.assign_groups(pages, criteria, excluded), f"{folder}/grupos")
         if criteria:
             blocks["delivery"] = delivery.delivery_coverage(pages, criteria, excluded)
-    writers.write_stats(blocks, f"{folder}/stats", mode="overwrite")
+    summary = reports.run_stats(pages, name, found, files, runs, blocks.get("delivery"))
+    writers.write_stats(blocks, f"{folder}/stats", mode="overwrite", summary=summary)
 
 
 def reexport(spark, json_path: str, fields: dict[str, str], folder: str, **options) -> None:

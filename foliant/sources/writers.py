@@ -52,10 +52,12 @@ def write_run_json(pages: DataFrame, fields, path: str, mode: str = "errorifexis
     report_headers(pages, template).write.mode(mode).json(f"{path}/headers")
 
 
-def write_stats(blocks: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
-    """Statistics tables as JSON rows, one folder per block."""
+def write_stats(blocks: dict[str, DataFrame], path: str, mode: str = "errorifexists", summary: DataFrame | None = None) -> None:
+    """Statistics tables as JSON rows, one folder per block; the one-row ``summary`` as one object in ``stats``."""
     for name, block in blocks.items():
         block.write.mode(mode).json(f"{path}/{name}")
+    if summary is not None:
+        summary.coalesce(1).write.mode(mode).json(f"{path}/stats")
 
 
 def index_rows(parts: DataFrame) -> DataFrame:
