@@ -1,21 +1,26 @@
 """Token ids of whole texts with a word-level byte-pair tokenizer file, exact and much faster than text by text.
 
 The tokenizer drops white space, so ids never reach over it: a text's ids are its words' ids in order. Each worker keeps
-the ids of the words it has met; a new word is cut further into the tokenizer's own pre-tokens, which repeat more often.
+the ids of the words it has met; new words are cut, many at a time, into the tokenizer's own pre-tokens, which repeat more often.
 """
 
 from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
 
-#: Words and pre-tokens of one generation that a worker keeps; those not met in two generations are forgotten, which changes no result.
-KEPT = 400_000
+#: Words of one generation, and pre-tokens, that a worker keeps; those not met in two generations are forgotten, which changes no result.
+KEPT = 200_000
 #: The same beside other operators in one job, whose heaps are full by then.
 KEPT_BESIDE_OTHERS = 60_000
+#: New words, or pre-tokens, that are handled as one text.
+RUN = 200
+#: Stands for the line end between words; no id has this value.
+LINE = b"\xff\xff\xff\xff"
 #: Words of these characters only are cut here; all others go to the tokenizer whole. They are their own NFC form.
 _PLAIN = regex.compile("[\x21-\x7eÀ-ɏ]+")
 
@@ -33,67 +38,72 @@ class WordEncoder:
 
         with open(path) as f:
             spec = json.load(f)
-        steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split"))
+        pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        # White space is in no pre-token, so a line end between words comes out on its own.
+        self.split = regex.compile(pattern + r"|\n")
         self.mark = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": LINE}
         self.old_words: dict[bytes, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_pieces(self, new: list[str]) -> None:
         """Many pre-tokens go to the tokenizer as one text; the end-of-word tokens tell them apart again."""
-        for start in range(0, len(new), 20_000):
-            runs = [new[i:i + 200] for i in range(start, min(start + 20_000, len(new)), 200)]
+        for start in range(0, len(new), 100 * RUN):
+            runs = [new[i:i + RUN] for i in range(start, min(start + 100 * RUN, len(new)), RUN)]
             for run, ids in zip(runs, self._whole([" ".join(r) for r in runs])):
-                ids = np.frombuffer(ids, "<u4")
-                ends = np.flatnonzero(self.ends[ids]) + 1
+                ends = ((np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4).tolist()
                 if len(ends) == len(run) and ends[-1] == len(ids):
-                    self.pieces.update(zip(run, (x.tobytes() for x in np.split(ids, ends[:-1]))))
+                    self.pieces.update(zip(run, (ids[a:b] for a, b in zip([0, *ends], ends))))
                 else:
                     self.pieces.update(zip(run, self._whole(run)))
 
+    def _plain(self, words: list[bytes]) -> bool:
+        text = b"".join(words).decode()
+        return _PLAIN.fullmatch(text) is not None and not self.mark.search(text)
+
     def _learn(self, new: list[bytes]) -> None:
-        for word in new:
-            if word in self.old_words:
-                self.words[word] = self.old_words[word]
-        cut, odd = {}, []
-        for word in new:
-            if word not in self.words:
-                text = word.decode()
-                if _PLAIN.fullmatch(text) and not self.mark.search(text):
-                    cut[word] = self.split.findall(text.lower())
-                else:
-                    odd.append((word, text))
-        wanted = {p for parts in cut.values() for p in parts if p not in self.pieces}
-        self.pieces.update((p, self.old_pieces[p]) for p in wanted if p in self.old_pieces)
-        self._learn_pieces([p for p in wanted if p not in self.pieces])
+        """Plain words are cut into pre-tokens, run by run; all others go to the tokenizer one by one."""
+        old = self.old_words
+        self.words.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in old]
+        runs, odd = [], []
+        for start in range(0, len(new), RUN):
+            run = new[start:start + RUN]
+            if not self._plain(run):
+                plain = [self._plain([w]) for w in run]
+                odd += [w for w, p in zip(run, plain) if not p]
+                run = [w for w, p in zip(run, plain) if p]
+            if run:
+                runs.append((run, self.split.findall(b"\n".join(run).decode().lower())))
         pieces = self.pieces
-        for word, parts in cut.items():
-            self.words[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
-        self.words.update(zip((w for w, _ in odd), self._whole([t for _, t in odd])))
+        self._learn_pieces(list(set(chain.from_iterable(parts for _, parts in runs)).difference(pieces)))
+        for run, parts in runs:
+            ids = b"".join(map(pieces.__getitem__, parts))
+            lines = (np.flatnonzero(np.frombuffer(ids, "<u4") == 0xFFFFFFFF) * 4).tolist()
+            self.words.update(zip(run, (ids[a:b] for a, b in zip([0, *(x + 4 for x in lines)], [*lines, len(ids)]))))
+        self.words.update(zip(odd, self._whole([w.decode() for w in odd])))
 
     def _turn(self) -> None:
-        """Begin a generation; what it meets again comes over from the one before."""
+        """Begin a generation of words; what it meets again comes over from the one before. Pre-tokens start anew."""
         if len(self.words) > self.kept:
             self.old_words, self.words = self.words, {}
         if len(self.pieces) > self.kept:
-            self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces = {"\n": LINE}
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         self._turn()
         split = [(t or b"").split() for t in texts]
         words = self.words
-        new = {w for parts in split for w in parts if w not in words}
+        new = set(chain.from_iterable(split)).difference(words)
         if new:
             self._learn(list(new))
-        return [b"".join([words[w] for w in parts]) for parts in split]
+        return [b"".join(map(words.__getitem__, parts)) for parts in split]
 
 
 @lru_cache(maxsize=2)
