@@ -64,6 +64,8 @@ def _settle(carry: Column, item: Column, seed: int) -> Column:
     return F.struct(decided.alias("decided"), rest.alias("rest"))
 
 
+#: Documents of a source whose copies may change by one at the end, one after the other.
+CORRECTIONS = 4
 ITEM = "struct<row:bigint,key:bigint,size:double,p:double>"
 
 
@@ -90,8 +92,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
     A null source is a source; null, empty and wordless texts have size 0 and no copies. Rows that repeat an id are rows of their own.
     No document is taken more than ``cap`` times. Reruns agree under any partitioning: coins and chunks are hashes of ids, sizes and texts.
-    The last fractional document of a source is rounded to the nearer side, and one other document's copies change by one if
-    its size comes closer to the words then missing or in excess.
+    The last fractional document of a source is rounded to the nearer side; then up to ``CORRECTIONS`` documents of a source, one
+    after the other, have their copies changed by one where that comes closer to the target.
     """
     columns = [F.col(id_column).cast("long").alias("doc_id"), size_of(F.col(text_column)).alias("size"), F.col(source_column).cast("string").alias("source"), F.xxhash64(text_column).alias("mark")]
     rows = numbered(docs.select(*columns), "sizes") if row_column is None else stored(docs.select(*columns, F.col(row_column).alias("_row")), "sizes")
@@ -128,8 +130,10 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
         extra = extra.unionByName(more)
     extra = extra.select(F.col("item.row").alias("_row"), F.col("item.p").cast("long").alias("extra"))
     taken = stored(wanted.join(extra, "_row", "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
-                   .select("_row", "doc_id", "source", "size", "source_size", "target", "copies", "key"), "copies")
-    return _corrected(taken, cap).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "_row")
+                   .select("_row", "doc_id", "source", "size", "source_size", "target", "copies", "key", F.lit(False).alias("moved")), "copies")
+    for _ in range(CORRECTIONS):
+        taken = stored(_corrected(taken, cap), "copies")
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "_row")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -142,12 +146,13 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def _corrected(taken: DataFrame, cap: int) -> DataFrame:
-    """Change the copies of at most one document per source by one, where that brings the source closer to its target."""
+    """Change the copies of at most one more document per source by one, where that brings the source closer to its target."""
     off = taken.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing")).withColumnRenamed("source", "_source")
     near = taken.join(off, taken.source.eqNullSafe(F.col("_source")))
     left = F.when((F.col("missing") > 0) & (F.col("copies") < cap), F.abs(F.col("missing") - F.col("size"))).when(
         (F.col("missing") < 0) & (F.col("copies") > 0), F.abs(F.col("missing") + F.col("size")))
-    near = near.where(F.col("size") > 0).withColumn("left", left).where(F.col("left") < F.abs("missing"))
+    near = near.where((F.col("size") > 0) & ~F.col("moved")).withColumn("left", left).where(F.col("left") < F.abs("missing"))
     best = near.groupBy("_source").agg(F.min(F.struct("left", "doc_id", "key", "_row", F.signum("missing").cast("long").alias("change"))).alias("best"))
     best = best.select(F.col("best._row").alias("_row"), F.col("best.change").alias("change"))
-    return taken.join(best, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
+    changed = taken.join(best, "_row", "left")
+    return changed.select(*[c for c in taken.columns if c not in ("copies", "moved")], (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"), (F.col("moved") | F.col("change").isNotNull()).alias("moved"))
