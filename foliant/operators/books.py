@@ -17,7 +17,7 @@ PAGE_ID = ["file_seq", "page_number"]
 def with_books(pages: DataFrame, unknown: str = "group") -> DataFrame:
     """Add ``log_no`` and ``book``. Pages without a readable number join the only known book, or
     form one group of their own; ``unknown="apart"`` makes that group in any case, ``"isolate"`` one for each of them."""
-    keyed = pages.withColumn("log_no", log_number()).withColumn("_known", book_key())
+    keyed = pages.withColumn("log_no", log_number(pages.columns)).withColumn("_known", book_key())
     if unknown == "apart":
         return keyed.withColumn("book", F.coalesce("_known", F.lit(UNKNOWN_BOOK))).drop("_known")
     # One row: the first and last book key, equal when a single book is known.
@@ -34,7 +34,7 @@ def mark_duplicates(pages: DataFrame) -> DataFrame:
     """
     # Unreadable numbers get scattered keys that match nothing.
     scattered = -1 - F.pmod(F.xxhash64(*PAGE_ID), F.lit(1_000_003))
-    numbered = pages.withColumn("log_no", log_number()).withColumn("_key", F.coalesce("log_no", scattered))
+    numbered = pages.withColumn("log_no", log_number(pages.columns)).withColumn("_key", F.coalesce("log_no", scattered))
     first = (numbered.where(F.col("log_no").isNotNull()).groupBy("_key")
              .agg(F.min(F.struct(*PAGE_ID)).alias("_first"), F.count("*").alias("_rows")))
     known = join_groups(numbered, first, ["_key"], PAGE_ID, rows_in="_rows")
@@ -43,7 +43,7 @@ def mark_duplicates(pages: DataFrame) -> DataFrame:
 
 def duplicate_groups(pages: DataFrame) -> DataFrame:
     """Log numbers seen more than once, one row per location."""
-    numbered = pages.withColumn("log_no", log_number()).where(F.col("log_no").isNotNull())
+    numbered = pages.withColumn("log_no", log_number(pages.columns)).where(F.col("log_no").isNotNull())
     repeated = numbered.groupBy("log_no").agg(F.count("*").alias("times")).where("times > 1")
     return join_groups(numbered.select("log_no", *PAGE_ID, "file"), repeated, ["log_no"], PAGE_ID, "inner", rows_in="times")
 

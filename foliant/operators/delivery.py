@@ -22,7 +22,7 @@ def page_keys(pages: DataFrame) -> DataFrame:
     """Non-blank pages with their registration, month and sort position."""
     return pages.where(~F.col("blank")).select(
         *PAGE_ID, "file", F.coalesce(canonical_registration(), F.lit(NO_REGISTRATION)).alias("avion"), month_key().alias("mes"),
-        log_order(log_number()).alias("log_ord"))
+        log_order(log_number(pages.columns)).alias("log_ord"))
 
 
 def exclude(keys: DataFrame, excluded: DataFrame | None, keep: bool = False) -> DataFrame:

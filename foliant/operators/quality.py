@@ -131,7 +131,7 @@ def unresolved_index_pages(pages: DataFrame) -> DataFrame:
 def review_pages(pages: DataFrame) -> DataFrame:
     """Pages without a confirmed registration, with their sort position."""
     return (pages.where(~F.col("blank") & canonical_registration().isNull())
-            .select("file_seq", "file", "page_number", log_order(log_number()).alias("log_ord")))
+            .select("file_seq", "file", "page_number", log_order(log_number(pages.columns)).alias("log_ord")))
 
 
 # Signature discrepancies. Per kind of entry: field, whether it must be present, and the texts
@@ -202,7 +202,7 @@ def classify_discrepancies(pages: DataFrame, limits: dict[str, tuple[float, floa
     """Pages breaking the signature rules of their kind, with the affected fields."""
     confirmed = F.exists("findings", lambda f: f["category"] == "missing")
     return with_findings(pages, limits).where(F.size("findings") > 0).select(
-        "file_seq", "file", "page_number", canonical_registration().alias("registration"), log_number().alias("log_no"),
+        "file_seq", "file", "page_number", canonical_registration().alias("registration"), log_number(pages.columns).alias("log_no"),
         "kind", F.when(confirmed, "missing").otherwise("uncertain").alias("category"), "findings")
 
 

@@ -43,11 +43,12 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     base = orders.select("*", b.alias("b"), s.alias("s"))
     b, s = F.col("b"), F.col("s")
     twin = F.when((k % 97 == 5) & (s > 0), s - 1).otherwise(s)
-    log = F.when(k % 13 != 0, F.lpad(((20000 + F.floor(b / 2)) * 100 + (b % 2) * 50 + twin).cast("string"), 7, "0"))
+    printed = (20000 + F.floor(b / 2)) * 100 + (b % 2) * 50 + twin
+    log = F.when(k % 13 != 0, F.lpad(printed.cast("string"), 7, "0"))
     true = 1000 + (b * 37) % 9000
     read = F.when(k % 11 == 3, true - true % 10 + (true % 10 + 1) % 10).otherwise(true).cast("string")
     date = F.date_add(F.to_date(F.lit("2024-01-01")), (b % 600 + F.floor(s / 3)).cast("int"))
-    base = base.select("*", log.alias("log"), true.alias("true_number"), read.alias("n"), date.alias("d"))
+    base = base.select("*", log.alias("log"), F.when(k % 13 != 0, printed).cast("long").alias("printed_number"), true.alias("true_number"), read.alias("n"), date.alias("d"))
     n, d = F.col("n"), F.col("d")
     registration = F.concat(F.lit("HP-"), n, F.when(n.isin(*WWP_NUMBERS), "WWP").otherwise("CMP"))
     raw = (F.when(k % 10 == 7, F.concat(F.lit("hp "), n, F.lit(" cmp")))
@@ -62,7 +63,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
         return (F.floor(k / (2 * i)) + i) % 10
 
     values = base.select(
-        "k", "file_seq", F.col("log").alias("v_log_number"),
+        "k", "file_seq", "printed_number", F.col("log").alias("v_log_number"),
         F.when(k % 17 != 4, registration).alias("v_matricula"), F.when(k % 17 != 4, raw).alias("raw"),
         F.when(read_day, F.when(k % 31 == 9, other_day).otherwise(true_day)).alias("v_day"),
         F.when((k % 31 == 9) & read_day, F.array(true_day)).otherwise(F.array().cast("array<string>")).alias("other_days"),
@@ -75,7 +76,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     extra = {"matricula": {"raw": F.col("raw")}, "day": {"alternatives": F.col("other_days")}}
     return values.select(
         "file_seq", F.concat(F.lit("scan_"), F.lpad(F.col("file_seq").cast("string"), 2, "0"), F.lit(".pdf")).alias("file"),
-        (k + 1).alias("page_number"), (k % 101 == 0).alias("blank"),
+        (k + 1).alias("page_number"), "printed_number", (k % 101 == 0).alias("blank"),
         F.when(k % 43 == 6, "low").otherwise("ok").alias("alignment"), F.lit(OK).alias("status"),
         F.lit(None).cast("string").alias("date"), (100 + k % 900).cast("double").alias("processing_ms"),
         *[_reading("ocr", F.col(f"v_{f}"), F.col(f"c_{i}"), **extra.get(f, {})).alias(f)

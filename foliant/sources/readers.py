@@ -13,7 +13,7 @@ from foliant.functions.text import unescape_name
 from foliant.operators.skew import positions
 
 FIELD = f"struct<field_id:string,{READING.simpleString()[len('struct<'):]}"
-PAGE = (f"struct<page_number:bigint,status:string,blank:boolean,alignment_quality:string,processing_ms:double,discrepancy:boolean,"
+PAGE = (f"struct<page_number:bigint,printed_number:bigint,status:string,blank:boolean,alignment_quality:string,processing_ms:double,discrepancy:boolean,"
         f"date:string,fields:array<{FIELD}>>")
 REPORT = (f"pdf_path string, template_name string, processing_ms double, started_at double, cancelled boolean, pages array<{PAGE}>")
 
@@ -70,7 +70,7 @@ def _consolidated() -> str:
 
 
 def _page_columns(page: Column) -> list[Column]:
-    return [F.col("pdf_path").alias("path"), F.element_at(F.split("pdf_path", "/"), -1).alias("file"), page["page_number"].alias("page_number"),
+    return [F.col("pdf_path").alias("path"), F.element_at(F.split("pdf_path", "/"), -1).alias("file"), page["page_number"].alias("page_number"), page["printed_number"].alias("printed_number"),
             F.coalesce(page["blank"], F.lit(False)).alias("blank"), F.coalesce(page["alignment_quality"], F.lit("ok")).alias("alignment"),
             page["status"].alias("status"), page["date"].alias("date"), page["processing_ms"].alias("processing_ms"), page["fields"].alias("fields")]
 

@@ -33,7 +33,8 @@ def write_minimal_csv(rows: DataFrame, path: str, selected: tuple[str, ...] = ()
 def page_rows(pages: DataFrame, fields) -> DataFrame:
     """One row per page with its fields nested, under the file's path: a report's content, whatever its number of pages."""
     listed = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.col(f).withField("field_id", F.lit(f))) for f in fields]))
-    page = F.struct("page_number", "status", "blank", F.col("alignment").alias("alignment_quality"), "processing_ms", "date", listed.alias("fields"))
+    printed = [c for c in pages.columns if c == "printed_number"]
+    page = F.struct("page_number", *printed, "status", "blank", F.col("alignment").alias("alignment_quality"), "processing_ms", "date", listed.alias("fields"))
     return pages.select("file_seq", F.col("file").alias("pdf_path"), page.alias("page"))
 
 
