@@ -44,12 +44,14 @@ def report_headers(pages: DataFrame, template: str | None = None) -> DataFrame:
             .agg(F.count("*").alias("page_count"), F.sum("processing_ms").alias("processing_ms")).withColumn("template_name", F.lit(template)))
 
 
-def write_run_json(pages: DataFrame, fields, path: str, mode: str = "errorifexists", template: str | None = None) -> None:
+def write_run_json(pages: DataFrame, fields, path: str, mode: str = "errorifexists", template: str | None = None,
+                   compression: str = "gzip") -> None:
     """A run as JSON rows: ``pages`` (one line per page, in file and page order) and ``headers`` (one line per file).
 
-    A report is the header and the page lines of its path; no line grows with the pages of a file.
+    A report is the header and the page lines of its path; no line grows with the pages of a file. The lines repeat their names
+    and texts, so their files are compressed unless ``compression`` is "none"; the reader takes both.
     """
-    page_rows(pages, fields).repartitionByRange("file_seq", "page.page_number").sortWithinPartitions("file_seq", "page.page_number").write.mode(mode).json(f"{path}/pages")
+    page_rows(pages, fields).repartitionByRange("file_seq", "page.page_number").sortWithinPartitions("file_seq", "page.page_number").write.mode(mode).option("compression", compression).json(f"{path}/pages")
     report_headers(pages, template).write.mode(mode).json(f"{path}/headers")
 
 
