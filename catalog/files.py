@@ -64,8 +64,9 @@ def report_documents(spark, folder, indented):
     path = scratch(spark, "documents")
     broken = spark.createDataFrame([('{"pdf_path": "x.pdf", "pages": [',)], "value string")
     all_rows = rows.unionByName(broken)
-    # An indented document is a file of its own.
-    (all_rows.repartition(rows.count() + 1, F.monotonically_increasing_id()).write.option("maxRecordsPerFile", 1) if indented else all_rows.write).text(path)
+    # An indented document is a file of its own; a task writes many of them.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    (all_rows.repartition(tasks, "value").write.option("maxRecordsPerFile", 1) if indented else all_rows.write.option("compression", "gzip")).text(path)
     return path
 
 
