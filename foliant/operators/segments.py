@@ -12,8 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.operators.skew import join_groups
-from foliant.session import hot_rows, save
+from foliant.operators.skew import RANGE_ROWS, join_groups
+from foliant.session import hot_rows, save, shuffle_partitions
 
 SEGMENT = "_seg"
 
@@ -76,6 +76,11 @@ def segmented(rows: DataFrame, key: str, order: list[str]) -> Segments:
         return Segments(whole, key, tuple(order), False)
     sizes = save(sizes)
     large = join_groups(rows, sizes, [key], order, how="inner", rows_in="_n").drop("_n")
-    ranges = save(large).repartitionByRange(int(-(-total // limit)) + 1, key, *order).withColumn(SEGMENT, F.spark_partition_id() + 1)
+    # A range of the order takes one task, and as many segments as it needs: their number is no number of tasks.
+    pieces = int(-(-total // limit)) + 1
+    tasks = min(pieces, max(shuffle_partitions(rows.sparkSession), int(total // RANGE_ROWS) + 1))
+    ranges = save(large).repartitionByRange(tasks, key, *order).withColumn("_range", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order)) - 1
+    ranges = ranges.withColumn(SEGMENT, (F.col("_range") * pieces + F.floor(place / limit) + 1).cast("int")).drop("_range")
     small = whole.join(sizes.select(key), key, "left_anti")
     return Segments(save(small.select(*ranges.columns).unionByName(ranges).repartition(key, SEGMENT)), key, tuple(order), True)
