@@ -17,10 +17,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Rows of one task: a page is some hundred times as wide as the order it is derived from.
+TASK_ROWS = 100_000
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on inputs of a few file splits; larger inputs are left as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Use all cores, and tasks of a bounded number of rows, on inputs of a few file splits; others are left as they are read."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks, key) if df.rdd.getNumPartitions() < tasks else df
 
 
 def _reading(field_type: str, value: Column, confidence: Column, raw: Column | None = None,
