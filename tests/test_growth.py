@@ -51,3 +51,61 @@ def test_a_batch_leaves_one_file_in_a_series(spark, tmp_path):
         if series.startswith("series=") and series != "series=none":
             assert len(files(tmp_path / "table" / series, ".parquet")) == 1
     assert spark.read.parquet(str(tmp_path / "table")).count() == pages.count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positions_sort_once_and_number_without_gaps(spark):
+    from foliant.operators.skew import positions
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("o"), F.lit(None).alias("nothing"))
+    got = positions(rows, ["o"], "n", start=3)
+    assert "row_number" not in plan_of(got)
+    assert [tuple(r) for r in got.select("o", "n").orderBy("o").collect()] == [(i, i + 3) for i in range(5000)]
+    assert positions(rows.where("o < 0"), ["o"]).count() == 0
+
+
+def test_only_repeated_numbers_are_joined(spark, monkeypatch):
+    from foliant.operators import books, reconcile
+
+    sizes, plain = [], books.join_groups
+
+    def join(rows, groups, *rest, **options):
+        sizes.append(groups.count())
+        return plain(rows, groups, *rest, **options)
+
+    monkeypatch.setattr(books, "join_groups", join)
+    monkeypatch.setattr(reconcile, "join_groups", join)
+    values = [(0, i, str(1000000 + i % 97), None) for i in range(1, 101)] + [(0, 101, None, None)]
+    pages = spark.createDataFrame(values, "file_seq int, page_number long, v string, printed_number long").withColumn("log_number", F.struct(F.col("v").alias("value")))
+    assert {r.page_number for r in books.mark_duplicates(pages).where("dup").collect()} == {98, 99, 100}
+    records = spark.createDataFrame([(i, "", str(i % 97)) for i in range(1, 101)] + [(101, "", ""), (102, "", ""), (103, "S", "5")], "seq long, separator string, log_number string")
+    found = reconcile.check_record_duplicates(records).collect()
+    assert sorted((r.seq, r.detail) for r in found) == [(i, f"el log {i - 97} ya salio en la pagina {i - 97}") for i in (98, 99, 100)]
+    assert sizes == [3, 3]
+
+
+def test_flags_are_those_of_the_findings(spark):
+    from foliant.operators import quality
+
+    pages = derived.pages(spark, FOLDER)
+    both = quality.discrepancy_flags(quality.with_findings(pages).drop("discrepancy"))
+    assert both.where(F.col("discrepancy") != (F.size("findings") > 0)).count() == 0 and both.where("discrepancy").count() > 0
+    assert "findings" not in quality.discrepancy_flags(pages).columns
+
+
+def test_pages_are_validated_where_they_are(spark):
+    from catalog.pages import template_table
+    from foliant.operators import quality
+
+    pages = derived.pages(spark, FOLDER)
+    fields = derived.PAGE_FIELDS
+    gone = pages.limit(1).select([F.lit(None).cast(pages.schema[c].dataType).alias(c) if c in fields else c for c in pages.columns])
+    done = quality.validate_pages(pages.unionByName(gone), fields, template_table(spark))
+    assert done.count() == pages.count() + 1
+    ruled = quality.validate_pages(pages, fields, template_table(spark))
+    assert "hashpartitioning(file_seq" not in plan_of(ruled)
+    long = quality.to_pages(quality.apply_field_rules(quality.to_readings(pages, fields), template_table(spark)), fields)
+    assert sorted(map(str, ruled.select(*fields).collect())) == sorted(map(str, long.select(*fields).collect()))
