@@ -12,15 +12,19 @@ from foliant.operators.books import mark_duplicates
 from foliant.operators.quality import discrepancy_flags
 from foliant.operators.skew import positions
 from foliant.plans import derived as D
+from foliant.session import save_rows
 from foliant.sources import readers
 
 
 def report_rows(spark, folder):
     """Run report columns, all texts, with their row number (the page number)."""
-    pages = mark_duplicates(discrepancy_flags(D.pages(spark, folder)))
     date = T.date_text(T.year_number(F.col("year")["value"]) + 2000, T.month_number(F.col("month")["value"]), T.day_number(F.col("day")["value"]))
-    return pages.select(F.col("page_number").alias("row"), "file", F.col("page_number").cast("string").alias("page"), F.coalesce(F.col("matricula")["value"], F.lit("")).alias("matricula"),
-                        F.coalesce(F.col("log_number")["value"], F.lit("")).alias("log_number"), F.coalesce(date, F.lit("")).alias("date"),
+    # Only texts go through the join of the duplicates.
+    narrow = discrepancy_flags(D.pages(spark, folder)).select("file_seq", "file", "page_number", "printed_number", F.struct(F.col("log_number")["value"].alias("value")).alias("log_number"),
+                                                              F.coalesce(F.col("matricula")["value"], F.lit("")).alias("matricula"), F.coalesce(date, F.lit("")).alias("date"), "discrepancy")
+    pages = mark_duplicates(narrow)
+    return pages.select(F.col("page_number").alias("row"), "file", F.col("page_number").cast("string").alias("page"), "matricula",
+                        F.coalesce(F.col("log_number")["value"], F.lit("")).alias("log_number"), "date",
                         F.col("dup").cast("string").alias("dup"), F.col("discrepancy").cast("string").alias("disc"))
 
 
@@ -61,6 +65,11 @@ def records(spark, folder):
     return R.records_from_delivery(report_rows(spark, folder), delivery(spark, folder), cache(spark, folder))
 
 
+def saved_records(spark, folder):
+    """For queries that use the records more than once."""
+    return save_rows(records(spark, folder))
+
+
 @register("records_from_delivery", RECORD_COLUMNS, "SELECT * FROM records", RECORDS)
 def records_from_delivery(spark, folder):
     return records(spark, folder)
@@ -135,7 +144,7 @@ def learn_fleet(spark, folder):
 
 @register("correct_inferred_fleet", "long seq, string fleet, string lessor, boolean fleet_inferred", "SELECT seq, fleet, lessor, fleet_inferred FROM fixed", REMOTE)
 def correct_inferred_fleet(spark, folder):
-    recs = records(spark, folder)
+    recs = saved_records(spark, folder)
     seen = remote(spark, folder, recs).join(recs.where("separator = ''").select(F.col("seq").alias("page")), "page", "left_semi")
     pairs = seen.select(F.col("page").alias("seq"), *[F.try_element_at("values", F.lit(k)).alias(n) for k, n in ((9633, "registration"), (9699, "fleet"), (9783, "lessor"))])
     return R.correct_inferred_fleet(recs, R.learn_fleet(cache(spark, folder).where(F.lit(False)), pairs))
@@ -151,7 +160,7 @@ def check_picklist(spark, folder):
 @register("check_record_duplicates", "long seq, string code, string detail", """
 SELECT seq, 'log_duplicado' AS code, 'el log ' || log_number || ' ya salio en la pagina ' || CAST(first AS VARCHAR) AS detail FROM (SELECT *, min(seq) OVER (PARTITION BY log_number) AS first FROM records WHERE separator = '' AND log_number <> '') WHERE seq > first""", REMOTE)
 def check_record_duplicates(spark, folder):
-    return R.check_record_duplicates(records(spark, folder))
+    return R.check_record_duplicates(saved_records(spark, folder))
 
 
 _NOTICES = """
@@ -164,7 +173,7 @@ _NOTICES = """
 @register("check_alignment", "long seq, string notice", f"""
 SELECT seq, notice FROM (SELECT f.seq, unnest([{_NOTICES}]) AS notice FROM records f LEFT JOIN remote m ON m.page = f.seq WHERE separator = '') WHERE notice IS NOT NULL""", REMOTE)
 def check_alignment(spark, folder):
-    recs = records(spark, folder)
+    recs = saved_records(spark, folder)
     found = R.check_alignment(recs, remote(spark, folder, recs))
     return found.select("seq", F.concat(F.lit("["), "code", F.lit("] pagina "), F.col("seq").cast("string"), F.lit(": "), "detail").alias("notice"))
 
@@ -183,8 +192,7 @@ PLAN_COLUMNS = ("long pagina_lote, long seq, string archivo_origen, long pagina_
 
 
 def plan(spark, folder):
-    from foliant.session import save
-    recs = save(records(spark, folder))
+    recs = saved_records(spark, folder)
     return R.plan_pages(recs, remote(spark, folder, recs), picklist(spark, folder), cache(spark, folder), remote_pages=recs.agg(F.count("*")).scalar(), batch_name="LOTE")
 
 
@@ -199,7 +207,7 @@ def plan_pages(spark, folder):
 @register("plan_upload_only", "long seq, string accion, string avisos", """
 SELECT seq, CASE WHEN separator <> '' THEN 'separador' ELSE 'bloqueada' END AS accion, CASE WHEN separator <> '' THEN '' ELSE '[revisar_a_mano] pagina ' || seq || ': sin avion confirmado; se indexa a mano en el indice remoto' END AS avisos FROM records""", RECORDS)
 def plan_upload_only(spark, folder):
-    recs = records(spark, folder)
+    recs = saved_records(spark, folder)
     return R.plan_rows(R.plan_pages(recs, remote(spark, folder, recs), picklist(spark, folder), cache(spark, folder), upload_only=True))
 
 
@@ -239,7 +247,7 @@ SELECT seq, CASE WHEN seq > cutoff OR accion = 'separador' THEN old WHEN accion
   CASE WHEN seq > cutoff OR accion = 'separador' THEN '' WHEN accion = 'bloqueada' OR was_written THEN 'omitida' WHEN result = 'ok' THEN 'escrita' WHEN result = 'error' THEN 'fallida' ELSE '' END AS outcome
 FROM (SELECT *, CASE WHEN was_written THEN 'escrita' ELSE 'pendiente' END AS old FROM ended)""", OUTCOMES)
 def apply_outcomes(spark, folder):
-    planned = plan(spark, folder).withColumn("state", F.when(F.col("seq") % 6 == 0, "escrita").otherwise("pendiente"))
+    planned = save_rows(plan(spark, folder)).withColumn("state", F.when(F.col("seq") % 6 == 0, "escrita").otherwise("pendiente"))
     return R.apply_outcomes(planned, outcomes(planned), stop_on_error=False)
 
 
@@ -247,7 +255,7 @@ def apply_outcomes(spark, folder):
 SELECT count(*) FILTER (state = 'ok') AS written, count(*) FILTER (state = 'error') AS failed, count(*) FILTER (state IS NULL) AS pending FROM (SELECT CASE WHEN seq <= cut THEN result END AS state FROM
  (SELECT *, (SELECT min(seq) FROM tried WHERE accion = 'escribir' AND result <> 'ok') AS cut FROM tried WHERE accion = 'escribir'))""", OUTCOMES)
 def apply_outcomes_stopping(spark, folder):
-    planned = plan(spark, folder).withColumn("state", F.lit("pendiente"))
+    planned = save_rows(plan(spark, folder)).withColumn("state", F.lit("pendiente"))
     done = R.apply_outcomes(planned, outcomes(planned)).join(planned.select("seq", "action"), "seq").where("action = 'escribir'")
     return done.agg(F.count_if(F.col("state") == "escrita").alias("written"), F.count_if(F.col("state") == "error").alias("failed"), F.count_if(F.col("state") == "pendiente").alias("pending"))
 
@@ -255,7 +263,7 @@ def apply_outcomes_stopping(spark, folder):
 @register("verify_written", "long valid, long checked, long unreadable, long other_state", """
 SELECT count(*) FILTER (m.state = 0) AS valid, count(*) AS checked, count(*) FILTER (m.page IS NULL) AS unreadable, count(*) FILTER (m.state <> 0) AS other_state FROM records r LEFT JOIN remote m ON m.page = r.seq WHERE separator = ''""", REMOTE)
 def verify_written(spark, folder):
-    recs = records(spark, folder)
+    recs = saved_records(spark, folder)
     return R.verify_written(recs, remote(spark, folder, recs))
 
 

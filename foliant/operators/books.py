@@ -10,6 +10,7 @@ from foliant.constants import (AMBIGUOUS_REGISTRATION_NOTE, DERIVED_SOURCES, ERR
 from foliant.functions.fields import book_key, let, log_number, page_status, update, with_alternative
 from foliant.functions.registrations import normalise_registration
 from foliant.operators.skew import join_groups
+from foliant.session import save_rows
 
 PAGE_ID = ["file_seq", "page_number"]
 
@@ -30,14 +31,14 @@ def mark_duplicates(pages: DataFrame) -> DataFrame:
     """``dup`` is true on later batch occurrences of a readable log number.
 
     The first occurrence comes from a partial aggregate and is joined back, so a number
-    scanned a million times does not land in one task.
+    scanned a million times does not land in one task. Only numbers seen more than once are kept and joined.
     """
     # Unreadable numbers get scattered keys that match nothing.
     scattered = -1 - F.pmod(F.xxhash64(*PAGE_ID), F.lit(1_000_003))
     numbered = pages.withColumn("log_no", log_number(pages.columns)).withColumn("_key", F.coalesce("log_no", scattered))
     first = (numbered.where(F.col("log_no").isNotNull()).groupBy("_key")
-             .agg(F.min(F.struct(*PAGE_ID)).alias("_first"), F.count("*").alias("_rows")))
-    known = join_groups(numbered, first, ["_key"], PAGE_ID, rows_in="_rows")
+             .agg(F.min(F.struct(*PAGE_ID)).alias("_first"), F.count("*").alias("_rows")).where("_rows > 1"))
+    known = join_groups(numbered, save_rows(first), ["_key"], PAGE_ID, rows_in="_rows")
     return known.withColumn("dup", F.coalesce(F.struct(*PAGE_ID) != F.col("_first"), F.lit(False))).drop("_key", "_first", "_rows")
 
 

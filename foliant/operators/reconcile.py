@@ -14,6 +14,7 @@ from foliant.functions.dates import remote_date
 from foliant.functions.registrations import index_log_number, index_registration
 from foliant.functions.text import base_name, comparable_name
 from foliant.operators.skew import join_groups, positions
+from foliant.session import save_rows
 
 RECORD = ["seq", "file", "page", "separator", "registration", "log_number", "date", "fleet", "lessor", "fleet_inferred", "dup", "disc", "missing_row"]
 
@@ -119,29 +120,47 @@ def _notice(seq: Column, code: str, detail: Column | str) -> Column:
     return F.struct(seq.alias("seq"), F.lit(code).alias("code"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
 
 
-def check_picklist(records: DataFrame, picklist: DataFrame) -> DataFrame:
-    """Notices for empty registrations and for those missing from a non-empty picklist (``value``).
-
-    The picklist is a form's drop-down; it is matched on canonical registrations, of which
-    there are at most 60,000.
-    """
+def _with_picklist(records: DataFrame, picklist: DataFrame) -> DataFrame:
+    """Add ``_unlisted``, the notice of ``check_picklist`` or null."""
     listed = (picklist.select(F.upper(F.trim("value")).alias("registration")).where(F.col("registration").rlike(r"^(HP|HK)-\d{4}(CMP|WWP)?$"))
               .distinct().withColumn("_listed", F.lit(True)))
     any_listed = picklist.where(F.trim("value") != "").agg(F.count("*") > 0).scalar()
-    joined = records.where("separator = ''").join(F.broadcast(listed), "registration", "left")
+    joined = records.join(F.broadcast(listed), "registration", "left")
     reg = F.col("registration")
     notice = (F.when(reg == "", _notice(F.col("seq"), "matricula_vacia", "no se pudo leer la matricula"))
               .when(any_listed & F.col("_listed").isNull(), _notice(F.col("seq"), "matricula_desconocida", F.concat(reg, F.lit(" no esta en el picklist del indice remoto")))))
-    return joined.select(notice.alias("n")).where("n is not null").select("n.*")
+    return joined.withColumn("_unlisted", F.when(F.col("separator") == "", notice)).drop("_listed")
+
+
+def check_picklist(records: DataFrame, picklist: DataFrame) -> DataFrame:
+    """Notices for empty registrations and for those missing from a non-empty picklist (``value``).
+
+    The picklist is a form's drop-down; it is matched on canonical registrations, of which
+    there are at most 60,000.
+    """
+    return _with_picklist(records, picklist).where("_unlisted is not null").select("_unlisted.*")
+
+
+def _repeated_logs(records: DataFrame) -> DataFrame:
+    """Log numbers of more than one record, with the first; saved, since the join reads them several times."""
+    logged = records.where("separator = '' and log_number <> ''")
+    return save_rows(logged.groupBy("log_number").agg(F.min("seq").alias("first_seq"), F.count("*").alias("_rows")).where("_rows > 1"))
+
+
+def _with_duplicates(records: DataFrame) -> DataFrame:
+    """Add ``_repeats``, the notice of ``check_record_duplicates`` or null."""
+    # Records without a number, and separators, get scattered keys that match nothing.
+    key = F.when((F.col("separator") == "") & (F.col("log_number") != ""), F.col("log_number"))
+    keyed = records.withColumn("_key", F.coalesce(key, F.concat(F.lit(" "), F.pmod(F.xxhash64("seq"), F.lit(1_000_003)).cast("string"))))
+    joined = join_groups(keyed, _repeated_logs(records).withColumnRenamed("log_number", "_key"), ["_key"], ["seq"], rows_in="_rows")
+    detail = F.concat(F.lit("el log "), "log_number", F.lit(" ya salio en la pagina "), F.col("first_seq").cast("string"))
+    notice = F.when(F.col("seq") > F.col("first_seq"), _notice(F.col("seq"), "log_duplicado", detail))
+    return joined.withColumn("_repeats", notice).drop("_key", "first_seq", "_rows")
 
 
 def check_record_duplicates(records: DataFrame) -> DataFrame:
     """Notice on every later record of a log number, naming the first."""
-    logged = records.where("separator = '' and log_number <> ''").select("seq", "log_number")
-    first = logged.groupBy("log_number").agg(F.min("seq").alias("first_seq"), F.count("*").alias("_rows"))
-    joined = join_groups(logged, first, ["log_number"], ["seq"], rows_in="_rows").where("seq > first_seq")
-    detail = F.concat(F.lit("el log "), "log_number", F.lit(" ya salio en la pagina "), F.col("first_seq").cast("string"))
-    return joined.select(_notice(F.col("seq"), "log_duplicado", detail).alias("n")).select("n.*")
+    return _with_duplicates(records.select("seq", "separator", "log_number")).where("_repeats is not null").select("_repeats.*")
 
 
 def index_values(batch_name: str = "") -> Column:
@@ -203,18 +222,15 @@ def plan_pages(records: DataFrame, remote: DataFrame, picklist: DataFrame, cache
         reg = remote.select(F.col("page").alias("seq"), *[F.try_element_at("values", F.lit(k)).alias(n) for k, n in (
             (FIELD_REGISTRATION, "registration"), (FIELD_FLEET, "fleet"), (FIELD_LESSOR, "lessor"))])
         read = records.where(is_page).select("seq")
-        fixed = correct_inferred_fleet(records, learn_fleet(cache, reg.join(read, "seq", "left_semi")))
-        batch_wide = check_picklist(fixed, picklist).unionByName(check_record_duplicates(fixed))
-        # A record has at most two of these (registration, duplicate).
-        rank = F.when(F.col("code") == "log_duplicado", 1).otherwise(0)
-        listed = batch_wide.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "code", "detail"))).alias("_batch"))
-        joined = _with_remote(fixed, remote).join(listed, "seq", "left").withColumn("values", F.when(is_page, index_values(batch_name)).otherwise(no_values))
+        # The duplicates depend on log numbers alone, which the fleet's correction leaves as they are.
+        noticed = _with_picklist(_with_duplicates(records), picklist)
+        fixed = correct_inferred_fleet(noticed, learn_fleet(cache, reg.join(read, "seq", "left_semi")))
+        joined = _with_remote(fixed, remote).withColumn("values", F.when(is_page, index_values(batch_name)).otherwise(no_values))
         empty = [F.when(F.trim(F.coalesce(F.try_element_at("values", F.lit(f)), F.lit(""))) == "",
                         _notice(F.col("seq"), "obligatorio_vacio", f"el campo {f} quedaria vacio")) for f in MANDATORY_FIELDS]
-        own = F.array_compact(F.array(*empty, *_alignment_notices(overwrite)))
-        before = F.coalesce(F.transform("_batch", lambda n: F.struct(F.col("seq").alias("seq"), n["code"].alias("code"), n["detail"].alias("detail"))), no_notices)
-        planned = joined.withColumn("notices", F.when(is_page, F.concat(before, own)).otherwise(no_notices)).withColumn(
-            "already_indexed", is_page & F.coalesce(F.col("state") == STATE_VALID, F.lit(False))).drop("_batch", "state", "remote_values")
+        own = F.array_compact(F.array("_unlisted", "_repeats", *empty, *_alignment_notices(overwrite)))
+        planned = joined.withColumn("notices", F.when(is_page, own).otherwise(no_notices)).withColumn(
+            "already_indexed", is_page & F.coalesce(F.col("state") == STATE_VALID, F.lit(False))).drop("_unlisted", "_repeats", "state", "remote_values")
     return planned.withColumn("action", F.when(~is_page, "separador").when(F.size("notices") == 0, "escribir").otherwise("bloqueada"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.session import hot_rows, save, shuffle_partitions
+from foliant.session import hot_rows, save_rows, shuffle_partitions
 
 # A hot key holds at least this share of all rows, so the broadcast list of hot keys has at most as many entries as the share allows.
 HOT_SHARE = 1 / 100_000
@@ -38,26 +38,30 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: lis
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Range-partition by ``order``. The rows are saved first: counting them, sampling the bounds
+    and moving them would otherwise compute the input three times."""
+    df = save_rows(df)
+    return df.repartitionByRange(max(shuffle_partitions(df.sparkSession), df.count() // RANGE_ROWS + 1), *order)
+
+
 def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
     """Range-partition by ``order`` and keep the range number in ``_chunk``.
 
-    The rows are saved first: counting them, sampling the bounds and moving them would
-    otherwise compute the input three times. Saved again, the range numbers cannot change
-    between the uses of the result, whatever tasks are retried.
+    Saved again, the range numbers cannot change between the uses of the result, whatever tasks are retried.
     """
-    spark = df.sparkSession
-    df = save(df)
-    parts = max(shuffle_partitions(spark), df.count() // RANGE_ROWS + 1)
-    return save(df.repartitionByRange(parts, *order).withColumn("_chunk", F.spark_partition_id()))
+    return save_rows(_ranged(df, order).withColumn("_chunk", F.spark_partition_id()))
 
 
 def positions(df: DataFrame, order: list[str], name: str = "pos", start: int = 1) -> DataFrame:
     """Number all rows in a total order without passing them through one task."""
-    df = in_ranges(df, order)
+    # Sorted where they lie, the rows get their range in the upper and their place in the lower bits of one number, before they
+    # are saved: no second shuffle brings the ranges together.
+    df = save_rows(_ranged(df, order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    df = df.withColumn("_chunk", F.shiftright("_id", 33)).withColumn("_rank", F.col("_id").bitwiseAND((1 << 33) - 1))
     # One row per range, so the running total is over a few thousand rows at most.
     sizes = df.groupBy("_chunk").count()
     offsets = sizes.select("_chunk", (F.sum("count").over(Window.orderBy("_chunk")) - F.col("count")).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("_chunk").orderBy(*order))
-    return (df.withColumn("_rank", rank).join(F.broadcast(offsets), "_chunk")
-            .withColumn(name, F.col("_offset") + F.col("_rank") - 1 + start)
-            .drop("_chunk", "_offset", "_rank"))
+    return (df.join(F.broadcast(offsets), "_chunk")
+            .withColumn(name, F.col("_offset") + F.col("_rank") + start)
+            .drop("_id", "_chunk", "_offset", "_rank"))
