@@ -19,10 +19,10 @@ from foliant.sources import readers
 def report_rows(spark, folder):
     """Run report columns, all texts, with their row number (the page number)."""
     date = T.date_text(T.year_number(F.col("year")["value"]) + 2000, T.month_number(F.col("month")["value"]), T.day_number(F.col("day")["value"]))
-    # Only texts go through the join of the duplicates.
+    # Only texts go through the join of the duplicates. Saved, they are derived once, in a stage whose code stays small enough to be compiled.
     narrow = discrepancy_flags(D.pages(spark, folder)).select("file_seq", "file", "page_number", "printed_number", F.struct(F.col("log_number")["value"].alias("value")).alias("log_number"),
                                                               F.coalesce(F.col("matricula")["value"], F.lit("")).alias("matricula"), F.coalesce(date, F.lit("")).alias("date"), "discrepancy")
-    pages = mark_duplicates(narrow)
+    pages = mark_duplicates(save_rows(narrow))
     return pages.select(F.col("page_number").alias("row"), "file", F.col("page_number").cast("string").alias("page"), "matricula",
                         F.coalesce(F.col("log_number")["value"], F.lit("")).alias("log_number"), "date",
                         F.col("dup").cast("string").alias("dup"), F.col("discrepancy").cast("string").alias("disc"))

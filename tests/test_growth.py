@@ -109,3 +109,9 @@ def test_pages_are_validated_where_they_are(spark):
     assert "hashpartitioning(file_seq" not in plan_of(ruled)
     long = quality.to_pages(quality.apply_field_rules(quality.to_readings(pages, fields), template_table(spark)), fields)
     assert sorted(map(str, ruled.select(*fields).collect())) == sorted(map(str, long.select(*fields).collect()))
+
+
+def test_report_rows_are_derived_once(spark):
+    from catalog.batches import report_rows
+
+    assert "orders.parquet" not in plan_of(report_rows(spark, FOLDER))
