@@ -234,11 +234,8 @@ class _Search:
         return stored(full.mapInArrow(lambda it: _verified(it, k, above, below), "a long, b long"), "links")
 
 
-def _mixed(members: DataFrame, links: DataFrame, central: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, as far as the links show: a node is in the component of the most central node it is linked to."""
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ends = ends.join(central.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("weight", "b")).alias("best"))
-    labels = ends.join(central, "node").select("node", F.greatest("best", F.struct("weight", F.col("node").alias("b")))["b"].alias("component"))
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component of ``labels`` (node, component); a node without a label is one of its own."""
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     buckets = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     return named.join(buckets.select("bucket"), "bucket", "left_semi")
@@ -273,9 +270,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs = members.join(pivots, "bucket").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).where("a <> b").distinct()
     tried = stored(pairs, "pairs")
     links = search.links(tried)
-    rest = search.rest(stored(_mixed(members, links, central), "mixed")).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(search.links(stored(rest, "rest")))
-    labels = connected(links)
+    # Whole components, not what a node's own links show: pairs that a chain of links already connects are the most of a large group's.
+    labels = stored(connected(links), "labels")
+    rest = search.rest(stored(_mixed(members, labels), "mixed")).join(tried, ["a", "b"], "left_anti")
+    links = search.links(stored(rest, "rest"))
+    labels = connected(links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     classes = nodes.join(labels, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component"))
     named = rows.select("doc_id", "n_shingles", "fingerprint")

@@ -35,6 +35,33 @@ def test_chains_and_odd_rows(spark):
     assert len({r.component_id for r in mine if r.doc_id is not None and r.doc_id < 900}) < 120
 
 
+def test_connected_nodes_are_not_met_again(spark, monkeypatch):
+    """The second search is for links between components; a chain of links makes one, whatever its ends show."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    text = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        text = list(text)
+        for _ in range(2):
+            text[rng.randrange(120)] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    kept, plain = {}, minhash.stored
+
+    def stored(df, name, *rest):
+        kept.setdefault(name, []).append(plain(df, name, *rest))
+        return kept[name][-1]
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    mine = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, similarity=(85, 100)).collect()
+    assert sorted(map(tuple, mine)) == sorted(brute.near_duplicates(rows, 3, 85, 100))
+    links = [tuple(r) for r in kept["links"][0].collect()]
+    again = [tuple(r) for r in kept["rest"][0].collect()]
+    place = {n: i for i, n in enumerate({n for pair in links + again for n in pair})}
+    roots = brute.components(len(place), [(place[a], place[b]) for a, b in links])
+    assert links and all(roots[place[a]] != roots[place[b]] for a, b in again)
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
