@@ -25,6 +25,9 @@ SCALE = 1024.0
 TOP = 65535
 #: Estimates this many standard errors below the threshold end a candidate; a true link falls there once in 10**7.
 ERRORS = 5.5
+#: Text bytes that a worker takes apart at a time, and points of their processes that it draws at a time: what it holds beside its batch is some 50 times the former.
+SLICE_BYTES = 1 << 20
+POINTS = 500_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,7 +92,7 @@ def sketches(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
             at, step = points[:, -1], step + block
             alive = at < low.reshape(docs, m).max(axis=1)[owner]
             owner, element, at = owner[alive], element[alive], at[alive]
-            block = int(np.clip(2_000_000 // max(1, len(element)), 1, 16))
+            block = int(np.clip(POINTS // max(1, len(element)), 1, 16))
     with np.errstate(divide="ignore"):
         registers = np.floor(1 - np.log(low / SCALE) / math.log(BASE))
     return np.clip(np.where(np.isinf(low), 0, registers), 0, TOP).astype("<u2").reshape(docs, m)
@@ -126,7 +129,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 def _describe(batches, k):
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, SLICE_BYTES):
             sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), k)
             rows = sketches(sets)
             yield pa.RecordBatch.from_arrays([
@@ -136,14 +139,14 @@ def _describe(batches, k):
 
 def _named(batches, k):
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, SLICE_BYTES):
             sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), k)
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), part.column(1)], ["fingerprint", "text"])
 
 
 def _exploded(batches, k):
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, SLICE_BYTES):
             sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), k)
             edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
@@ -162,7 +165,7 @@ def _promising(batches, floor):
 
 def _verified(batches, k, above, below):
     for batch in batches:
-        for part in slices(batch, 2):
+        for part in slices(batch, 2, SLICE_BYTES):
             texts_a, texts_b = (part.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
             known = list(dict.fromkeys(texts_a + texts_b))
             sets = dict(zip(known, shingle_sets(known, k)))

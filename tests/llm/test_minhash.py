@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliant.llm import minhash
@@ -66,6 +67,16 @@ def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_texts_are_taken_apart_in_small_slices():
+    """What a worker holds beside its batch follows the slice; the sketches are those of the whole."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(9000)) for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": texts})
+    parts = list(minhash._describe([batch], 3))
+    assert batch.nbytes > 2_000_000 and len(parts) >= 3
+    alone = minhash.sketches(minhash.shingle_sets([texts[7].encode()], 3))
+    assert [s for p in parts for s in p.column(3).to_pylist()][7] == alone[0].tobytes()
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)) for _ in range(40)]
