@@ -197,7 +197,7 @@ SOFT = ("registration: digits inferred from scattered OCR (low confidence)", "re
 SELECT page_number, 'matricula' AS field_id, matricula IS NOT NULL AND NOT (k % 10 = 8 AND length(n) - length(replace(n, '1', '')) >= 3) AS accepted FROM pages
 UNION ALL SELECT page_number, field_id, value IS NOT NULL FROM pages, """ + FIELD_ROWS + " WHERE field_id <> 'matricula'", PAGES)
 def accept_primary_reading(spark, folder):
-    readings = Q.to_readings(D.pages(spark, folder), list(FIELDS))
+    readings = Q.to_readings(D.pages(spark, folder), list(FIELDS), ["raw_value"])
     template = template_table(spark)
     return Q.accept_primary_reading(Q.normalise_readings(readings, template), template, SOFT)
 

@@ -17,9 +17,12 @@ from foliant.operators.books import PAGE_ID
 PAGE_COLUMNS = ["file_seq", "file", "page_number", "blank", "alignment", "date"]
 
 
-def to_readings(pages: DataFrame, fields) -> DataFrame:
-    """Long form: one row per (page, field) in template order."""
-    cells = F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field_id"), F.lit(i).alias("field_pos"), F.col(f).alias("reading")))
+def to_readings(pages: DataFrame, fields, members=None) -> DataFrame:
+    """Long form: one row per (page, field) in template order, with the whole reading or only these ``members`` of it."""
+    def reading(f: str) -> Column:
+        return F.col(f) if members is None else F.struct(*[F.col(f)[m].alias(m) for m in members])
+
+    cells = F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field_id"), F.lit(i).alias("field_pos"), reading(f).alias("reading")))
                       for i, f in enumerate(fields)])
     return (pages.select(*PAGE_COLUMNS, F.explode(F.array_compact(cells)).alias("c"))
             .select(*PAGE_COLUMNS, "c.field_id", "c.field_pos", "c.reading.*"))

@@ -115,3 +115,15 @@ def test_report_rows_are_derived_once(spark):
     from catalog.batches import report_rows
 
     assert "orders.parquet" not in plan_of(report_rows(spark, FOLDER))
+
+
+def test_the_primary_reading_carries_what_it_uses(spark):
+    from foliant.operators import quality
+    from __spark_entry__ import load_catalog
+
+    plan = plan_of(load_catalog()["accept_primary_reading"].build(spark, FOLDER))
+    assert "explode" in plan and "Low confidence" not in plan
+    pages = derived.pages(spark, FOLDER)
+    whole = quality.to_readings(pages, list(derived.PAGE_FIELDS))
+    assert whole.select("page_number", "field_id", "raw_value").exceptAll(
+        quality.to_readings(pages, list(derived.PAGE_FIELDS), ["raw_value"]).select("page_number", "field_id", "raw_value")).count() == 0
