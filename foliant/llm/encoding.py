@@ -1,12 +1,15 @@
 """Token ids of whole texts with a word-level byte-pair tokenizer file, exact and much faster than text by text.
 
-The tokenizer drops white space, so ids never reach over it: a text's ids are its words' ids in order. Each worker keeps
-the ids of the words it has met; new words are cut, many at a time, into the tokenizer's own pre-tokens, which repeat more often.
+The tokenizer drops white space, so ids never reach over it: a text's ids are its words' ids in order. Nor do they reach from letters to
+what is no letter, so texts of few kinds of characters are cut there too. Each worker keeps the ids of the words it has met; new words are
+cut, many at a time, into the tokenizer's own pre-tokens, which repeat more often.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -23,6 +26,14 @@ RUN = 200
 LINE = b"\xff\xff\xff\xff"
 #: Words of these characters only are cut here; all others go to the tokenizer whole. They are their own NFC form.
 _PLAIN = regex.compile("[\x21-\x7eÀ-ɏ]+")
+#: Bytes of the texts that are cut at the edges of letters: white space, ASCII without the apostrophe (some of its pre-tokens take letters along), and À-ÿ.
+_SIMPLE = bytes({*b" \t\n\r\x0b\x0c", *range(0x21, 0x7f), 0xc3, *range(0x80, 0xc0)} - {0x27})
+#: What is no letter among them, and the begin of a mark.
+_UNLIKE = re.compile(rb"\xc3[\x97\xb7]|<\|")
+_RUNS = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff\s]+")
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+#: The pre-tokens for which cutting at the edges of letters was thought through; with others, texts are cut at white space only.
+_KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
@@ -41,6 +52,7 @@ class WordEncoder:
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         # White space is in no pre-token, so a line end between words comes out on its own.
         self.split = regex.compile(pattern + r"|\n")
+        self.by_letters = pattern == _KNOWN
         self.mark = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -52,16 +64,17 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        """Many pre-tokens go to the tokenizer as one text; the end-of-word tokens tell them apart again."""
+    def _encoded(self, new: list) -> Iterator[tuple]:
+        """Each pre-token, text or bytes, with its ids. Many go to the tokenizer as one text; the end-of-word tokens tell them apart again."""
         for start in range(0, len(new), 100 * RUN):
             runs = [new[i:i + RUN] for i in range(start, min(start + 100 * RUN, len(new)), RUN)]
-            for run, ids in zip(runs, self._whole([" ".join(r) for r in runs])):
+            texts = [" ".join(r) if isinstance(r[0], str) else b" ".join(r).decode() for r in runs]
+            for run, text, ids in zip(runs, texts, self._whole(texts)):
                 ends = ((np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4).tolist()
                 if len(ends) == len(run) and ends[-1] == len(ids):
-                    self.pieces.update(zip(run, (ids[a:b] for a, b in zip([0, *ends], ends))))
+                    yield from zip(run, (ids[a:b] for a, b in zip([0, *ends], ends)))
                 else:
-                    self.pieces.update(zip(run, self._whole(run)))
+                    yield from zip(run, self._whole(text.split(" ")))
 
     def _plain(self, words: list[bytes]) -> bool:
         text = b"".join(words).decode()
@@ -82,7 +95,7 @@ class WordEncoder:
             if run:
                 runs.append((run, self.split.findall(b"\n".join(run).decode().lower())))
         pieces = self.pieces
-        self._learn_pieces(list(set(chain.from_iterable(parts for _, parts in runs)).difference(pieces)))
+        pieces.update(self._encoded(list(set(chain.from_iterable(parts for _, parts in runs)).difference(pieces))))
         for run, parts in runs:
             ids = b"".join(map(pieces.__getitem__, parts))
             lines = (np.flatnonzero(np.frombuffer(ids, "<u4") == 0xFFFFFFFF) * 4).tolist()
@@ -96,13 +109,27 @@ class WordEncoder:
         if len(self.pieces) > self.kept:
             self.pieces = {"\n": LINE}
 
+    def _cut(self, text: bytes) -> list[bytes]:
+        """Runs of letters, ASCII ones in lower case, and of other characters; of other texts than the simple ones the words."""
+        if self.by_letters and not text.translate(None, _SIMPLE) and not _UNLIKE.search(text):
+            return _RUNS.findall(text.lower())
+        return text.split()
+
+    def _learn_letters(self, new: list[bytes]) -> None:
+        """Runs of letters are pre-tokens as they are."""
+        old = self.old_words
+        self.words.update((w, old[w]) for w in new if w in old)
+        self.words.update(self._encoded([w for w in new if w not in old]))
+
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         self._turn()
-        split = [(t or b"").split() for t in texts]
+        split = [self._cut(t or b"") for t in texts]
         words = self.words
         new = set(chain.from_iterable(split)).difference(words)
         if new:
-            self._learn(list(new))
+            letters = {w for w in new if _LETTERS(w)}
+            self._learn_letters(list(letters))
+            self._learn(list(new - letters))
         return [b"".join(map(words.__getitem__, parts)) for parts in split]
 
 
