@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import free_name, numbered, stored
+from foliant.llm.common import free_name, numbered, passing, stored
 
 SLOTS = 4
 KICKS = 200
@@ -246,6 +246,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns, whatever their names."""
     row = free_name(docs, "_row")
-    table = numbered(docs, "documents", row)
-    rows = stored(digests(table.select(F.col(row).alias("_row"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "text"), "digests")
-    return table.join(_grouped(rows).where("NOT kept").select(F.col("_row").alias(row)), row, "left_anti").drop(row)
+    with passing() as keep:
+        table = keep(numbered(docs, "documents", row, "zstd"))
+        rows = stored(digests(table.select(F.col(row).alias("_row"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "text"), "digests")
+        gone = keep(stored(_grouped(rows).where("NOT kept").select(F.col("_row").alias(row)), "gone"))
+    return table.join(gone, row, "left_anti").drop(row)

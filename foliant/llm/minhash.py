@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import connected, free_name, numbered, slices, stored
+from foliant.llm.common import connected, free_name, numbered, passing, slices, stored
 
 REGISTERS = 128
 BAND = 4
@@ -290,6 +290,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row of each near-duplicate group of ``docs``, with all its columns, whatever their names. Rows that share an id stay if one of them does."""
-    found, name = near_duplicates(docs, id_column, text_column, shingle, similarity), free_name(docs, "_gone")
-    gone = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias(name)), "gone")
+    name = free_name(docs, "_gone")
+    with passing() as keep:
+        found = near_duplicates(docs, id_column, text_column, shingle, similarity)
+        gone = keep(stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias(name)), "gone"))
     return docs.join(gone, docs[id_column].cast("long").eqNullSafe(gone[name]), "left_anti")

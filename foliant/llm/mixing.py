@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WORD, free_name, numbered, stored
+from foliant.llm.common import WORD, free_name, numbered, passing, stored
 
 CHUNK = 128
 CAP = 3
@@ -139,9 +139,10 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns, whatever their names; options as for ``mix``."""
     row = free_name(docs, "_row")
-    table = numbered(docs, "documents", row)
-    times, copy = free_name(table, "_copies"), free_name(table, "_copy")
-    copies = mix(table, row_column=row, **options).where("copies > 0").select(F.col("_row").alias(row), F.col("copies").alias(times))
+    with passing() as keep:
+        table = keep(numbered(docs, "documents", row, "zstd"))
+        times, copy = free_name(table, "_copies"), free_name(table, "_copy")
+        copies = keep(stored(mix(table, row_column=row, **options).where("copies > 0").select(F.col("_row").alias(row), F.col("copies").alias(times)), "taken"))
     return table.join(copies, row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
 
 
