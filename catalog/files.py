@@ -63,10 +63,8 @@ def report_documents(spark, folder, indented):
     rows = documents.select((F.regexp_replace(text, r'"pages":\[', '"pages":[\n  ') if indented else text).alias("value"))
     path = scratch(spark, "documents")
     broken = spark.createDataFrame([('{"pdf_path": "x.pdf", "pages": [',)], "value string")
-    all_rows = rows.unionByName(broken)
-    # An indented document is a file of its own; a task writes many of them.
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    (all_rows.repartition(tasks, "value").write.option("maxRecordsPerFile", 1) if indented else all_rows.write.option("compression", "gzip")).text(path)
+    # A task writes its documents to one file, whether a document is a line or many.
+    rows.unionByName(broken).write.option("compression", "gzip").option("lineSep", readers.DOCUMENT_END if indented else "\n").text(path)
     return path
 
 
@@ -83,8 +81,8 @@ def read_report_documents(spark, folder):
 @register("read_report_documents_indented", "long page_number, string file, long fields, long unreadable", DOCUMENTS_SQL, PAGES)
 def read_report_documents_indented(spark, folder):
     path = report_documents(spark, folder, True)
-    bad = readers.unreadable_reports(spark, path, True).count()
-    return readers.report_pages(readers.read_run_json(spark, path, True)).select("page_number", "file", F.size("fields").alias("fields"), F.lit(bad).alias("unreadable"))
+    bad = readers.unreadable_reports(spark, path, sequence=True).count()
+    return readers.report_pages(readers.read_run_json(spark, path, sequence=True)).select("page_number", "file", F.size("fields").alias("fields"), F.lit(bad).alias("unreadable"))
 
 
 @register("write_run_json", "string file, long pages, long fields", "SELECT file, count(*) AS pages, count(*) * 10 AS fields FROM pages GROUP BY file", PAGES)
@@ -183,7 +181,7 @@ def read_delivery_index(spark, folder):
     docs = writers.delivery_index_documents(parts, 50)
     # One document per part keeps every document bounded by the part size.
     path = scratch(spark, "index")
-    docs.select(F.to_json(F.struct(F.lit(2).alias("version"), F.array(F.struct("pdf", "revisar", "paginas")).alias("partes"))).alias("value"), "part").repartition("part").write.partitionBy("part").text(path)
+    docs.select(F.to_json(F.struct(F.lit(2).alias("version"), F.array(F.struct("pdf", "revisar", "paginas")).alias("partes"))).alias("value")).write.option("lineSep", readers.DOCUMENT_END).text(path)
     index = readers.read_delivery_index(spark, path)
     number = F.regexp_extract("pdf", r"-(\d+)\.pdf", 1).cast("long")
     return index.withColumn("part_pos", number - 1)

@@ -29,29 +29,34 @@ def read_run_csv(spark: SparkSession, path: str, multiline: bool = True) -> Data
     return df.na.fill("")
 
 
-def read_run_json(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+#: Ends a document in a file of several (RFC 7464). No JSON text can hold it unescaped.
+DOCUMENT_END = "\x1e"
+
+
+def read_run_json(spark: SparkSession, path: str, multiline: bool | None = None, sequence: bool = False) -> DataFrame:
     """Reports, one JSON document each (or a consolidated document with ``reportes``); ``unreadable_reports`` has the rest.
 
     ``multiline``: whether a document spans lines, as indented ones do; None looks at the first line, which is a whole
-    document where each line is one.
+    document where each line is one. ``sequence``: files hold documents, of any number of lines, that ``DOCUMENT_END`` parts.
     """
-    raw = _report_documents(spark, path, multiline).where("_unreadable IS NULL")
+    raw = _report_documents(spark, path, multiline, sequence).where("_unreadable IS NULL")
     single = F.when(F.col("pdf_path").isNotNull(), F.array(F.struct(*_report_names())))
     return raw.select(F.explode(F.coalesce("reportes", single)).alias("r")).select("r.*")
 
 
-def unreadable_reports(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+def unreadable_reports(spark: SparkSession, path: str, multiline: bool | None = None, sequence: bool = False) -> DataFrame:
     """(path, text) of what is no JSON document."""
     # Spark parses only if another column is asked for as well; this condition always holds.
     parsed = F.col("pdf_path").isNull() | (F.length("pdf_path") >= 0)
-    return _report_documents(spark, path, multiline).where(F.col("_unreadable").isNotNull() & parsed).select(F.col("_metadata.file_path").alias("path"), F.col("_unreadable").alias("text"))
+    return _report_documents(spark, path, multiline, sequence).where(F.col("_unreadable").isNotNull() & parsed).select(F.col("_metadata.file_path").alias("path"), F.col("_unreadable").alias("text"))
 
 
-def _report_documents(spark: SparkSession, path: str, multiline: bool | None) -> DataFrame:
-    if multiline is None:
+def _report_documents(spark: SparkSession, path: str, multiline: bool | None, sequence: bool) -> DataFrame:
+    if multiline is None and not sequence:
         first = spark.read.text(path).where(F.trim("value") != "").limit(1).select(F.get_json_object("value", "$").isNull()).first()
         multiline = bool(first and first[0])
-    return spark.read.schema(f"{_consolidated()}, _unreadable string").json(path, multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord="_unreadable")
+    ended = {"lineSep": DOCUMENT_END} if sequence else {"multiLine": multiline}
+    return spark.read.schema(f"{_consolidated()}, _unreadable string").json(path, **ended, mode="PERMISSIVE", columnNameOfCorruptRecord="_unreadable")
 
 
 def read_run_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -187,10 +192,13 @@ ENTRY = "struct<separador:string,archivo:string,pagina:string>"
 
 
 def read_delivery_index(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a delivery index (both versions): part, position, separator or file and page, review flag; empty parts drop out."""
+    """Entries of a delivery index (both versions): part, position, separator or file and page, review flag; empty parts drop out.
+
+    A file is a document, or several that ``DOCUMENT_END`` parts.
+    """
     part = f"struct<pdf:string,revisar:boolean,paginas:array<{ENTRY}>>"
     doc = F.from_json("value", f"struct<version:int,partes:array<{part}>,pdf:string,paginas:array<{ENTRY}>>")
-    docs = _documents(spark, path).select(doc.alias("d"))
+    docs = spark.read.text(path, lineSep=DOCUMENT_END).select(doc.alias("d"))
     whole = F.array(F.struct(F.coalesce("d.pdf", F.lit("")).alias("pdf"), F.lit(False).alias("revisar"), F.col("d.paginas").alias("paginas")))
     parts = docs.select(F.posexplode(F.coalesce("d.partes", whole)).alias("part_pos", "p")).where(F.size("p.paginas") > 0)
     return parts.select("part_pos", F.col("p.pdf").alias("pdf"), F.coalesce("p.revisar", F.lit(False)).alias("is_review"), F.posexplode("p.paginas").alias("i", "e")).select(
