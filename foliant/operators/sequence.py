@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from itertools import groupby, islice
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from foliant.functions.dates import month_end
 from foliant.operators.books import PAGE_ID
 from foliant.operators.segments import SEGMENT, Segments
-from foliant.session import save
+from foliant.session import save, shuffle_partitions
 
 ORDER = ["log_no", *reversed(PAGE_ID)]
 PARTS = ("day", "month", "year")
@@ -87,123 +86,141 @@ def _trace(trail: list, end: int) -> list:
 
 
 CHOICE = "file_seq long, page_number long, c_day int, c_month int, c_year int"
+_CHOICE = dict(zip(("file_seq", "page_number", "c_day", "c_month", "c_year"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())))
 
 
-def _chosen(pdf: pd.DataFrame, rows: list, path: list) -> pd.DataFrame:
-    picked = [row[i] for row, i in zip(rows, path)]
-    moved = [i for i, c in enumerate(picked) if c["changes"]]
-    return pd.DataFrame({
-        "file_seq": pdf["file_seq"].iloc[moved].to_numpy(), "page_number": pdf["page_number"].iloc[moved].to_numpy(),
-        **{f"c_{p}": [picked[i][p] for i in moved] for p in ("day", "month", "year")}})
+def _made(found, types: dict):
+    """Batches of the tuples of ``found``."""
+    while chunk := list(islice(found, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*chunk), types.values())], list(types))
+
+
+def _groups(batches, *keys: str):
+    """Rows that follow each other with the same keys, as lists of dictionaries."""
+    for _, rows in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: tuple(r[k] for k in keys)):
+        yield list(rows)
+
+
+def _moves(rows: list, path: list):
+    for page, i in zip(rows, path):
+        c = page["candidates"][i]
+        if c["changes"]:
+            yield page["file_seq"], page["page_number"], c["day"], c["month"], c["year"]
 
 
 def _solve_books(batches):
     """Whole books, one after the other, in batches sorted by book and page."""
-    def solve(pages: list):
-        rows = [p["candidates"] for p in pages]
-        states, trail = _walk(rows, None)
-        end = _first_min(states)
-        picked = [row[i] for row, i in zip(rows, _trace(trail, end))] if states[end][1][0] < pages[0]["backward"] else []
-        for page, c in zip(pages, picked):
-            if c["changes"]:
-                yield page["file_seq"], page["page_number"], c["day"], c["month"], c["year"]
-
     def moved():
-        for _, pages in groupby((p for batch in batches for p in batch.to_pylist()), key=lambda p: p["book"]):
-            yield from solve(list(pages))
+        for pages in _groups(batches, "book"):
+            states, trail = _walk([p["candidates"] for p in pages], None)
+            end = _first_min(states)
+            if states[end][1][0] < pages[0]["backward"]:
+                yield from _moves(pages, _trace(trail, end))
 
-    columns = CHOICE.replace(" long", "").replace(" int", "").split(", ")
-    found = moved()
-    while chunk := list(islice(found, 10_000)):
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if i < 2 else pa.int32()) for i, v in enumerate(zip(*chunk))], columns)
+    return _made(moved(), _CHOICE)
 
 
-def _unpack(frame: pd.DataFrame, kind: str) -> list | None:
-    states = frame[kind].iloc[0] if len(frame) else None
+STATES = "array<struct<date:int,back:long,changes:long,jumps:long>>"
+_STATES = pa.list_(pa.struct([("date", pa.int32()), ("back", pa.int64()), ("changes", pa.int64()), ("jumps", pa.int64())]))
+_KEY = {"book": pa.string(), "_chunk": pa.int32()}
+
+
+def _pack(states: list | None) -> list | None:
+    return None if states is None else [{"date": d, "back": b, "changes": c, "jumps": j} for d, (b, c, j) in states]
+
+
+def _unpack(states: list | None) -> list | None:
     return None if states is None else [(s["date"], (s["back"], s["changes"], s["jumps"])) for s in states]
 
 
-STATES = "array<struct<date:int,back:long,changes:long,jumps:long>>"
+def _costs(batches):
+    """Of each segment the costs at its last page, from each of the dates it may be entered with."""
+    def found():
+        for plan, *rows in _groups(batches, "book", "_chunk"):
+            entry, candidates = plan["plan"]["entry"], [r["candidates"] for r in rows]
+            for i, start in enumerate([None] if entry is None else [[(c["date"], (0, 0, 0))] for c in entry]):
+                yield plan["book"], plan["_chunk"], i, _pack(_walk(candidates, start)[0])
 
+    return _made(found(), _KEY | {"entry": pa.int32(), "states": _STATES})
 
-def _solve_segments(df: DataFrame) -> DataFrame:
-    """The same choice for books in several segments, numbered by ``_chunk``."""
-    ends = df.groupBy("book", "_chunk").agg(F.max_by("candidates", F.struct(*ORDER)).alias("last"))
-    lag = F.lag("last").over(Window.partitionBy("book").orderBy("_chunk"))
-    entries = ends.select("book", "_chunk", lag.alias("entry"))
-    key = ["book", "_chunk"]
-
-    def costs(keys, rows_pdf, entry_pdf):
-        if rows_pdf.empty:
-            return pd.DataFrame(columns=["book", "_chunk", "entry", "states"])
-        rows = [list(c) for c in rows_pdf.sort_values(ORDER, kind="stable")["candidates"]]
-        entry = entry_pdf["entry"].iloc[0]
-        starts = [None] if entry is None else [[(c["date"], (0, 0, 0))] for c in entry]
-        out = []
-        for i, start in enumerate(starts):
-            states, _ = _walk(rows, start)
-            out.append((keys[0], keys[1], i, [{"date": d, "back": b, "changes": c, "jumps": j} for d, (b, c, j) in states]))
-        return pd.DataFrame(out, columns=["book", "_chunk", "entry", "states"])
-
-    table = save(df.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(
-        costs, f"book string, _chunk int, entry int, states {STATES}"))
-
-    def chain(pdf):
-        """Costs on entering each range, from the costs at the end of the range before."""
-        out, reached = [], None
-        for chunk, part in pdf.groupby("_chunk", sort=True):
-            packed = None if reached is None else [{"date": d, "back": b, "changes": c, "jumps": j} for d, (b, c, j) in reached]
-            out.append((pdf["book"].iloc[0], chunk, packed))
-            part = part.sort_values("entry")
-            routes = [_unpack(part.iloc[i:i + 1], "states") for i in range(len(part))]
+
+def _chain(batches):
+    """Costs on entering each segment, from the costs at the end of the segment before; rows are sorted by book, segment and entry."""
+    def found():
+        book, reached = None, None
+        for rows in _groups(batches, "book", "_chunk"):
+            if rows[0]["book"] != book:
+                book, reached = rows[0]["book"], None
+            yield book, rows[0]["_chunk"], _pack(reached)
+            routes = [_unpack(r["states"]) for r in rows]
             if reached is not None:
                 routes = [[(d, tuple(x + y for x, y in zip(base, cost))) for d, cost in r] for (_, base), r in zip(reached, routes)]
             reached = [min((r[i] for r in routes), key=lambda s: s[1]) for i in range(len(routes[0]))]
-        return pd.DataFrame(out, columns=["book", "_chunk", "entry"])
-
-    entered = save(table.groupBy("book").applyInPandas(chain, f"book string, _chunk int, entry {STATES}"))
-
-    def origins(keys, rows_pdf, entry_pdf):
-        rows_pdf = rows_pdf.sort_values(ORDER, kind="stable")
-        rows = [list(c) for c in rows_pdf["candidates"]]
-        states, trail = _walk(rows, _unpack(entry_pdf, "entry"))
-        came = [list(range(len(states)))]
-        for step in reversed(trail):
-            came.append([None if i is None else step[i] for i in came[-1]])
-        packed = [{"date": d, "back": b, "changes": c, "jumps": j} for d, (b, c, j) in states]
-        return pd.DataFrame([(keys[0], keys[1], came[-1], packed, int(rows_pdf["backward"].iloc[0]))],
-                            columns=["book", "_chunk", "came", "states", "backward"])
-
-    traced = df.groupBy(*key).cogroup(entered.groupBy(*key)).applyInPandas(
-        origins, f"book string, _chunk int, came array<int>, states {STATES}, backward long")
-
-    def exits(pdf):
-        pdf = pdf.sort_values("_chunk", ascending=False)
-        states = _unpack(pdf.iloc[:1], "states")
-        end = _first_min(states)
-        if states[end][1][0] >= pdf["backward"].iloc[0]:
-            return pd.DataFrame(columns=["book", "_chunk", "leave"])
-        out = []
-        for book, chunk, came in zip(pdf["book"], pdf["_chunk"], pdf["came"]):
-            out.append((book, chunk, end))
-            end = came[end]
-            if pd.isna(end):
-                break
-            end = int(end)
-        return pd.DataFrame(out, columns=["book", "_chunk", "leave"])
-
-    leaving = save(traced.groupBy("book").applyInPandas(exits, "book string, _chunk int, leave int"))
-
-    def choose(keys, rows_pdf, plan_pdf):
-        if plan_pdf.empty or rows_pdf.empty:
-            return _chosen(rows_pdf.iloc[:0], [], [])
-        rows_pdf = rows_pdf.sort_values(ORDER, kind="stable")
-        rows = [list(c) for c in rows_pdf["candidates"]]
-        _, trail = _walk(rows, _unpack(plan_pdf, "entry"))
-        return _chosen(rows_pdf, rows, _trace(trail, int(plan_pdf["leave"].iloc[0])))
-
-    plan = entered.join(leaving, key)
-    return df.groupBy(*key).cogroup(plan.groupBy(*key)).applyInPandas(choose, CHOICE)
+
+    return _made(found(), _KEY | {"entry": _STATES})
+
+
+def _origins(batches):
+    """Of each segment the place of the entry that each of its exits comes from, and the costs at the exits."""
+    def found():
+        for plan, *rows in _groups(batches, "book", "_chunk"):
+            states, trail = _walk([r["candidates"] for r in rows], _unpack(plan["plan"]["entry"]))
+            came = list(range(len(states)))
+            for step in reversed(trail):
+                came = [None if i is None else step[i] for i in came]
+            yield plan["book"], plan["_chunk"], came, _pack(states), rows[0]["backward"]
+
+    return _made(found(), _KEY | {"came": pa.list_(pa.int32()), "states": _STATES, "backward": pa.int64()})
+
+
+def _exits(batches):
+    """The exit of each segment on the best way through its book, from the last segment to the first; none where no way runs forward more."""
+    def found():
+        book, end = None, None
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            if row["book"] != book:
+                book, states = row["book"], _unpack(row["states"])
+                end = _first_min(states)
+                if states[end][1][0] >= row["backward"]:
+                    end = None
+            if end is not None:
+                yield book, row["_chunk"], end
+                end = row["came"][end]
+
+    return _made(found(), _KEY | {"leave": pa.int32()})
+
+
+def _choose(batches):
+    """The pages of each segment whose date changes on the way from its entry to its exit."""
+    def found():
+        for plan, *rows in _groups(batches, "book", "_chunk"):
+            if plan["plan"] is not None:
+                _, trail = _walk([r["candidates"] for r in rows], _unpack(plan["plan"]["entry"]))
+                yield from _moves(rows, _trace(trail, plan["plan"]["leave"]))
+
+    return _made(found(), _CHOICE)
+
+
+def _solve_segments(df: DataFrame) -> DataFrame:
+    """The same choice for books in several segments, numbered by ``_chunk``.
+
+    Segments may be many and small, so a task reads them one after the other from sorted rows: a segment's plan, then its pages.
+    """
+    key, pages = ["book", "_chunk"], [*ORDER, "candidates", "backward"]
+    tasks = shuffle_partitions(df.sparkSession)
+
+    def planned(plan: DataFrame, columns: list[str]) -> DataFrame:
+        plan = plan.select(*key, F.struct(*columns).alias("plan"))
+        rows = df.select(*key, *pages).unionByName(plan, allowMissingColumns=True)
+        return rows.repartition(tasks, *key).sortWithinPartitions(*key, F.col("plan").isNull(), *ORDER)
+
+    ends = df.groupBy(*key).agg(F.max_by("candidates", F.struct(*ORDER)).alias("last"))
+    entries = ends.select(*key, F.lag("last").over(Window.partitionBy("book").orderBy("_chunk")).alias("entry"))
+    table = planned(entries, ["entry"]).mapInArrow(_costs, f"book string, _chunk int, entry int, states {STATES}")
+    entered = save(table.repartition(tasks, "book").sortWithinPartitions(*key, "entry").mapInArrow(_chain, f"book string, _chunk int, entry {STATES}"))
+    traced = planned(entered, ["entry"]).mapInArrow(_origins, f"book string, _chunk int, came array<int>, states {STATES}, backward long")
+    leaving = save(traced.repartition(tasks, "book").sortWithinPartitions("book", F.desc("_chunk")).mapInArrow(_exits, "book string, _chunk int, leave int"))
+    return planned(entered.join(leaving, key), ["entry", "leave"]).mapInArrow(_choose, CHOICE)
 
 
 def _whole_books(work: DataFrame) -> DataFrame:
